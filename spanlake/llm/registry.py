@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import shard, token_files
+from . import packing, shard, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pack": packing.op2_pack,
         "op7_token_files": token_files.op7_token_files,
         "op10_virtual_slots": shard.op10_virtual_slots,
     }
