@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, shard, token_files
+from . import mixing, packing, shard, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pack": packing.op2_pack,
+        "op4_mix": mixing.op4_mix,
         "op7_token_files": token_files.op7_token_files,
         "op10_virtual_slots": shard.op10_virtual_slots,
     }
