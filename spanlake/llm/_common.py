@@ -44,7 +44,7 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Array of the words of a text; empty for null and for texts without a word."""
-    trimmed = F.coalesce(F.regexp_replace(text, f"^{WHITE}|{WHITE}$", ""), F.lit(""))
+    trimmed = F.coalesce(F.btrim(text, F.lit(WHITE_CHARS)), F.lit(""))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WHITE))
 
 
@@ -53,6 +53,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def numbered(df: DataFrame, path: str, name: str) -> DataFrame:
+    """``df`` written once with a column ``name`` that numbers its rows, in no order and with gaps.
+
+    It must be written: the numbers of a plan that runs again may differ.
+    """
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), path)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` has not, whatever the case."""
     taken, name = {c.lower() for c in df.columns}, stem

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, shard, token_files
+from . import line_dedup, mixing, packing, quality, shard, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pack": packing.op2_pack,
+        "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_mix": mixing.op4_mix,
+        "op6_line_frequency": quality.op6_line_frequency,
         "op7_token_files": token_files.op7_token_files,
         "op10_virtual_slots": shard.op10_virtual_slots,
     }
