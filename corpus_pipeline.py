@@ -1,15 +1,58 @@
-"""The corpus pipeline; each stage works on all that the one before kept."""
+"""The corpus pipeline; each stage works on all that the one before kept.
+
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame,
+which is written as Parquet and read again as the next one's docs. All but the last return the columns
+of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from spanlake.llm import line_dedup, mixing, packing, quality, simhash
+from spanlake.llm._common import materialize, scratch_dir
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that fail the base rules or lose most words to lines frequent on their host; the lines go too."""
+    return quality.filter_documents(docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes runs of lines that stand earlier in the corpus, and documents of which nothing is left."""
+    return line_dedup.dedup_documents(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates one document stays."""
+    return simhash.one_of_each_group(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed_rows(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 2048 ids."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", dedup_lines),
+    ("simhash_near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
 
 #: Hash order and winnowing can't be written in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on ``documents``; what each returns is written to the shared scratch folder."""
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch_dir(spark)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = materialize(stage(spark, docs, sf_dir), f"{folder}/{k}-{name}")
     return docs

@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, packing, quality, shard, token_files
+from . import html_text, language, line_dedup, mixing, multiset, packing, quality, shard, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ecoc_language": language.op1_ecoc_language,
         "op2_pack": packing.op2_pack,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_mix": mixing.op4_mix,
+        "op5_host_paths": html_text.op5_host_paths,
         "op6_line_frequency": quality.op6_line_frequency,
         "op7_token_files": token_files.op7_token_files,
+        "op8_multiset_hash": multiset.op8_multiset_hash,
+        "op9_simhash": simhash.op9_simhash,
         "op10_virtual_slots": shard.op10_virtual_slots,
     }
 
