@@ -8,6 +8,8 @@ a seeded order while they fit, and a last one whose size comes nearest to what i
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -102,7 +104,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: float
     found = materialize(cuts(sized, targets(table, float(total), max_epochs)), f"{folder}/cuts")
     side = small_side(found.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"), F.col("last").alias("_last")))
     joined = sizes(docs, kept.get(key, key), kept.get(text, text), kept.get(source, source), seed).join(side, F.col("_source").eqNullSafe(F.col("_s")))
-    times = (F.col("_whole") + F.when((F.col("_order") < F.col("_cut")) | (F.col("_order") == F.col("_last")), 1).otherwise(0)).alias("_times")
+    more = F.when((F.col("_order") < F.col("_cut")) | (F.col("_order") == F.col("_last")), 1).otherwise(0)
+    # Documents without words may lie before the cut of a source that is at its cap already.
+    times = F.least(F.col("_whole") + more, F.lit(math.ceil(max_epochs))).alias("_times")
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns), "_size", "_source_size", "_target", times)
 
 
