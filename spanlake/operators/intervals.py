@@ -44,8 +44,8 @@ def flood(events: DataFrame, pulse_ns: int = 5 * SECOND, span: int | None = None
     """Fill gaps shorter than ``pulse_ns``: events of equal data merge, others meet in the middle."""
     span = span or span_for(events)
     merged = merge_same(events, pulse_ns, touching=False, span=span)
-    sided = running(merged, ["bucket"], F.struct(*_ROW), "max", "_l", span=span)
-    sided = running(sided, ["bucket"], F.struct(*_ROW), "min", "_r", ahead=True, span=span)
+    sided = running(merged, ["bucket"], F.struct(*_ROW), "max", "_l", span=span, order=_ROW)
+    sided = running(sided, ["bucket"], F.struct(*_ROW), "min", "_r", ahead=True, span=span, order=_ROW)
     left, right = F.col("start_ns") - F.col("_l.end_ns"), F.col("_r.start_ns") - F.col("end_ns")
     half = lambda gap: F.when((gap >= 0) & (gap < pulse_ns), F.floor(gap / F.lit(2)).cast("long")).otherwise(0)
     return sided.select("bucket", "id", (F.col("start_ns") - half(left)).alias("start_ns"), (F.col("end_ns") + half(right)).alias("end_ns"), "data")

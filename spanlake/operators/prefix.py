@@ -39,19 +39,21 @@ def running(df: DataFrame, by: list[str], value: Column, how: str, name: str, ah
     Without ``span`` that is a window for each key. With it the keys are cut into spans of that many
     nanoseconds, and ``df``, which is then read twice, is written first.
 
-    Null where there is none (0 for sums). Null keys are a key of their own.
+    ``order`` should be total where both directions are asked of the same rows. Null where there is none (0 for sums). Null keys are a key of their own.
     """
     agg = {"sum": F.sum, "max": F.max, "min": F.min}[how]
+    # Rows after a row are those before it in reverse: a frame that ends at the partition's end is
+    # aggregated anew for each row.
+    way = (lambda c: F.col(c).desc()) if ahead else F.col
+    frame, ordered = (Window.unboundedPreceding, -1), [way(c) for c in order]
     if span is None:
-        frame = (1, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, -1)
-        out = agg(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(*frame))
+        out = agg(value).over(Window.partitionBy(*by).orderBy(*ordered).rowsBetween(*frame))
         return df.withColumn(name, F.coalesce(out, F.lit(0)) if how == "sum" else out)
     df = written(df)
     cut = df.withColumn("_span", F.floor(F.col("start_ns") / F.lit(span))).withColumn("_value", value)
-    frame = (1, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, -1)
     spans = cut.groupBy(*by, "_span").agg(agg("_value").alias("_v"))
-    carried = spans.select(*(F.col(c).alias(f"_of_{c}") for c in [*by, "_span"]), agg("_v").over(Window.partitionBy(*by).orderBy("_span").rowsBetween(*frame)).alias("_carry"))
-    own = cut.withColumn("_own", agg("_value").over(Window.partitionBy(*by, "_span").orderBy(*order).rowsBetween(*frame)))
+    carried = spans.select(*(F.col(c).alias(f"_of_{c}") for c in [*by, "_span"]), agg("_v").over(Window.partitionBy(*by).orderBy(way("_span")).rowsBetween(*frame)).alias("_carry"))
+    own = cut.withColumn("_own", agg("_value").over(Window.partitionBy(*by, "_span").orderBy(*ordered).rowsBetween(*frame)))
     same = F.lit(True)
     for c in [*by, "_span"]:
         same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
