@@ -143,11 +143,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, key: str
         import pyarrow as pa
 
         encode = encoder(tokenizer, by_word)
+        end = np.array(end_id, encode.dtype).tobytes()
         chunk, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("row", "piece", "start", "length", "ids_crc32", "nth", "ids")}
-            for row, body in enumerate(texts(batch, "text")):
-                ids = np.append(encode.ids(body), np.array(end_id, encode.dtype))
+            for row, raw in enumerate(encode.many(texts(batch, "text"))):
+                ids = np.frombuffer(raw + end, encode.dtype)
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     own = ids[start : start + capacity]
                     for c, v in (("row", row), ("piece", piece), ("start", start), ("length", len(own)), ("ids_crc32", zlib.crc32(own.astype("<u4").tobytes())), ("nth", seen[len(own)])):

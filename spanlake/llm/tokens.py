@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
 #: Entries that a worker keeps: of words as they stand, and of the word cores that were encoded.
 WORDS_KEPT, CORES_KEPT = 250_000, 700_000
-_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+#: Bytes of text that are encoded together, and words of one call of the tokenizer.
+TOGETHER, CALL = 1 << 20, 2000
+#: Symbols that make a token run of their own after a letter; an apostrophe may begin a suffix instead.
+_TAIL = b".,;:!?*$&%#)]}/-\""
+_LETTER_LAST = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])\Z")
 
 
 class Encoder:
     """Encodes texts with a ``tokenizers`` file; ids come as little-endian bytes of ``dtype``.
 
-    ``by_word`` is for vocabularies that lower-case, drop white space and never merge across it
-    (word_bpe_49k.json): each distinct word is then encoded once a worker, at any text length.
-    Otherwise each whole text is encoded as it stands.
+    ``by_word`` is for vocabularies that lower-case, drop white space, never merge across it and mark
+    the last token of each run of letters (word_bpe_49k.json): each distinct word is then encoded once
+    a worker, at any text length. Otherwise each whole text is encoded as it stands.
     """
 
     def __init__(self, path: str, by_word: bool = True):
@@ -26,46 +32,73 @@ class Encoder:
 
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cores, self.words = _Memo(self._encode, CORES_KEPT), _Memo(self._word, WORDS_KEPT)
+        self.cores: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
     def _encode(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _word(self, word: bytes) -> bytes:
-        """A tail of full stops and commas after a letter is a token run of its own, so it can be encoded apart."""
-        core = word.rstrip(b".,")
-        if not core or core[-1] not in _LETTERS or b"<|" in word:
-            return self._encode(word)
-        return self.cores[core] + (self.cores[word[len(core) :]] if len(core) < len(word) else b"")
-
-    def __call__(self, text: bytes | None) -> bytes:
-        if not text:
-            return b""
+    def _learn_cores(self, cores: list[bytes]) -> None:
+        """Encode runs of letters many at a call: each one ends with the only token that is marked as last."""
+        alone = []
+        together = []
+        for core in cores:
+            (together if core.decode().isalpha() else alone).append(core)
+        for a in range(0, len(together), CALL):
+            some = together[a : a + CALL]
+            (found,) = self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)
+            ids = np.array(found.ids, self.dtype)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):  # one of them is not a single run to the tokenizer
+                alone += some
+                continue
+            raw, at = ids.tobytes(), [0, *(ends * self.dtype.itemsize).tolist()]
+            self.cores.update((core, raw[x:y]) for core, x, y in zip(some, at[:-1], at[1:], strict=True))
+        for core in alone:
+            self.cores[core] = self._encode(core)
+
+    def _learn(self, words: set[bytes]) -> None:
+        """A tail of symbols after a letter is a token run of its own, so it is encoded apart."""
+        parts = []
+        for word in words:
+            core = word.rstrip(_TAIL)
+            parts.append((word, core, word[len(core) :]) if _LETTER_LAST.search(core) and b"<|" not in word else (word, word, b""))
+        if len(self.cores) > CORES_KEPT:
+            self.cores.clear()
+        wanted = {core for _, core, _ in parts} | {tail for _, _, tail in parts}
+        wanted.discard(b"")
+        self._learn_cores([c for c in wanted if c not in self.cores])
+        of = self.cores
+        self.words.update((word, of[core] + of[tail] if tail else of[core]) for word, core, tail in parts)
+
+    def _encode_words(self, some: list[bytes]) -> list[bytes]:
+        # What may be a special token keeps its case, which matters to it.
+        split = [(t if b"<|" in t else t.lower()).split() for t in some]
+        if len(self.words) > WORDS_KEPT:
+            self.words.clear()
+        new = set().union(*split).difference(self.words)
+        if new:
+            self._learn(new)
+        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+
+    def many(self, bodies: list[bytes | None]) -> Iterator[bytes]:
+        """The ids of each text, null as empty."""
         if not self.by_word:
-            return self._encode(text)
-        if b"<|" not in text:  # else a special token may be in it, which case matters to
-            text = text.lower()
-        self.cores.trim()
-        self.words.trim()
-        return b"".join(map(self.words.__getitem__, text.split()))
-
-    def ids(self, text: bytes | None) -> np.ndarray:
-        return np.frombuffer(self(text), self.dtype)
-
+            yield from (self._encode(t) if t else b"" for t in bodies)
+            return
+        some, size = [], 0
+        for body in bodies:
+            some.append(body or b"")
+            size += len(some[-1])
+            if size >= TOGETHER:
+                yield from self._encode_words(some)
+                some, size = [], 0
+        yield from self._encode_words(some)
 
-class _Memo(dict):
-    """Computes what is missing; emptied between texts once it is large."""
-
-    def __init__(self, compute, most: int):
-        self.compute, self.most = compute, most
-
-    def __missing__(self, key: bytes) -> bytes:
-        value = self[key] = self.compute(key)
-        return value
-
-    def trim(self) -> None:
-        if len(self) > self.most:
-            self.clear()
+    def __call__(self, text: bytes | None) -> bytes:
+        return next(self.many([text]))
 
 
 @lru_cache(maxsize=2)
