@@ -57,7 +57,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str =
         lengths, keys = [np.zeros(1, "<i8")], []
         with store.open_output_stream(name("bin", f".{tag}-")) as out:
             for batch in batches:
-                ids = [encode(x) + end for x in texts(batch, "text")]
+                ids = [x + end for x in encode.many(texts(batch, "text"))]
                 out.write(b"".join(ids))
                 lengths.append(np.fromiter(map(len, ids), "<i8", len(ids)) // encode.dtype.itemsize)
                 column = batch.column("key")
