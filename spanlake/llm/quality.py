@@ -4,8 +4,11 @@ A host's boilerplate is the lines that many of its documents have. Lines are nor
 one space between words, digits as 0) and hashed; for each host the distinct documents that have a
 line are counted; lines above the limit go, and a document that loses most of its words is rejected.
 
-Copies must not make each other's lines frequent. So what counts for a line is the distinct least
-hashes of the other lines that stand with it: exact copies, and most near copies, are one document.
+Copies must not make each other's lines frequent. Lines that more documents with different lines have
+than the limit are common; whatever is frequent is among them. A document then stands for itself by its
+longest line that isn't common, so that no boilerplate makes two documents one, while exact copies and
+most near copies are one. Where common lines hold nearly all its words, it is known by the longest of
+those: it is a near copy of the others that have them.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from ._common import free_name, materialize, numbered, scratch_dir, small_side,
 MIN_DOCS, MIN_SHARE = 20, 0.002
 #: A document is depleted if less than this share of its words is left.
 MIN_LEFT = 0.3
+#: A document is known by its own lines if they hold at least one word in so many.
+OWN_IN = 10
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -63,12 +68,24 @@ def measure(docs: DataFrame, text: str, host: str, keep: list[str]) -> DataFrame
 
 
 def frequent_lines(measured: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(_host, h, n_docs) of the lines above their host's limit, from a written ``measure`` table."""
-    sketched = measured.select("_host", F.array_sort(F.array_distinct("_lines.h")).alias("hs"))
-    hosts = sketched.select("_host", F.get("hs", F.lit(0)).alias("sketch")).distinct().groupBy("_host").agg(F.count("*").alias("docs"))
-    least = sketched.select("_host", F.get("hs", F.lit(0)).alias("least"), F.get("hs", F.lit(1)).alias("next"), F.explode("hs").alias("h"))
-    others = least.select("_host", "h", F.when(F.col("h") == F.col("least"), F.col("next")).otherwise(F.col("least")).alias("sketch")).distinct()
-    seen = others.groupBy("_host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
+    """(_host, h, n_docs) of the lines above their host's limit, from a written ``measure`` table with _row."""
+    folder = scratch_dir(measured.sparkSession)
+    whole = F.array_sort(F.array_distinct("_lines.h"))
+    sets = measured.select("_host", F.xxhash64(whole).alias("whole"), F.explode(whole).alias("h")).distinct()
+    common = sets.groupBy("_host", "h").agg(F.count("*").alias("n_sets")).where(F.col("n_sets") > min_docs)
+    common = small_side(materialize(common.select(F.col("_host").alias("of"), F.col("h").alias("shared")), f"{folder}/common"))
+    lines = measured.select("_row", "_host", F.inline("_lines"))
+    lines = lines.join(common, (F.col("h") == F.col("shared")) & F.col("_host").eqNullSafe(F.col("of")), "left")
+    own, longest = F.col("shared").isNull(), F.struct("n", "h")
+    docs = lines.groupBy("_row", "_host").agg(
+        F.max(F.when(own, longest))["h"].alias("own"), F.max(F.when(~own, longest))["h"].alias("other"),
+        F.sum(F.when(own, F.col("n")).otherwise(0)).alias("n_own"), F.sum("n").alias("n"), F.collect_set("shared").alias("hs"),
+    )
+    sketch = F.when(F.col("other").isNull() | (F.col("n_own") * OWN_IN >= F.col("n")), F.col("own")).otherwise(F.col("other"))
+    sketched = materialize(docs.select("_host", sketch.alias("sketch"), "hs"), f"{folder}/sketches")
+    hosts = sketched.select("_host", "sketch").distinct().groupBy("_host").agg(F.count("*").alias("docs"))
+    having = sketched.select("_host", "sketch", F.explode("hs").alias("h")).distinct()
+    seen = having.groupBy("_host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
     limits = small_side(hosts.select(F.col("_host").alias("of"), (F.col("docs") * min_share).alias("most")))
     return seen.join(limits, F.col("_host").eqNullSafe(F.col("of"))).where("n_docs > most").select("_host", "h", "n_docs")
 

@@ -44,3 +44,15 @@ def test_empty_table_and_extra_columns(spark):
     out = quality.filter_documents(docs)
     assert out.columns == docs.columns
     assert sorted((r.doc_id is None, r.row, r.kept) for r in out.collect()) == [(True, 5, "x"), (True, 5, "x")]
+
+
+def test_boilerplate_does_not_hide_boilerplate(spark):
+    line = lambda name: " ".join(f"{name}{chr(97 + k)}" for k in range(6))
+    menu = [line(f"menu{chr(97 + k)}") for k in range(8)]
+    rows = [(i, "\n".join([*menu, _prose(i, 60)]), "a") for i in range(60)]
+    common = [line(f"near{chr(97 + k)}{chr(97 + j)}") for k in range(6) for j in range(5)]
+    # Near copies: in each another line is changed.
+    rows += [(1000 + i, "\n".join([*common[: i % 30], line(f"changed{_prose(i, 1)}"), *common[i % 30 + 1 :]]), "b") for i in range(40)]
+    out = {r.doc_id: r for r in quality.judge(frame(spark, rows), ["doc_id"]).collect()}
+    assert all(out[i].removed == list(range(8)) for i in range(60))
+    assert all(not out[1000 + i].removed for i in range(40))
