@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlake.llm import line_dedup, mixing, packing, quality, simhash
+from spanlake.llm import line_dedup, mixing, near_copies, packing, quality
 from spanlake.llm._common import materialize, scratch_dir
 
 
@@ -24,8 +24,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one document stays."""
-    return simhash.one_of_each_group(docs)
+    """Of each group of near duplicates, by 5-word shingles at a similarity of 0.8, one document stays."""
+    return near_copies.one_of_each_group(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
