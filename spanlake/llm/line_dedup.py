@@ -6,10 +6,12 @@ equal windows, so whatever run of that many words two places share, they share a
 single long line is a window of its own. A fingerprint goes with the hash of its window, so that a
 line met in other company isn't taken for the run's first place.
 
-For each fingerprint the first place in the corpus is its anchor, and every later place is matched
-with the anchor alone, so matches are as many as lines at most. A match is extended both ways. The
-lines before a window that equal the anchor's start windows inside the same run: those are matches
-themselves. The lines after it are compared one by one as far as no window of theirs fits in.
+For each fingerprint the first place in the corpus is its anchor, and every later place is a match, so
+matches are as many as lines at most. A match is extended both ways. The lines before a window that
+equal an earlier place's start windows inside the same run: those are matches themselves. The lines
+after it, as far as no window of theirs fits in, are hashed from the first to each; the longest of these
+that stands behind the same window at any earlier place goes too. (``every=False`` compares them with
+the anchor's lines only.)
 """
 
 from __future__ import annotations
@@ -42,18 +44,38 @@ def fingerprints(rows: DataFrame, row: str, order: str, text: str, min_words: in
     return out.where(F.col("words") >= min_words).drop("words")
 
 
-def repeated_runs(windows: DataFrame) -> DataFrame:
+def _any_earlier(windows: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(row, at, to) of each later place of a window, extended by its longest tail that any earlier place has."""
+    folder, same = scratch_dir(windows.sparkSession), ["low", "window", "tail_hash"]
+    repeated = windows.join(anchors.drop("first"), ["low", "window"])
+    # A tail's hash begins with how many lines it has; that of none stands for the window alone.
+    tails = F.transform(F.sequence(F.lit(0), F.size("tail")), lambda k: F.struct(F.xxhash64(k, F.slice("tail.h", 1, k)).alias("tail_hash"), F.when(k == 0, F.col("to")).otherwise(F.get("tail", k - 1)["at"]).alias("end")))
+    places = materialize(repeated.select("low", "window", "order", "row", "at", F.inline(tails)), f"{folder}/places")
+    firsts = places.groupBy(*same).agg(F.min(F.struct("order", "row", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = small_side(materialize(firsts, f"{folder}/firsts"))
+    later = places.join(firsts, same).where((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at")))
+    return later.groupBy("row", "at").agg(F.max("end").alias("to"))
+
+
+def repeated_runs(windows: DataFrame, every: bool = False) -> DataFrame:
     """(row, runs): the runs of each row that repeat an earlier place, as sorted (from, to) line places.
 
-    ``windows`` must be a written table. Earlier is by order (null first), row and place.
+    ``windows`` must be a written table. Earlier is by order (null first), row and place. With ``every``
+    a run may end as at any earlier place, else as at the first.
     """
     place = F.struct("order", "row", "at", "tail")
     anchors = windows.groupBy("low", "window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     anchors = small_side(materialize(anchors, f"{scratch_dir(windows.sparkSession)}/anchors"))
+    if every:
+        return _joined_runs(_any_earlier(windows, anchors))
     later = windows.join(anchors, ["low", "window"]).where((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at")))
     unlike = F.array_position(F.zip_with("tail", "first.tail", lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))), F.lit(False))
     longer = F.when(unlike == 0, F.size("tail")).otherwise(unlike - 1).cast("int")
     found = later.select("row", "at", F.coalesce(F.get("tail", longer - 1)["at"], F.col("to")).alias("to"))
+    return _joined_runs(found)
+
+
+def _joined_runs(found: DataFrame) -> DataFrame:
     by_row = Window.partitionBy("row").orderBy("at", "to")
     before = F.max("to").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
     islands = found.withColumn("new", F.when(F.col("at") <= before + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
@@ -61,9 +83,12 @@ def repeated_runs(windows: DataFrame) -> DataFrame:
     return runs.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
     """Delete from each text the runs of lines, ``min_words`` words or more, that stand earlier in the corpus.
 
+    Without ``every`` a run ends where it differs from the first place of its last window, so up to
+    ``min_words`` - 1 words that stand at another earlier place may stay; the query and the stage use it.
+
     Earlier is by key, then by the order in which rows were numbered, then by place in the text. All
     columns stay as they came but for ``text``; _runs (array of (from, to), line places from 0, both
     included) and _n_lines (lines that have a word) are added. Lines are compared in lower case with
@@ -76,7 +101,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id"
     folder, row = scratch_dir(docs.sparkSession), free_name(docs, "row")
     rows = numbered(docs.drop("_runs", "_n_lines", "_lines", "_of"), f"{folder}/rows", row)
     windows = materialize(fingerprints(rows, row, key, text, min_words), f"{folder}/windows")
-    runs = repeated_runs(windows).withColumnRenamed("row", "_of").withColumnRenamed("runs", "_runs")
+    runs = repeated_runs(windows, every).withColumnRenamed("row", "_of").withColumnRenamed("runs", "_runs")
     out = rows.join(runs, F.col(row) == F.col("_of"), "left").withColumn("_runs", F.coalesce("_runs", F.array().cast("array<struct<from:int,to:int>>")))
     out = out.withColumn("_lines", F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n"))  # a column, so that lambdas don't split anew
     out = out.withColumn("_n_lines", F.size(F.filter("_lines", lambda x: F.regexp_like(x, F.lit("[^\\x20\\x09-\\x0D]")))))
@@ -90,13 +115,13 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id"
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """``dedup_lines`` with production parameters; documents of which nothing is left go, columns stay."""
-    out = dedup_lines(docs).where((F.size("_runs") == 0) | (F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) != ""))
+    out = dedup_lines(docs, every=True).where((F.size("_runs") == 0) | (F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) != ""))
     count = F.when(F.size("_runs") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", count).select(*docs.columns)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the runs that repeat: doc_id, n_lines, n_lines_removed, runs and text."""
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), every=True)
     removed = F.aggregate("_runs", F.lit(0), lambda n, r: n + r["to"] - r["from"] + 1)
     return out.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), removed.cast("long").alias("n_lines_removed"), F.col("_runs").alias("runs"), "text")

@@ -43,3 +43,38 @@ def test_repeated_rows_nulls_and_empty_table(spark):
     docs = frame(spark, [(None, text, None), (None, text, None), (7, text, None)])
     assert sorted(r.text for r in line_dedup.dedup_lines(docs).collect()) == ["", "", text]
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
+
+
+def _without_runs(rows, min_words):
+    """Texts of (key, text) rows, in order, without the lines of any run of enough words that stands at any earlier place."""
+    flat = []
+    for d, (_, text) in enumerate(rows):
+        flat.append([(at, " ".join(x.lower().split()), len(x.split())) for at, x in enumerate((text or "").split("\n")) if x.split()])
+    out = []
+    for d, (_, text) in enumerate(rows):
+        own, gone = flat[d], set()
+        for i in range(len(own)):
+            for e in range(d + 1):
+                for m in range(len(flat[e]) if e < d else i):
+                    k = 0
+                    while i + k < len(own) and m + k < len(flat[e]) and own[i + k][1] == flat[e][m + k][1]:
+                        k += 1
+                    if k and sum(x[2] for x in own[i : i + k]) >= min_words:
+                        gone |= set(range(own[i][0], own[i + k - 1][0] + 1))
+        out.append(text if not gone else "\n".join(x for at, x in enumerate(text.split("\n")) if at not in gone))
+    return out
+
+
+def test_runs_of_any_earlier_place_go(spark):
+    window, x, tail = " ".join(f"w{k}" for k in range(50)), "another end", "a tail of\nfew words"
+    rows = [(1, f"{window}\n{x}"), (2, f"{window}\n{tail}"), (3, f"{window}\n{tail}")]
+    kept = {r.doc_id: r.text for r in line_dedup.dedup_documents(frame(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert kept == {1: rows[0][1], 2: tail}
+    rng = random.Random(8)
+    pool = [" ".join(rng.choice("abcdef") for _ in range(rng.choice([1, 2, 3, 7, 12]))) for _ in range(14)] + ["", "  "]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 14)))) for i in range(120)]
+    for min_words in (4, 10):
+        docs = frame(spark, [(i, t, None) for i, t in rows])
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, min_words, every=True).collect()}
+        full = lambda text: [x for x in text.split("\n") if x.strip()]  # noqa: E731  blank lines between two windows may stay
+        assert [full(got[i]) for i, _ in rows] == [full(x) for x in _without_runs(rows, min_words)]
