@@ -1,8 +1,8 @@
 """HTML extraction by consensus host paths.
 
-Each page's containers are scored by the running text that they hold; a container is known by its
-path of tags and classes, generalised (digits dropped, classes sorted), from the root. Every page
-votes for its best container's path, Spark sums the votes of each host, and each page is extracted
+Each page's text is followed from the root down for as long as one container holds nearly all of it; a
+container is known by its path of tags and classes, generalised (digits dropped, classes sorted), from
+the root, whose own path is empty. Every page votes for the path it ends at, Spark sums the votes of each host, and each page is extracted
 again from the containers on the host's winning paths. A page that has none of them falls back to
 its own best container.
 """
@@ -42,18 +42,22 @@ BOUNDS = frozenset("article aside body div footer form header html main nav ol s
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPACES = re.compile(r"[\s​]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A container is left for one inside it that holds this share of its text, unless it has a heading or
+#: a block of so many characters of its own.
+NEARLY_ALL, RUNNING = 0.9, 100
 #: Winning paths of a host hold at least this share of the votes of its most voted path.
 NEAR_WINNER = 0.5
 
 
-def blocks(html: str) -> list[tuple[str, str, int, bool]]:
-    """(path, text, characters in links, dropped) of each run of text between block boundaries, in page order.
+def blocks(html: str) -> list[tuple[str, str, int, bool, bool]]:
+    """(path, text, characters in links, dropped, heading) of each run of text between block boundaries, in page order.
 
     path is that of the enclosing elements that contain, outermost first; dropped is true inside menus,
     forms, notices and the like. Malformed markup never fails: an end tag closes the nearest open
     element of its name within bounds, a start tag closes what it can't stand in, and the end closes all.
     """
-    out: list[tuple[str, str, int, bool]] = []
+    out: list[tuple[str, str, int, bool, bool]] = []
     stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, dropped
     buffer: list[str] = []
     links = 0
@@ -64,7 +68,7 @@ def blocks(html: str) -> list[tuple[str, str, int, bool]]:
         if buffer:
             text = SPACES.sub(" ", "".join(buffer)).strip()
             if text:
-                out.append((stack[-1][1], text, min(links, len(text)), stack[-1][2]))
+                out.append((stack[-1][1], text, min(links, len(text)), stack[-1][2], any(x[0] in HEADINGS for x in stack)))
             buffer.clear()
         links = 0
 
@@ -132,33 +136,34 @@ def blocks(html: str) -> list[tuple[str, str, int, bool]]:
     return out
 
 
-def _ancestors(path: str):
-    parts = path.split("/")[1:]
-    for k in range(1, len(parts) + 1):
-        yield "/" + "/".join(parts[:k])
+def best(found: list[tuple[str, str, int, bool, bool]]) -> str | None:
+    """The path that a page votes for: the innermost that holds nearly all text that isn't dropped or in links.
 
-
-def scores(found: list[tuple[str, str, int, bool]]) -> dict[str, float]:
-    """Score of each container's path on one page: text that isn't in links, full for what it holds at
-    once and less by half for each level that lies between; what is dropped there counts against it."""
-    out: dict[str, float] = {}
-    for path, text, links, dropped in found:
-        worth = -0.5 * len(text) if dropped else len(text) - 2.0 * links
-        for depth, up in enumerate(reversed([*_ancestors(path)])):
-            out[up] = out.get(up, 0.0) + worth * 0.5**depth
-    return out
-
-
-def best(found: list[tuple[str, str, int, bool]]) -> str | None:
-    """The path that a page votes for: the highest score, on a tie the outermost and then the first by name."""
-    scored = {p: s for p, s in scores(found).items() if s > 0}
-    return min(scored, key=lambda p: (-scored[p], p.count("/"), p)) if scored else None
-
-
-def text_of(found: list[tuple[str, str, int, bool]], winners: list[str]) -> str:
+    An article is never left for a part of it. Of two containers with as much text the first by name is taken.
+    """
+    held = [(path, len(text) - 2 * links, heading) for path, text, links, dropped, heading in found if not dropped and len(text) > 2 * links]
+    if not held:
+        return None
+    at = ""
+    while not re.match(r"article(?:\.|\Z)", at.rpartition("/")[2]):
+        inside: dict[str, int] = {}
+        for path, size, heading in held:
+            if path == at and (heading or size >= RUNNING):
+                return at
+            if path != at:
+                child = f"{at}/{path[len(at) + 1 :].partition('/')[0]}"
+                inside[child] = inside.get(child, 0) + size
+        most = min(inside, key=lambda p: (-inside[p], p), default=None)
+        if most is None or inside[most] < NEARLY_ALL * sum(size for _, size, _ in held):
+            return at
+        at, held = most, [x for x in held if x[0] == most or x[0].startswith(most + "/")]
+    return at
+
+
+def text_of(found: list[tuple[str, str, int, bool, bool]], winners: list[str]) -> str:
     """The text of the containers on the winning paths, else of the page's own best one."""
     for paths in (winners, [best(found)]):
-        kept = [t for path, t, _, dropped in found if not dropped and any(p and (path == p or path.startswith(p + "/")) for p in paths)]
+        kept = [t for path, t, _, dropped, _ in found if not dropped and any(p is not None and (path == p or path.startswith(p + "/")) for p in paths)]
         if kept:
             return "\n\n".join(kept)
     return ""

@@ -39,3 +39,20 @@ def test_consensus_and_noise(spark):
     assert got[50] == "Short & sweet.\n\nTwo"
     assert got[60] == got[61] == "" and got[63] == "Unclosed bold <x>\n\nnext"
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_whole_articles(spark):
+    run = lambda name, n: f"{name} says a lot. " * (n // 20)
+    sections = lambda k: f"<article><h1>Title {k}</h1><p>{run('lead', 300)}</p>" + "".join(f"<section><p>{run(f'part{j}', 700)}</p></section>" for j in range(3)) + "</article>"
+    halves = lambda k: f"<h1>Title {k}</h1><div class=intro><p>{run('intro', 900)}</p></div><div class=rest><p>{run('rest', 700)}</p></div>"
+    many = lambda k: f"<div class=post><p>{run('lead', 300)}</p>" + "".join(f"<div class=part><p>{run(f'part{j}', 700)}</p></div>" for j in range(9)) + "</div>"
+    bare = lambda k: f"<h1>Title {k}</h1><p>{run('first', 300)}</p><div><p>{run('boxed', 200)}</p></div><p>{run('last', 400)}</p>"
+    layouts = [(sections, "sections"), (lambda k: f"<article>{halves(k)}</article>", "article"), (lambda k: f"<div class=page>{halves(k)}</div>", "divs"), (many, "many")]
+    pages, want = [], {}
+    for n, (layout, name) in enumerate([*layouts, (bare, "bare")]):
+        for k in range(4):
+            html = layout(k)
+            want[100 * n + k] = "\n\n".join(x for x in (" ".join(x.split()) for x in re.split("<[^>]*>", html)) if x)
+            pages.append((100 * n + k, f"http://{name}.org/{k}", html if name == "bare" else _page(f"<nav><a href=/>Home</a></nav>{html}<footer>F</footer>")))
+    out = html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == want
