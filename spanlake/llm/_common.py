@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ WHITE_CHARS = " \t\n\x0b\x0c\r"
 
 #: Rows below which a side of a join is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 50_000
+#: Bytes of an Arrow batch that a Python worker is given.
+BATCH_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -31,9 +35,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/spanlake/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches for Python hold ``BATCH_BYTES`` at most, so that a worker's memory doesn't follow the length of texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` once as Parquet and read it again: cuts lineage and survives lost executors."""
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -61,6 +78,21 @@ def numbered(df: DataFrame, path: str, name: str) -> DataFrame:
     return materialize(df.withColumn(name, F.monotonically_increasing_id()), path)
 
 
+def boxed(df: DataFrame, name: str = "doc") -> DataFrame:
+    """``df`` as one struct column, so that no column that an operator adds can clash with one of its own."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(name))
+
+
+def inside(column: str, name: str = "doc") -> Column:
+    """A column of a ``boxed`` frame."""
+    return F.col(name).getField(column)
+
+
+def unboxed(columns: list[str], name: str = "doc") -> list[Column]:
+    """The columns of a ``boxed`` frame under their own names, to be selected."""
+    return [inside(c, name).alias(c) for c in columns]
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` has not, whatever the case."""
     taken, name = {c.lower() for c in df.columns}, stem

@@ -1,127 +1,128 @@
 """Line dedup by winnowing over line hashes (DataFrame functions only).
 
-A document is the sequence of its lines that have a word. A window starts at each line and takes the
-fewest lines that hold ``min_words`` words; its least line hash is its fingerprint. Equal runs hold
-equal windows, so whatever run of that many words two places share, they share a fingerprint: a
-single long line is a window of its own. A fingerprint goes with the hash of its window, so that a
-line met in other company isn't taken for the run's first place.
-
-For each fingerprint the first place in the corpus is its anchor, and every later place is a match, so
-matches are as many as lines at most. A match is extended both ways. The lines before a window that
-equal an earlier place's start windows inside the same run: those are matches themselves. The lines
-after it, as far as no window of theirs fits in, are hashed from the first to each; the longest of these
-that stands behind the same window at any earlier place goes too. (``every=False`` compares them with
-the anchor's lines only.)
+A document is the sequence of its lines that have a word. A window is the fewest lines that hold
+``min_words`` words, counted onwards from a line or back from one; a single long line is a window of
+its own. Each window selects its least line hash, the first of equals. So whatever run of that many
+words two places share, they share its windows, and select the same lines of it: these window minima
+are the document's fingerprints, fewer than its lines.
+
+Positions of equal fingerprints are joined: one that has no equal anywhere ends here. A match is
+extended both ways over the line hashes, onwards and back, to each window that selected it; the
+extended run is hashed, and of the places that agree on the whole of it the first one stays. All lines
+of a shared run lie in one of these: a line with ``min_words`` words from it to the run's end lies in
+the window onwards from it, and the others lie in the window back from the run's end. So the union of
+the repeated windows is what stands at any earlier place, whichever place that is, and no pairs of
+places are made.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, free_name, materialize, numbered, scratch_dir, small_side
+from ._common import WORD, boxed, inside, materialize, numbered, scratch_dir, small_side, unboxed
 
 MIN_WORDS = 50
+RUNS = "array<struct<from:int,to:int>>"
 
 
-def fingerprints(rows: DataFrame, row: str, order: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row a full window: (row, order, at, to, low, window, tail).
+def windows(rows: DataFrame, order: Column, text: Column, min_words: int = MIN_WORDS) -> DataFrame:
+    """A row for each line of ``rows`` (with _row) that has a full window: (row, order, on, back).
 
-    at and to are the places of its first and last line; low its least line hash; tail the (h, at) of
-    the lines after it whose words, summed up, stay under ``min_words``.
+    on and back are the windows onwards from the line and back from it, null where there are too few
+    words: structs of low (the hash of the line they select), at (its place), from and to (places of
+    the first and last line), first and last (the same among lines that have a word) and run (the hash
+    of all its lines).
     """
-    norm = F.split(F.regexp_replace(F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), "[\\x20\\x09\\x0B-\\x0D]+", " "), "\n")
-    lines = rows.select(F.col(f"`{row}`").alias("row"), F.col(f"`{order}`").alias("order"), F.posexplode(norm).alias("at", "line"))
+    norm = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09\\x0B-\\x0D]+", " "), "\n")
+    lines = rows.select(F.col("_row").alias("row"), order.alias("order"), F.posexplode(norm).alias("at", "line"))
     lines = lines.select("row", "order", "at", F.regexp_count("line", F.lit(WORD)).cast("bigint").alias("n"), F.xxhash64(F.btrim("line")).alias("h")).where("n > 0")
     of_doc = Window.partitionBy("row")
-    ends = lines.withColumn("ends", F.sum("n").over(of_doc.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
-    tails = ends.withColumn("tail", F.collect_list(F.struct("h", "at")).over(of_doc.orderBy("ends").rangeBetween(1, min_words - 1))).withColumn("starts", F.col("ends") - F.col("n"))
-    own = of_doc.orderBy("starts").rangeBetween(0, min_words - 1)
-    out = tails.select(
-        "row", "order", "at", F.last("at").over(own).alias("to"), (F.last("ends").over(own) - F.col("starts")).alias("words"),
-        F.min("h").over(own).alias("low"), F.xxhash64(F.collect_list("h").over(own)).alias("window"), F.last("tail").over(own).alias("tail"),
-    )
-    return out.where(F.col("words") >= min_words).drop("words")
-
-
-def _any_earlier(windows: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(row, at, to) of each later place of a window, extended by its longest tail that any earlier place has."""
-    folder, same = scratch_dir(windows.sparkSession), ["low", "window", "tail_hash"]
-    repeated = windows.join(anchors.drop("first"), ["low", "window"])
-    # A tail's hash begins with how many lines it has; that of none stands for the window alone.
-    tails = F.transform(F.sequence(F.lit(0), F.size("tail")), lambda k: F.struct(F.xxhash64(k, F.slice("tail.h", 1, k)).alias("tail_hash"), F.when(k == 0, F.col("to")).otherwise(F.get("tail", k - 1)["at"]).alias("end")))
-    places = materialize(repeated.select("low", "window", "order", "row", "at", F.inline(tails)), f"{folder}/places")
-    firsts = places.groupBy(*same).agg(F.min(F.struct("order", "row", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    firsts = small_side(materialize(firsts, f"{folder}/firsts"))
-    later = places.join(firsts, same).where((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at")))
-    return later.groupBy("row", "at").agg(F.max("end").alias("to"))
+    so_far = of_doc.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("ends", F.sum("n").over(so_far)).withColumn("nth", F.count("*").over(so_far).cast("int")).withColumn("starts", F.col("ends") - F.col("n"))
 
+    def window(own) -> Column:
+        least, begin, end = F.min(F.struct("h", "at")).over(own), F.first(F.struct("at", "nth", "starts")).over(own), F.last(F.struct("at", "nth", "ends")).over(own)
+        found = F.struct(
+            least["h"].alias("low"), least["at"].alias("at"), begin["at"].alias("from"), end["at"].alias("to"), begin["nth"].alias("first"), end["nth"].alias("last"),
+            F.xxhash64(F.collect_list("h").over(own)).alias("run"),
+        )
+        return F.when(end["ends"] - begin["starts"] >= min_words, found)
 
-def repeated_runs(windows: DataFrame, every: bool = False) -> DataFrame:
-    """(row, runs): the runs of each row that repeat an earlier place, as sorted (from, to) line places.
+    # Frames by words: lines that begin under min_words words after the line, or end under as many before its end.
+    onwards, back = of_doc.orderBy("starts").rangeBetween(0, min_words - 1), of_doc.orderBy("ends").rangeBetween(1 - min_words, 0)
+    return lines.select("row", "order", window(onwards).alias("on"), window(back).alias("back")).where("on is not null or back is not null")
 
-    ``windows`` must be a written table. Earlier is by order (null first), row and place. With ``every``
-    a run may end as at any earlier place, else as at the first.
-    """
-    place = F.struct("order", "row", "at", "tail")
-    anchors = windows.groupBy("low", "window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    anchors = small_side(materialize(anchors, f"{scratch_dir(windows.sparkSession)}/anchors"))
-    if every:
-        return _joined_runs(_any_earlier(windows, anchors))
-    later = windows.join(anchors, ["low", "window"]).where((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at")))
-    unlike = F.array_position(F.zip_with("tail", "first.tail", lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))), F.lit(False))
-    longer = F.when(unlike == 0, F.size("tail")).otherwise(unlike - 1).cast("int")
-    found = later.select("row", "at", F.coalesce(F.get("tail", longer - 1)["at"], F.col("to")).alias("to"))
-    return _joined_runs(found)
 
+def fingerprints(found: DataFrame) -> DataFrame:
+    """(low, row, at): the lines that the windows select, once each."""
+    return found.select("row", F.explode(F.array_compact(F.array("on", "back"))).alias("w")).select("w.low", "row", "w.at").distinct()
 
-def _joined_runs(found: DataFrame) -> DataFrame:
-    by_row = Window.partitionBy("row").orderBy("at", "to")
-    before = F.max("to").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
-    islands = found.withColumn("new", F.when(F.col("at") <= before + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = islands.groupBy("row", "run").agg(F.min("at").alias("from"), F.max("to").alias("to"))
-    return runs.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
 
+def repeated_runs(found: DataFrame) -> DataFrame:
+    """(row, runs): the runs of each row that stand at an earlier place too, as sorted (from, to) line places.
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
-    """Delete from each text the runs of lines, ``min_words`` words or more, that stand earlier in the corpus.
+    ``found`` must be a written table of ``windows``. Earlier is by order (null first), row and place.
+    """
+    folder = scratch_dir(found.sparkSession)
+    matched = fingerprints(found).groupBy("low").agg(F.count("*").alias("n")).where("n > 1").select(F.col("low").alias("of"))
+    matched = small_side(materialize(matched, f"{folder}/matched"))
+    each = found.select("row", "order", F.explode(F.array_distinct(F.array_compact(F.array("on", "back")))).alias("w")).select("row", "order", "w.*")
+    runs = each.join(matched, F.col("low") == F.col("of"), "left_semi")
+    place = F.struct("order", "row", "first")
+    firsts = runs.groupBy("low", "run").agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).where("earliest <> latest").drop("latest")
+    firsts = small_side(materialize(firsts, f"{folder}/firsts"))
+    later = runs.join(firsts, ["low", "run"]).where((F.col("row") != F.col("earliest.row")) | (F.col("first") != F.col("earliest.first")))
+    by_row = Window.partitionBy("row").orderBy("first", "last")
+    before = F.max("last").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
+    # Windows that overlap, or have only blank lines between, are one run.
+    islands = later.withColumn("new", F.when(F.col("first") <= before + 1, 0).otherwise(1)).withColumn("island", F.sum("new").over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = islands.groupBy("row", "island").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    return joined.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
 
-    Without ``every`` a run ends where it differs from the first place of its last window, so up to
-    ``min_words`` - 1 words that stand at another earlier place may stay; the query and the stage use it.
 
-    Earlier is by key, then by the order in which rows were numbered, then by place in the text. All
-    columns stay as they came but for ``text``; _runs (array of (from, to), line places from 0, both
-    included) and _n_lines (lines that have a word) are added. Lines are compared in lower case with
-    one space between words. The blank lines inside a deleted run go with it.
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, new_text, runs, n_lines): each row as a struct, its text without the runs of lines, of
+    ``min_words`` words or more, that stand earlier in the corpus, those runs as (from, to) line places
+    from 0, both included, and how many lines of it have a word.
+
+    Earlier is by key, then by the order in which rows were numbered, then by place in the text. Lines
+    are compared in lower case with one space between words. Blank lines inside a deleted run go with it.
 
     A null text stays null and an empty one empty; null keys come first; of repeated rows one keeps
     its lines; a text whose lines all repeat becomes empty; texts under ``min_words`` words stay; an
-    empty table gives no rows; columns that clash with _runs, _n_lines, _lines or _of are replaced.
+    empty table gives no rows; a caller's other columns may have any name.
     """
-    folder, row = scratch_dir(docs.sparkSession), free_name(docs, "row")
-    rows = numbered(docs.drop("_runs", "_n_lines", "_lines", "_of"), f"{folder}/rows", row)
-    windows = materialize(fingerprints(rows, row, key, text, min_words), f"{folder}/windows")
-    runs = repeated_runs(windows, every).withColumnRenamed("row", "_of").withColumnRenamed("runs", "_runs")
-    out = rows.join(runs, F.col(row) == F.col("_of"), "left").withColumn("_runs", F.coalesce("_runs", F.array().cast("array<struct<from:int,to:int>>")))
-    out = out.withColumn("_lines", F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n"))  # a column, so that lambdas don't split anew
-    out = out.withColumn("_n_lines", F.size(F.filter("_lines", lambda x: F.regexp_like(x, F.lit("[^\\x20\\x09-\\x0D]")))))
+    folder = scratch_dir(docs.sparkSession)
+    rows = numbered(boxed(docs), f"{folder}/rows", "_row")
+    found = materialize(windows(rows, inside(key), inside(text), min_words), f"{folder}/windows")
+    runs = small_side(materialize(repeated_runs(found).withColumnRenamed("row", "of"), f"{folder}/runs"))
+    out = rows.join(runs, F.col("_row") == F.col("of"), "left").withColumn("runs", F.coalesce("runs", F.array().cast(RUNS)))
+    out = out.withColumn("lines", F.split(F.coalesce(inside(text), F.lit("")), "\n"))  # a column, so that lambdas don't split anew
     # What stays lies between one run's end and the next run's start.
-    begins = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: r["to"] + 1))
-    stops = F.concat(F.transform("_runs", lambda r: r["from"]), F.array(F.size("_lines")))
-    kept = F.flatten(F.zip_with(begins, stops, lambda a, b: F.slice("_lines", a + 1, b - a)))
-    out = out.withColumn(text, F.when(F.size("_runs") > 0, F.array_join(kept, "\n")).otherwise(F.col(f"`{text}`")))
-    return out.drop(row, "_of", "_lines")
+    begins = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["to"] + 1))
+    stops = F.concat(F.transform("runs", lambda r: r["from"]), F.array(F.size("lines")))
+    kept = F.flatten(F.zip_with(begins, stops, lambda a, b: F.slice("lines", a + 1, b - a)))
+    new = F.when(F.size("runs") > 0, F.array_join(kept, "\n")).otherwise(inside(text))
+    n_lines = F.size(F.filter("lines", lambda x: F.regexp_like(x, F.lit("[^\\x20\\x09-\\x0D]"))))
+    return out.select("doc", new.alias("new_text"), "runs", n_lines.alias("n_lines"))
+
 
+def dedup_documents(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """The documents without their repeated runs, columns as they came; documents of which nothing is left go.
 
-def dedup_documents(docs: DataFrame) -> DataFrame:
-    """``dedup_lines`` with production parameters; documents of which nothing is left go, columns stay."""
-    out = dedup_lines(docs, every=True).where((F.size("_runs") == 0) | (F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) != ""))
-    count = F.when(F.size("_runs") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", count).select(*docs.columns)
+    ``n_chars`` names a column to bring up to date, if there is one. For nulls, repeated rows, clashing
+    columns and empty tables see ``deduplicated``.
+    """
+    out = deduplicated(docs, min_words, key, text).where((F.size("runs") == 0) | (F.btrim("new_text", F.lit(" \t\n\x0b\x0c\r")) != ""))
+    of = {text: F.col("new_text").alias(text)}
+    if n_chars in docs.columns:
+        of[n_chars] = F.when(F.size("runs") > 0, F.char_length("new_text").cast(docs.schema[n_chars].dataType)).otherwise(inside(n_chars)).alias(n_chars)
+    return out.select(*(of[c] if c in of else unboxed([c])[0] for c in docs.columns))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the runs that repeat: doc_id, n_lines, n_lines_removed, runs and text."""
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), every=True)
-    removed = F.aggregate("_runs", F.lit(0), lambda n, r: n + r["to"] - r["from"] + 1)
-    return out.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), removed.cast("long").alias("n_lines_removed"), F.col("_runs").alias("runs"), "text")
+    out = deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    removed = F.aggregate("runs", F.lit(0), lambda n, r: n + r["to"] - r["from"] + 1)
+    return out.select(inside("doc_id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), removed.cast("long").alias("n_lines_removed"), "runs", F.col("new_text").alias("text"))

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import free_name, materialize, n_words, scratch_dir, small_side
+from ._common import boxed, inside, materialize, n_words, numbered, scratch_dir, small_side, unboxed
 
 #: Buckets of the seeded order: a source's cut is first found among bucket sums, then in one bucket.
 BUCKETS = 4096
@@ -41,10 +41,11 @@ def targets(sources: DataFrame, total: float, max_epochs: float) -> DataFrame:
     return sources.withColumn("target", F.when(clamped, cap).otherwise(F.col("weight") * F.lit(level or 0.0)))
 
 
-def sizes(docs: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
-    """Columns _source, _size and _order (the seeded place of a document in its source) added."""
-    order = F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("string"), F.col(f"`{text}`"))
-    return docs.withColumns({"_source": F.col(f"`{source}`"), "_size": n_words(F.col(f"`{text}`")), "_order": order})
+def sized(docs: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
+    """(doc, source, size, order) of each row: order is its seeded place in its source."""
+    rows = boxed(docs)
+    order = F.xxhash64(F.lit(seed), inside(key).cast("string"), inside(text))
+    return rows.select("doc", inside(source).alias("source"), n_words(inside(text)).alias("size"), order.alias("order"))
 
 
 def bucket(order: Column) -> Column:
@@ -52,71 +53,99 @@ def bucket(order: Column) -> Column:
     return F.shiftright(order, 52) + F.lit(BUCKETS // 2)
 
 
-def cuts(sized: DataFrame, sources: DataFrame) -> DataFrame:
+def cuts(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """For each source its whole repetitions and which documents are taken once more.
 
-    Returns (source, source_size, target, whole, cut, last): documents below ``cut`` in the order
-    are taken once more, and of the others the one at ``last``, whose size comes nearest to what
-    is then left to take. Either may be null.
+    Returns (source, source_size, target, whole, cut, copies, last): documents below ``cut`` in the
+    order are taken once more, of the rows at ``cut`` so many ``copies``, and of the others one at
+    ``last``, whose size comes nearest to what is then left to take. cut and last may be null. Rows
+    equal in key and text have one place in the order; elsewhere a place has one row.
     """
-    same = F.col("_source").eqNullSafe(F.col("source"))
+    folder, same = scratch_dir(sizes.sparkSession), F.col("source").eqNullSafe(F.col("s"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     planned = sources.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    planned = materialize(planned, f"{scratch_dir(sized.sparkSession)}/planned")
-    sums = sized.groupBy("_source", bucket(F.col("_order")).alias("bucket")).agg(F.sum("_size").alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = sums.withColumn("before", before).join(small_side(planned.select("source", "rest")), same)
+    planned = materialize(planned, f"{folder}/planned")
+    sums = sizes.groupBy("source", bucket(F.col("order")).alias("bucket")).agg(F.sum("size").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = sums.withColumn("before", before).join(small_side(planned.select(F.col("source").alias("s"), "rest")), same)
     # The bucket in which the sum passes what is left to take; a source has one at most.
-    passed = small_side(at.where("before <= rest and before + size > rest").select("source", "bucket", "before", "rest"))
-    rows = sized.withColumn("b", bucket(F.col("_order"))).join(passed, same & (F.col("b") == F.col("bucket")))
-    ties = rows.groupBy("source", "before", "rest", "_order").agg(F.sum("_size").alias("size"))  # equal rows are taken together
-    running = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("_order"))
-    ends = ties.select("source", "_order", (F.col("rest") - running + F.col("size")).alias("gap"), running.alias("running"), "rest")
-    crossing = ends.where("running > rest").groupBy("source").agg(F.min("_order").alias("cut"), F.min_by("gap", "_order").alias("gap"))
-    crossing = small_side(materialize(crossing, f"{scratch_dir(sized.sparkSession)}/crossing"))
-    later = sized.join(crossing, same & (F.col("_order") >= F.col("cut"))).groupBy("source", "cut", "gap", "_order").agg(F.sum("_size").alias("size"))
+    passed = small_side(at.where("before <= rest and before + size > rest").select("s", F.col("bucket").alias("b"), "before", "rest"))
+    rows = sizes.join(passed, same & (bucket(F.col("order")) == F.col("b")))
+    ties = rows.groupBy("s", "before", "rest", "order").agg(F.max("size").alias("each"), F.sum("size").alias("size"))
+    running = F.col("before") + F.sum("size").over(Window.partitionBy("s").orderBy("order"))
+    ends = ties.select("s", "order", "each", (F.col("rest") - running + F.col("size")).alias("left"), running.alias("running"), "rest")
+    crossing = ends.where("running > rest").groupBy("s").agg(F.min(F.struct("order", "each", "left")).alias("c"))
+    copies = F.floor(F.col("c.left") / F.col("c.each"))
+    crossing = crossing.select("s", F.col("c.order").alias("cut"), copies.alias("copies"), (F.col("c.left") - copies * F.col("c.each")).alias("gap"))
+    crossing = small_side(materialize(crossing, f"{folder}/crossing"))
+    later = sizes.join(crossing, same & (F.col("order") >= F.col("cut")))
     off = F.abs(F.col("size") - F.col("gap"))
-    last = later.where(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "_order"))["_order"].alias("last"))
-    cut = crossing.select(F.col("source").alias("s"), "cut").join(last.withColumnRenamed("source", "z"), F.col("s").eqNullSafe(F.col("z")), "left")
-    return planned.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "whole", "cut", "last")
+    last = later.where(off < F.col("gap")).groupBy("s").agg(F.min(F.struct(off.alias("off"), "order"))["order"].alias("last")).withColumnRenamed("s", "z")
+    cut = crossing.join(last, F.col("s").eqNullSafe(F.col("z")), "left").select("s", "cut", "copies", "last")
+    return planned.join(cut, same, "left").select("source", "source_size", "target", "whole", "cut", "copies", "last")
+
+
+def _ranked(equal: DataFrame, path: str) -> DataFrame:
+    """``equal`` with nth, from 0 within a source's place in the order: numbered a task, then over the tasks."""
+    rows = numbered(equal, path, "id").withColumn("task", F.shiftright("id", 33))
+    own = ["source", "order", "task"]
+    counts = rows.groupBy(*own).agg(F.count("*").alias("n"))
+    base = F.coalesce(F.sum("n").over(Window.partitionBy("source", "order").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = small_side(counts.select(F.col("source").alias("s2"), F.col("order").alias("o2"), F.col("task").alias("t2"), base.alias("base")))
+    found = rows.join(bases, F.col("source").eqNullSafe(F.col("s2")) & (F.col("order") == F.col("o2")) & (F.col("task") == F.col("t2")))
+    return found.withColumn("nth", F.col("base") + F.row_number().over(Window.partitionBy(*own).orderBy("id")) - 1).drop("id", "task", "s2", "o2", "t2", "base")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: float = 3.0, seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """All rows of ``docs`` with _size, _source_size, _target and _times, how often the mix has each.
+    """(doc, size, source_size, target, times): each row as a struct, its words, those of its source,
+    its source's target, and how often the mix has it.
 
     Sources, in the order of their code points and null last, weigh as ``weights`` repeats, and
-    share 100% of all words. A row's order depends on seed, key and text alone, so reruns agree.
+    share 100% of all words. A row's order depends on seed, key and text alone, so reruns agree; of
+    rows equal in key and text as many are taken as the target asks for, and it doesn't matter which.
 
-    A null text has size 0; a null source is a source; rows equal in key and text are taken
-    together; documents without words come with the whole repetitions and in the fraction like
-    others; a source without words has target 0; an empty table gives no rows; other columns stay.
+    A null text has size 0; a null key or source is one like others; documents without words come
+    with the whole repetitions and in the fraction like others; a source without words has target 0;
+    an empty table gives no rows; a caller's columns may have any name.
     """
-    spark, folder = docs.sparkSession, scratch_dir(docs.sparkSession)
-    clash = [c for c in docs.columns if c.lower() in {"_size", "_source_size", "_target", "_times", "_source", "_order"}]
-    kept = {c: free_name(docs, f"{c}_in") for c in clash}
-    docs = docs.withColumnsRenamed(kept)
-    sized = materialize(sizes(docs, kept.get(key, key), kept.get(text, text), kept.get(source, source), seed).select("_source", "_size", "_order"), f"{folder}/sizes")
-    table = sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
+    folder = scratch_dir(docs.sparkSession)
+    rows = sized(docs, key, text, source, seed)
+    sizes = materialize(rows.drop("doc"), f"{folder}/sizes")
+    table = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # a row a source
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (nth % len(weights) + 1).cast("int"))
     table = materialize(table.withColumn("weight", weight), f"{folder}/sources")
     total = table.agg(F.sum("source_size")).first()[0] or 0
-    found = materialize(cuts(sized, targets(table, float(total), max_epochs)), f"{folder}/cuts")
-    side = small_side(found.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"), F.col("last").alias("_last")))
-    joined = sizes(docs, kept.get(key, key), kept.get(text, text), kept.get(source, source), seed).join(side, F.col("_source").eqNullSafe(F.col("_s")))
-    more = F.when((F.col("_order") < F.col("_cut")) | (F.col("_order") == F.col("_last")), 1).otherwise(0)
-    # Documents without words may lie before the cut of a source that is at its cap already.
-    times = F.least(F.col("_whole") + more, F.lit(math.ceil(max_epochs))).alias("_times")
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), "_size", "_source_size", "_target", times)
+    found = materialize(cuts(sizes, targets(table, float(total), max_epochs)).withColumnRenamed("source", "s"), f"{folder}/cuts")
+    rows = rows.join(small_side(found), F.col("source").eqNullSafe(F.col("s")))
+    at_cut, at_last = (F.coalesce(F.col("order") == F.col(c), F.lit(False)) for c in ("cut", "last"))
+    # How many of the rows at this place of the order are taken once more: all below the cut.
+    asked = F.when(at_cut, F.col("copies")).otherwise(0) + at_last.cast("int")
+    below = F.coalesce(F.col("order") < F.col("cut"), F.lit(False))
+    of = found.select(F.col("s").alias("s3"), F.explode(F.array_distinct(F.array_compact(F.array("cut", "last")))).alias("o3"))
+    several = sizes.join(small_side(of), F.col("source").eqNullSafe(F.col("s3")) & (F.col("order") == F.col("o3"))).groupBy("source", "order").count().where("count > 1")
+    some = materialize(several.select(F.col("source").alias("s4"), F.col("order").alias("o4")), f"{folder}/several")  # two places a source at most
+
+    def times(more: Column) -> Column:
+        # Documents without words may lie before the cut of a source that is at its cap already.
+        return F.least(F.col("whole") + more, F.lit(math.ceil(max_epochs))).alias("times")
+
+    columns, once = ["doc", "size", "source_size", "target"], F.when(below | (asked > 0), 1).otherwise(0)
+    if some.limit(1).count():
+        equal = F.col("source").eqNullSafe(F.col("s4")) & (F.col("order") == F.col("o4"))
+        ranked = _ranked(rows.withColumn("asked", asked).join(small_side(some), equal, "left_semi"), f"{folder}/equal")
+        taken = ranked.select(*columns, times((F.col("nth") < F.col("asked")).cast("int")))
+        return rows.join(small_side(some), equal, "left_anti").select(*columns, times(once)).unionByName(taken)
+    return rows.select(*columns, times(once))
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row as often as it is taken."""
-    out = mix(docs, **how)
-    return out.where("_times > 0").withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The mix itself: each row as often as it is taken, columns as they came."""
+    out = mix(docs, **how).where("times > 0")
+    return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*unboxed(docs.columns))
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and how many of their words the mix takes."""
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_times")).alias("taken"))
+    return out.select(inside("doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))

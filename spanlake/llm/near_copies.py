@@ -6,22 +6,33 @@ are linked by anchor-point covering, as in ``simhash``. At a similarity of 0.8 f
 some 10 bits of 64, beyond any radius whose replicas can be paid for, so the others are found by their
 shingles: put in any one order, two sets this much alike share one of the first n // 5 + 1 of each.
 So no pair is missed. The order puts shingles that a sample shows to be frequent last, which keeps
-the texts that share a first shingle few.
+the sets that share a first shingle few.
+
+The pairs of sets that share a first shingle are not all made, since only the groups count. Each
+shingle has a hub, the set in which it comes earliest: of a text and its copies that is the text, as a
+copy's own shingles come first in it. All others are compared with the hub, and what is alike is one group.
+Only between sets that still lie in different groups are the other pairs compared: first with a second
+hub, and so on while that joins groups and more pairs than rows are left, then all.
+
+Most pairs only share a passage. An odd sketch of each set, a bit for the parity of each hash bucket,
+tells them at a hundredth of the set's size: two sets differ by no less than their sketches do.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from ._common import free_name, materialize, scratch_dir, small_side
+from ._common import boxed, inside, materialize, scratch_dir, small_side, unboxed
 from .tokens import texts
 
 WIDTH, SEED = 5, 42
 #: Documents in the sample that orders the shingles, how often one must be met there, and how many are kept.
 SAMPLE, SAMPLE_MIN, SAMPLE_KEPT = 20_000, 3, 200_000
+#: Pairs a row that are compared without another hub.
+PAIRS_A_ROW = 4
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -65,8 +76,14 @@ def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], counts[order]
 
 
+def odd_sketch(hs: np.ndarray) -> np.ndarray:
+    """For a set of n hashes 64-bit words of n bits or up to twice as many, a power of two: whether each bit's hashes are odd in number."""
+    bits = 64 << max(0, (len(hs) - 1).bit_length() - 6)
+    return np.packbits(np.bincount((hs & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").view(np.uint64)
+
+
 def sketched(rows: DataFrame) -> DataFrame:
-    """(t1, t2, fp, own, n, prefix): SimHash, hash of the set, its size and its first shingles in the common order."""
+    """(t1, t2, fp, own, n, odd, prefix): SimHash, hash of the set, its size, odd sketch and first shingles in the common order."""
     hashes, counts = frequent(rows)
 
     def run(batches):
@@ -74,49 +91,117 @@ def sketched(rows: DataFrame) -> DataFrame:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            fp, own, size, first = [], [], [], []
+            fp, own, size, odd, first = [], [], [], [], []
             for hs in (shingles(x) for x in texts(batch, "text")):
                 bits = np.unpackbits(hs.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
                 fp.append(int.from_bytes(np.packbits(2 * bits > len(hs), bitorder="little").tobytes(), "little"))
                 own.append(xxh64_intdigest(hs.tobytes(), SEED) if len(hs) else 0)
                 size.append(len(hs))
+                odd.append(odd_sketch(hs))
                 rank = np.zeros(len(hs), np.int64)
                 if len(hashes):
                     at = np.minimum(np.searchsorted(hashes, hs), len(hashes) - 1)
                     rank = np.where(hashes[at] == hs, counts[at], 0)
                 first.append(hs[np.lexsort((hs, rank))[: len(hs) // 5 + 1]])
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, own)]
-            yield pa.RecordBatch.from_arrays([batch.column("t1"), batch.column("t2"), *longs, pa.array(size, pa.int32()), _lists(first)], ["t1", "t2", "fp", "own", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("t1"), batch.column("t2"), *longs, pa.array(size, pa.int32()), _lists(odd), _lists(first)], ["t1", "t2", "fp", "own", "n", "odd", "prefix"])
+
+    return rows.mapInArrow(run, "t1 long, t2 long, fp long, own long, n int, odd array<long>, prefix array<long>")
+
+
+def _sided(df: DataFrame, side: str, *columns: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(f"{c}_{side}") for c in columns))
+
+
+#: Of sets of n_a and n_b shingles: neither is too small for the other; and what they share from the
+#: places of a shared first shingle on, which is no more than what is left of either, may be enough.
+SIZES = "5L * n_a >= 4L * n_b AND 5L * n_b >= 4L * n_a"
+MET = ("h", "own", "at", "n", "of")
+ENOUGH = "9L * (least(at_a, at_b) + least(n_a - at_a, n_b - at_b)) >= 4L * (n_a + n_b)"
+
+
+def by_fingerprint(classes: DataFrame) -> DataFrame:
+    """(a, b): the pairs a < b of sets whose fingerprints are linked, from a written table of classes."""
+    edges = simhash.links(classes.select("fp").distinct(), halves=True)
+    near = edges.join(_sided(classes, "a", "fp", "own", "n"), F.col("a") == F.col("fp_a")).join(_sided(classes, "b", "fp", "own", "n"), F.col("b") == F.col("fp_b"))
+    return near.where(SIZES).select(F.least("own_a", "own_b").alias("a"), F.greatest("own_a", "own_b").alias("b"))
 
-    return rows.mapInArrow(run, "t1 long, t2 long, fp long, own long, n int, prefix array<long>")
 
+def by_hub(met: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(a, b): the pairs a < b of each set of ``met`` (h, own, at, n, of) and the hub of a shingle it has, if of another group."""
+    near = _sided(met, "a", *MET).join(_sided(hubs, "b", *MET), F.col("h_a") == F.col("h_b")).where(f"of_a <> of_b AND {SIZES} AND {ENOUGH}")
+    return near.select(F.least("own_a", "own_b").alias("a"), F.greatest("own_a", "own_b").alias("b")).distinct()
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): the pairs a < b of distinct sets that may be near copies, from a written table."""
-    post = classes.select("own", "n", F.posexplode("prefix").alias("at", "h"))
-    x, y = (post.select("h", *(F.col(c).alias(f"{c}_{k}") for c in ("own", "n", "at"))) for k in "ab")
-    met = x.join(y, "h").where("own_a < own_b AND 5L * n_a >= 4L * n_b AND 5L * n_b >= 4L * n_a")
-    # What is shared from here on can't be more than what is left of either; of several meetings the first counts.
-    by_prefix = met.where("9L * (least(at_a, at_b) + least(n_a - at_a, n_b - at_b)) >= 4L * (n_a + n_b)").select(F.col("own_a").alias("a"), F.col("own_b").alias("b"))
-    edges = simhash.links(classes.select("fp").distinct())
-    p, q = (classes.select(F.col("fp").alias(f"fp_{k}"), F.col("own").alias(f"own_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
-    near = edges.join(p, F.col("a") == F.col("fp_a")).join(q, F.col("b") == F.col("fp_b"))
-    near = near.where("5L * n_a >= 4L * n_b AND 5L * n_b >= 4L * n_a")
-    return by_prefix.union(near.select(F.least("own_a", "own_b"), F.greatest("own_a", "own_b"))).distinct()
 
+def hubs_of(met: DataFrame) -> DataFrame:
+    """(h, own, at, n, of): of each shingle the set in which it comes earliest."""
+    return met.groupBy("h").agg(F.min(F.struct("at", "own", "n", "of")).alias("hub")).select("h", "hub.*")
 
-def alike(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs whose sets have a similarity of 0.8 or more."""
-    folder = scratch_dir(rows.sparkSession)
+
+def folded(odd: str, words) -> Column:
+    """An odd sketch at half its length, if it is longer than ``words``."""
+    return F.when(F.size(odd) > words, F.zip_with(F.slice(odd, 1, words), F.slice(odd, words + 1, words), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(odd))
+
+
+def may_be_alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs of ``pairs``, all of which fit in size, but those whose sketches differ by more than sets of a similarity of 0.8 may."""
+    both = pairs.join(_sided(classes, "a", "own", "n", "odd"), F.col("a") == F.col("own_a")).join(_sided(classes, "b", "own", "n", "odd"), F.col("b") == F.col("own_b"))
+    words = F.least(F.size("odd_a"), F.size("odd_b"))
+    unlike = F.zip_with(folded("odd_a", words), folded("odd_b", words), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return both.where(9 * F.aggregate(unlike, F.lit(0), lambda n, k: n + k) <= F.col("n_a") + F.col("n_b")).select("a", "b")
+
+
+def alike(pairs: DataFrame, classes: DataFrame, rows: DataFrame, folder: str) -> DataFrame:
+    """The pairs whose sets have a similarity of 0.8 or more, written."""
+    pairs = materialize(may_be_alike(pairs, classes), f"{folder}/sketches-alike")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct()
     keys = materialize(classes.join(wanted, F.col("own") == F.col("of"), "left_semi").select("own", F.col("text.t1").alias("k1"), F.col("text.t2").alias("k2")), f"{folder}/wanted")
     body = rows.join(small_side(keys.select("k1", "k2")), (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")), "left_semi")
     found = sets(body).dropDuplicates(["t1", "t2"]).join(keys, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))).select("own", "hs")
     found = materialize(found, f"{folder}/sets")
-    x, y = (found.select(F.col("own").alias(f"own_{k}"), F.col("hs").alias(f"hs_{k}")) for k in "ab")
-    both = pairs.join(x, F.col("a") == F.col("own_a")).join(y, F.col("b") == F.col("own_b"))
+    both = pairs.join(_sided(found, "a", "own", "hs"), F.col("a") == F.col("own_a")).join(_sided(found, "b", "own", "hs"), F.col("b") == F.col("own_b"))
     shared = F.size(F.array_intersect("hs_a", "hs_b")).cast("long")
-    return both.where(9 * shared >= 4 * (F.size("hs_a") + F.size("hs_b"))).select("a", "b")
+    return materialize(both.where(9 * shared >= 4 * (F.size("hs_a") + F.size("hs_b"))).select("a", "b"), f"{folder}/alike")
+
+
+def groups(known: DataFrame, rows: DataFrame, folder: str) -> DataFrame:
+    """(node, label): the sets that are alike, or linked by such as are, and their group's least one.
+
+    ``known`` is a written ``sketched`` table of ``rows``.
+    """
+    classes = known.groupBy("own").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.min(F.struct("t1", "t2")).alias("text"))
+    classes = materialize(classes, f"{folder}/classes")
+    post = known.select("own", "n", F.posexplode("prefix").alias("at", "h"))
+    several = post.groupBy("h").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select(F.col("h").alias("of"))
+    met = materialize(post.join(small_side(materialize(several, f"{folder}/several")), F.col("h") == F.col("of"), "left_semi").distinct().withColumn("of", F.col("own")), f"{folder}/met")
+    hubs = materialize(hubs_of(met), f"{folder}/hubs-0")
+    tried = materialize(by_fingerprint(classes).union(by_hub(met, hubs)).distinct(), f"{folder}/pairs-0")
+    found = alike(tried, classes, rows, f"{folder}/0")
+    k, new = 0, found
+    while True:
+        k += 1
+        labels = simhash.components(found)
+        grouped = met.drop("of").join(labels, F.col("own") == F.col("node"), "left").withColumn("of", F.coalesce("label", "own")).drop("node", "label")
+        # Shingles whose sets lie in several groups, without the hubs, which have been compared with all.
+        mixed = grouped.groupBy("h").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("h")
+        left = grouped.join(small_side(materialize(mixed, f"{folder}/mixed-{k}")), "h", "left_semi").join(hubs.select("h", "own"), ["h", "own"], "left_anti")
+        left = materialize(left, f"{folder}/left-{k}")
+        size = left.groupBy("h", "of").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("s"))
+        total = size.agg(F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("s")) / 2).alias("pairs")).first()
+        if not total.pairs:
+            return labels
+        hubs = materialize(hubs_of(left), f"{folder}/hubs-{k}")
+        more = total.pairs > PAIRS_A_ROW * total.rows and new.limit(1).count() > 0
+        if more:
+            pairs = by_hub(left, hubs)
+        else:
+            x, y = (_sided(left, side, *MET) for side in "ab")
+            pairs = x.join(y, (F.col("h_a") == F.col("h_b")) & F.expr(f"own_a < own_b AND of_a <> of_b AND {SIZES} AND {ENOUGH}")).select(F.col("own_a").alias("a"), F.col("own_b").alias("b")).distinct()
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), f"{folder}/pairs-{k}")
+        new = alike(pairs, classes, rows, f"{folder}/{k}")
+        found, tried, met = found.union(new), tried.union(pairs), left
+        if not more:
+            return simhash.components(found)
 
 
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,32 +209,24 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     Of equal keys the least by a 128-bit hash of the text stays, and of rows equal in both one. A null
     key stays only where its group has no other. Null, empty and wordless texts are alike. Columns stay
-    as they came.
+    as they came and may have any name; an empty table gives no rows.
     """
-    folder = scratch_dir(docs.sparkSession)
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    place = [F.col(f"`{key}`").isNull(), F.col(f"`{key}`"), F.xxhash64(body), F.xxhash64(F.lit(1), body)]
-    bodies = docs.select(place[2].alias("t1"), place[3].alias("t2"), body.alias("text"))
+    folder, box = scratch_dir(docs.sparkSession), boxed(docs)
+    body = F.coalesce(inside(text), F.lit(""))
+    place = {"p0": inside(key).isNull(), "p1": inside(key), "t1": F.xxhash64(body), "t2": F.xxhash64(F.lit(1), body)}
+    bodies = box.select(place["t1"].alias("t1"), place["t2"].alias("t2"), body.alias("text"))
     known = materialize(sketched(bodies), f"{folder}/sketched")
-    classes = known.groupBy("own").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min(F.struct("t1", "t2")).alias("text"), F.first("prefix").alias("prefix"))
-    classes = materialize(classes, f"{folder}/classes")
-    pairs = materialize(candidates(classes), f"{folder}/candidates")
-    labels = simhash.components(alike(pairs, classes, bodies))
+    labels = groups(known, bodies, folder)
     # Each text's group, for the texts of groups with several rows; the rest of the table is never moved.
     grouped = known.select("t1", "t2", "own").join(labels, F.col("own") == F.col("node"), "left").select("t1", "t2", F.coalesce("label", "own").alias("label"))
     many = grouped.groupBy("label").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("label").alias("of"))
     of_text = grouped.join(many, F.col("label") == F.col("of"), "left_semi").distinct()
     of_text = small_side(materialize(of_text.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "label"), f"{folder}/groups"))
-    names = [free_name(docs, f"place{k}") for k in range(len(place))]
-    group = free_name(docs, "group_of")
-    rows = docs.withColumns(dict(zip(names, place, strict=True)))
-    rows = rows.join(of_text.withColumnRenamed("label", group), (F.col(names[2]) == F.col("_t1")) & (F.col(names[3]) == F.col("_t2")), "left").drop("_t1", "_t2")
-    single = rows.where(F.col(group).isNull())
-    order = F.struct(*names)
-    least = rows.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("_of")).agg(F.min(order).alias("_least"))
-    first = rows.where(F.col(group).isNotNull()).join(small_side(materialize(least, f"{folder}/least")), F.col(group) == F.col("_of"))
-    for k, n in enumerate(names):
-        first = first.where(F.col(n).eqNullSafe(F.col("_least").getField(names[k])))
-    first = first.dropDuplicates(names)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return single.select(*columns).union(first.select(*columns))
+    rows = box.withColumns(place).join(of_text, (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")), "left")
+    order = F.struct("p0", "p1", "t1", "t2")
+    least = rows.where("label is not null").groupBy(F.col("label").alias("of")).agg(F.min(order).alias("least"))
+    first = rows.where("label is not null").join(small_side(materialize(least, f"{folder}/least")), F.col("label") == F.col("of"))
+    for c in place:
+        first = first.where(F.col(c).eqNullSafe(F.col("least").getField(c)))
+    first = first.dropDuplicates(list(place))
+    return rows.where("label is null").select(*unboxed(docs.columns)).union(first.select(*unboxed(docs.columns)))

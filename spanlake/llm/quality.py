@@ -6,8 +6,8 @@ line are counted; lines above the limit go, and a document that loses most of it
 
 Copies must not make each other's lines frequent. Lines that more documents with different lines have
 than the limit are common; whatever is frequent is among them. A document then stands for itself by its
-longest line that isn't common, so that no boilerplate makes two documents one, while exact copies and
-most near copies are one. Where common lines hold nearly all its words, it is known by the longest of
+longest line that isn't common, the first of equals, so that no boilerplate makes two documents one,
+while exact copies and most near copies are one. Where common lines hold nearly all its words, it is known by the longest of
 those: it is a near copy of the others that have them.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import free_name, materialize, numbered, scratch_dir, small_side, words
+from ._common import boxed, inside, materialize, numbered, scratch_dir, small_side, unboxed, words
 
 #: A line goes if more distinct documents of its host have it than both of these allow.
 MIN_DOCS, MIN_SHARE = 20, 0.002
@@ -45,94 +45,96 @@ def with_repeated_words(df: DataFrame, listed: str, name: str) -> DataFrame:
     return df.withColumn(name, F.coalesce(reach["n"], F.lit(0)).cast("bigint")).drop("_windows", "_placed")
 
 
-def measure(docs: DataFrame, text: str, host: str, keep: list[str]) -> DataFrame:
-    """Counts and hashed lines of each row: ``keep``, _host, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words and _lines, an array of (h, n, at): hash, words and place of each line that has a word.
+def measure(docs: DataFrame) -> DataFrame:
+    """Counts and hashed lines of each row of (doc, host, text): doc, host, n_words, word_chars, n_symbols,
+    n_dup_lines, n_repeat_words and lines, an array of (h, n, at): hash, words and place of each line that has a word.
     """
-    step = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{host}`").alias("_host"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    step = step.withColumn("_split", F.split("_text", "\n"))
-    step = step.withColumn("_by_line", F.transform("_split", words))
-    step = step.withColumn("_all", F.flatten("_by_line"))
-    step = with_repeated_words(step, "_all", "_repeated")
-    full = F.filter("_split", lambda x, i: F.size(F.get("_by_line", i)) > 0)
+    step = docs.select("doc", "host", F.coalesce("text", F.lit("")).alias("text"))
+    step = step.withColumn("split", F.split("text", "\n"))
+    step = step.withColumn("by_line", F.transform("split", words))
+    step = step.withColumn("all", F.flatten("by_line"))
+    step = with_repeated_words(step, "all", "repeated")
+    full = F.filter("split", lambda x, i: F.size(F.get("by_line", i)) > 0)
     line = lambda w, i: F.struct(F.xxhash64(F.regexp_replace(F.lower(F.array_join(w, " ")), "[0-9]+", "0")).alias("h"), F.size(w).alias("n"), i.alias("at"))
     return step.select(
-        *(F.col(f"`{c}`") for c in keep), "_host",
-        F.size("_all").cast("long").alias("n_words"),
-        F.char_length(F.array_join("_all", "")).cast("long").alias("word_chars"),
-        F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        "doc", "host",
+        F.size("all").cast("long").alias("n_words"),
+        F.char_length(F.array_join("all", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size(full) - F.size(F.array_distinct(full))).cast("long").alias("n_dup_lines"),
-        F.col("_repeated").alias("n_repeat_words"),
-        F.filter(F.transform("_by_line", line), lambda x: x["n"] > 0).alias("_lines"),
+        F.col("repeated").alias("n_repeat_words"),
+        F.filter(F.transform("by_line", line), lambda x: x["n"] > 0).alias("lines"),
     )
 
 
 def frequent_lines(measured: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(_host, h, n_docs) of the lines above their host's limit, from a written ``measure`` table with _row."""
+    """(host, h, n_docs) of the lines above their host's limit, from a written ``measure`` table with row."""
     folder = scratch_dir(measured.sparkSession)
-    whole = F.array_sort(F.array_distinct("_lines.h"))
-    sets = measured.select("_host", F.xxhash64(whole).alias("whole"), F.explode(whole).alias("h")).distinct()
-    common = sets.groupBy("_host", "h").agg(F.count("*").alias("n_sets")).where(F.col("n_sets") > min_docs)
-    common = small_side(materialize(common.select(F.col("_host").alias("of"), F.col("h").alias("shared")), f"{folder}/common"))
-    lines = measured.select("_row", "_host", F.inline("_lines"))
-    lines = lines.join(common, (F.col("h") == F.col("shared")) & F.col("_host").eqNullSafe(F.col("of")), "left")
-    own, longest = F.col("shared").isNull(), F.struct("n", "h")
-    docs = lines.groupBy("_row", "_host").agg(
+    whole = F.array_sort(F.array_distinct("lines.h"))
+    sets = measured.select("host", F.xxhash64(whole).alias("whole"), F.explode(whole).alias("h")).distinct()
+    common = sets.groupBy("host", "h").agg(F.count("*").alias("n_sets")).where(F.col("n_sets") > min_docs)
+    common = small_side(materialize(common.select(F.col("host").alias("of"), F.col("h").alias("shared")), f"{folder}/common"))
+    lines = measured.select("row", "host", F.inline("lines"))
+    lines = lines.join(common, (F.col("h") == F.col("shared")) & F.col("host").eqNullSafe(F.col("of")), "left")
+    own, longest = F.col("shared").isNull(), F.struct("n", -F.col("at"), "h")
+    docs = lines.groupBy("row", "host").agg(
         F.max(F.when(own, longest))["h"].alias("own"), F.max(F.when(~own, longest))["h"].alias("other"),
         F.sum(F.when(own, F.col("n")).otherwise(0)).alias("n_own"), F.sum("n").alias("n"), F.collect_set("shared").alias("hs"),
     )
-    sketch = F.when(F.col("other").isNull() | (F.col("n_own") * OWN_IN >= F.col("n")), F.col("own")).otherwise(F.col("other"))
-    sketched = materialize(docs.select("_host", sketch.alias("sketch"), "hs"), f"{folder}/sketches")
-    hosts = sketched.select("_host", "sketch").distinct().groupBy("_host").agg(F.count("*").alias("docs"))
-    having = sketched.select("_host", "sketch", F.explode("hs").alias("h")).distinct()
-    seen = having.groupBy("_host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
-    limits = small_side(hosts.select(F.col("_host").alias("of"), (F.col("docs") * min_share).alias("most")))
-    return seen.join(limits, F.col("_host").eqNullSafe(F.col("of"))).where("n_docs > most").select("_host", "h", "n_docs")
+    known_by = F.when(F.col("other").isNull() | (F.col("n_own") * OWN_IN >= F.col("n")), F.col("own")).otherwise(F.col("other"))
+    known = materialize(docs.select("host", known_by.alias("known_by"), "hs"), f"{folder}/known")
+    hosts = known.select("host", "known_by").distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    having = known.select("host", "known_by", F.explode("hs").alias("h")).distinct()
+    seen = having.groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
+    limits = small_side(hosts.select(F.col("host").alias("of"), (F.col("docs") * min_share).alias("most")))
+    return seen.join(limits, F.col("host").eqNullSafe(F.col("of"))).where("n_docs > most").select("host", "h", "n_docs")
 
 
 def judge(docs: DataFrame, keep: list[str], text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """The verdict on each row of ``docs``.
 
-    Returns ``keep``, the counts of ``measure``, base_failed (under 50 words, or over half of them in
-    repeated windows), removed (the places of lines above their host's limit, from 0), n_words_left
-    and kept: true unless base_failed or depleted.
+    Returns doc (a struct of ``keep``), the counts of ``measure``, base_failed (under 50 words, or over
+    half of them in repeated windows), removed (the places of lines above their host's limit, from 0),
+    n_words_left and kept: true unless base_failed or depleted.
 
     A null or empty text has no words and so fails; a null host is a host; repeated rows get the
-    same verdict; an empty table gives no rows; other columns are ignored.
+    same verdict; an empty table gives no rows; columns may have any name, the others are ignored.
     """
-    folder = scratch_dir(docs.sparkSession)
-    measured = numbered(measure(docs, text, host, keep), f"{folder}/measured", "_row")
+    folder, rows = scratch_dir(docs.sparkSession), boxed(docs)
+    rows = rows.select(F.struct(*unboxed(keep)).alias("doc"), inside(host).alias("host"), inside(text).alias("text"))
+    measured = numbered(measure(rows), f"{folder}/measured", "row")
     frequent = materialize(frequent_lines(measured, min_docs, min_share), f"{folder}/frequent")
-    side = small_side(frequent.select(F.col("_host").alias("of"), "h"))
-    lines = measured.select("_row", "_host", F.inline("_lines"))
-    hits = lines.join(side, (lines.h == side.h) & F.col("_host").eqNullSafe(F.col("of"))).groupBy("_row").agg(F.sum("n").alias("lost"), F.sort_array(F.collect_list("at")).alias("removed"))
-    judged = measured.drop("_lines", "_host").join(hits, "_row", "left")
+    side = small_side(frequent.select(F.col("host").alias("of"), "h"))
+    lines = measured.select("row", "host", F.inline("lines"))
+    hits = lines.join(side, (lines.h == side.h) & F.col("host").eqNullSafe(F.col("of"))).groupBy("row").agg(F.sum("n").alias("lost"), F.sort_array(F.collect_list("at")).alias("removed"))
+    judged = measured.drop("lines", "host").join(hits, "row", "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
     removed = F.coalesce("removed", F.array().cast("array<int>")).alias("removed")
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return judged.select(*(F.col(f"`{c}`") for c in keep), *measures, failed.alias("base_failed"), removed, left.alias("n_words_left"), (~failed & (left >= F.col("n_words") * min_left)).alias("kept"))
+    return judged.select("doc", *measures, failed.alias("base_failed"), removed, left.alias("n_words_left"), (~failed & (left >= F.col("n_words") * min_left)).alias("kept"))
 
 
-def filter_documents(docs: DataFrame, text: str = "text", host: str = "source", n_chars: str | None = "n_chars", **limits) -> DataFrame:
+def filter_documents(docs: DataFrame, text: str = "text", host: str = "source", n_chars: str = "n_chars", **limits) -> DataFrame:
     """The documents that the rules keep, without their frequent lines; columns as they came.
 
     ``n_chars`` names a column to bring up to date, if there is one. For nulls, empty and repeated
-    rows see ``judge``.
+    rows and clashing columns see ``judge``.
     """
-    folder, row = scratch_dir(docs.sparkSession), free_name(docs, "row")
-    rows = numbered(docs, f"{folder}/rows", row)
-    verdicts = judge(rows, [row], text, host, **limits).where("kept").select(F.col(row).alias("_of"), F.col("removed").alias("_removed"))
-    left = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda _, i: ~F.array_contains("_removed", i))
-    joined = rows.join(verdicts, F.col(row) == F.col("_of"))
-    out = joined.withColumn(text, F.when(F.size("_removed") > 0, F.array_join(left, "\n")).otherwise(F.col(f"`{text}`")))
-    if n_chars and n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.size("_removed") > 0, F.char_length(F.col(f"`{text}`")).cast(docs.schema[n_chars].dataType)).otherwise(F.col(f"`{n_chars}`")))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = numbered(boxed(docs), f"{scratch_dir(docs.sparkSession)}/rows", "row")
+    asked = rows.select("row", inside(text).alias("text"), inside(host).alias("host"))
+    verdicts = judge(asked, ["row"], "text", "host", **limits).where("kept").select(inside("row").alias("of"), "removed")
+    out = rows.join(verdicts, F.col("row") == F.col("of"))
+    left = F.filter(F.split(inside(text), "\n"), lambda _, i: ~F.array_contains("removed", i))
+    out = out.withColumn("new_text", F.when(F.size("removed") > 0, F.array_join(left, "\n")).otherwise(inside(text)))
+    of = {text: F.col("new_text").alias(text)}
+    if n_chars in docs.columns:
+        of[n_chars] = F.when(F.size("removed") > 0, F.char_length("new_text").cast(docs.schema[n_chars].dataType)).otherwise(inside(n_chars)).alias(n_chars)
+    return out.select(*(of[c] if c in of else unboxed([c])[0] for c in docs.columns))
 
 
 def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of all documents."""
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"]).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left", F.size("removed").alias("n_lines_removed")
+        inside("doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left", F.size("removed").alias("n_lines_removed")
     )

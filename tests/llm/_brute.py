@@ -23,33 +23,38 @@ def counts(text):
     return out, out[0] < 50 or 100 * out[4] > 50 * out[0]
 
 
-def deduplicated(rows, min_words):
-    """Texts of (key, text) rows, in order, without lines in a window that stands earlier, or in its tail."""
-    docs, first, out = [], {}, []
-    for _, text in rows:
-        lines = (text or "").split("\n")
-        docs.append([(at, " ".join(x.lower().split(None)), len(WORD.findall(x))) for at, x in enumerate(lines) if WORD.search(x)])
+def without_repeated_runs(rows, min_words):
+    """Texts of (key, text) rows, in order, without any run of lines of enough words that stands at an earlier place too."""
+    flat = [[(at, " ".join(x.lower().split()), len(WORD.findall(x))) for at, x in enumerate((text or "").split("\n")) if WORD.search(x)] for _, text in rows]
+    out = []
     for d, (_, text) in enumerate(rows):
-        own, gone, lines = docs[d], set(), (text or "").split("\n")
+        own, gone = flat[d], [False] * len(flat[d])
         for i in range(len(own)):
-            j, n = i, 0
-            while j < len(own) and n < min_words:
-                n, j = n + own[j][2], j + 1
-            if n < min_words:
-                break
-            window = tuple(x[1] for x in own[i:j])
-            if window not in first:
-                first[window] = (d, i, j)
-                continue
-            e, k, m = first[window]
-            n, to = 0, own[j - 1][0]
-            while j < len(own) and m < len(docs[e]) and own[j][1] == docs[e][m][1] and n + own[j][2] < min_words:
-                n, to, j, m = n + own[j][2], own[j][0], j + 1, m + 1
-            gone |= set(range(own[i][0], to + 1))
-        out.append(text if not gone else "\n".join(x for at, x in enumerate(lines) if at not in gone))
+            for e in range(d + 1):
+                for m in range(len(flat[e]) if e < d else i):
+                    k = 0
+                    while i + k < len(own) and m + k < len(flat[e]) and own[i + k][1] == flat[e][m + k][1]:
+                        k += 1
+                    if k and sum(x[2] for x in own[i : i + k]) >= min_words:
+                        gone[i : i + k] = [True] * k
+        # Blank lines between two lines that go, go too.
+        lost = {at for i in range(len(own)) if gone[i] for at in range(own[i][0], own[i + 1][0] if i + 1 < len(own) and gone[i + 1] else own[i][0] + 1)}
+        out.append(text if not lost else "\n".join(x for at, x in enumerate(text.split("\n")) if at not in lost))
     return out
 
 
+def clashing(df, names):
+    """``df`` with columns of these names, all of the value 'x'."""
+    from pyspark.sql import functions as F
+
+    return df.select("*", *(F.lit("x").alias(n) for n in names if n not in df.columns))
+
+
+def same_rows(a, b):
+    """The same rows, in any order."""
+    return sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
 def groups(values, linked):
     """Smallest index reachable from each, where linked(a, b)."""
     parent = list(range(len(values)))

@@ -1,11 +1,12 @@
 """Packing, mixing, token files and sharding on documents and awkward rows."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
-from _brute import AWKWARD, WORD, frame
+from _brute import AWKWARD, WORD, clashing, frame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spanlake.llm import mixing, packing, shard, token_files
@@ -19,8 +20,11 @@ def _rows(spark):
     return docs + [(10**6 + i, t, None) for i, t in enumerate(AWKWARD)]
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+
+
 def _ids(text, end):
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [end]
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def test_packing(spark):
@@ -78,21 +82,38 @@ def test_mixing_targets(spark):
         capped |= over
     taken = defaultdict(int)
     for r in out:
-        s = r.source
+        s = r.doc.source
         target = 3 * size[s] if s in capped else weight[s] * level
-        assert r._source_size == size[s] and abs(r._target - target) < 1e-6 * total and 0 <= r._times <= 3
-        taken[s] += r._times * r._size
+        assert r.source_size == size[s] and abs(r.target - target) < 1e-6 * total and 0 <= r.times <= 3
+        taken[s] += r.times * r["size"]
     longest = {s: max(len(WORD.findall(t or "")) for _, t, x in rows if x == s) for s in names}
     assert all(abs(taken[s] - (3 * size[s] if s in capped else weight[s] * level)) <= longest[s] for s in names)
     again = mixing.mix(frame(spark, rows[::-1]))
-    assert {(r.doc_id, r._times) for r in again.collect()} == {(r.doc_id, r._times) for r in out}
-    assert mixing.mixed_rows(frame(spark, rows)).count() == sum(r._times for r in out)
-    assert mixing.mix(frame(spark, [])).count() == 0
-
-
-def test_sharding(spark):
+    assert {(r.doc.doc_id, r.times) for r in again.collect()} == {(r.doc.doc_id, r.times) for r in out}
+    assert mixing.mixed_rows(frame(spark, rows)).count() == sum(r.times for r in out)
+    assert mixing.mix(frame(spark, [])).count() == mixing.mixed_rows(frame(spark, [])).count() == 0
+
+
+def test_mixing_repeated_rows(spark):
+    rows = [(k, f"a {k} " * 4, "A") for k in range(3000)] + [(7, "one two three four five", "B")] * 6000 + [(k, "x y z " * (k % 7), "B") for k in range(600)] + [(None, "n", None)] * 5
+    docs = frame(spark, rows).repartition(5)
+    out = mixing.mix(docs).collect()
+    assert len(out) == len(rows)
+    for s, most in (("A", 8), ("B", 18), (None, 1)):
+        own = [r for r in out if r.doc.source == s]
+        taken = sum(r.times * r["size"] for r in own)
+        assert abs(taken - own[0].target) <= most and 0 < own[0].target and max(r.times for r in own) <= 3
+    counted = lambda rows: Counter((r.doc.doc_id, r.doc.text, r.times) for r in rows)
+    assert counted(out) == counted(mixing.mix(frame(spark, rows[::-1]).repartition(3)).collect())
+    wide = clashing(docs, ["_cut", "_s", "_whole", "_last", "doc", "source_size", "size", "order", "s", "times", "id", "task", "col"])
+    mixed = mixing.mixed_rows(wide)
+    assert mixed.columns == wide.columns and mixed.count() == sum(r.times for r in out)
+
+
+def test_sharding(spark, tmp_path):
     rows = _rows(spark)
-    out = shard.shard(frame(spark, rows), 4).collect()
+    docs = frame(spark, rows)
+    out = shard.shard(docs, 4).collect()
     text = {i: (t or "").encode() for i, t, _ in rows}
     sizes, places = defaultdict(int), defaultdict(list)
     for r in out:
@@ -100,8 +121,40 @@ def test_sharding(spark):
         sizes[r.shard] += r["size"]
         places[r.shard].append(r.position)
     assert len(out) == len(rows) and all(sorted(p) == list(range(len(p))) for p in places.values())
-    assert max(sizes.values()) <= 1.1 * sum(sizes.values()) / 4
+    mean, largest = sum(sizes.values()) / 4, max(r["size"] for r in out)
+    assert max(sizes.values()) <= mean + largest and min(sizes.values()) >= mean - largest
     assert shard.shard(frame(spark, []), 4).count() == 0
+    wide = clashing(docs.union(docs).withColumn("doc_id", F.lit(None).cast("long")), ["key", "size", "part", "virtual_slot", "shard", "base", "place", "doc"])
+    got = shard.shard(wide, 3).collect()
+    assert len(got) == 2 * len(rows) and all(r.doc_id is None for r in got)
+    assert all(sorted(r.position for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got))) for k in range(3))
+
+
+def test_slot_map_is_kept_and_edited(spark, tmp_path):
+    docs, maps = frame(spark, _rows(spark)), f"{tmp_path}/maps"
+    shard.save(spark, maps, 1, shard.first_map(512, 4))
+    first = {r.doc_id: r.shard for r in shard.shard(docs, 4, 512, maps=maps).collect()}
+    version, kept = shard.load(spark, maps)
+    assert version == 2 and shard.load(spark, maps, 1)[1] == shard.first_map(512, 4) != kept
+    again = {r.doc_id: r.shard for r in shard.shard(docs, 4, 512, maps=maps).collect()}
+    assert again == first and shard.load(spark, maps)[0] == 2  # nothing to edit
+    grown = {r.doc_id: r.shard for r in shard.shard(docs, 5, 512, maps=maps).collect()}
+    version, edited = shard.load(spark, maps)
+    assert version == 3 and set(edited) == set(range(5)) and 0 < sum(a != b for a, b in zip(kept, edited, strict=True)) < 0.5 * 512
+    assert sum(grown[i] == s for i, s in first.items()) > 0.4 * len(first)
+
+
+def test_sharding_query(spark):
+    out = shard.op10_virtual_slots(spark, "/root/testdata/sf0.01").collect()
+    want = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    sizes, places = defaultdict(int), defaultdict(list)
+    for r in out:
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(want[r.doc_id]) + 1, zlib.crc32(want[r.doc_id]), "bytes", None)
+        sizes[r.shard] += r["size"]
+        places[r.shard].append(r.slot)
+    assert len(out) == len(want) and sorted(sizes) == list(range(8)) and all(sorted(p) == list(range(len(p))) for p in places.values())
+    mean = sum(sizes.values()) / 8
+    assert all(abs(x - mean) <= 0.001 * mean for x in sizes.values())
 
 
 def test_slots_move_little():

@@ -1,15 +1,17 @@
 import random
 
-from _brute import AWKWARD, deduplicated, frame
+from _brute import AWKWARD, clashing, frame, same_rows, without_repeated_runs
+from pyspark.sql import functions as F
 
 from spanlake.llm import line_dedup
+from spanlake.llm._common import boxed, inside, numbered
 
 SF = "/root/testdata/sf0.001"
 
 
 def _run(spark, rows, min_words):
     docs = frame(spark, [(i, t, None) for i, t in rows])
-    return {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, min_words).collect()}
+    return {r.doc.doc_id: r.new_text for r in line_dedup.deduplicated(docs, min_words).collect()}
 
 
 def test_random_runs_match_brute_force(spark):
@@ -17,15 +19,15 @@ def test_random_runs_match_brute_force(spark):
     pool = [" ".join(rng.choice("abcdef") for _ in range(rng.choice([1, 2, 3, 7, 12]))) for _ in range(14)] + ["", "  "]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 14)))) for i in range(120)]
     rows += [(1000 + i, t) for i, t in enumerate(AWKWARD)]
-    for min_words in (4, 10):
+    for min_words in (1, 4, 10):
         got = _run(spark, rows, min_words)
-        assert [got[i] for i, _ in rows] == deduplicated(rows, min_words)
+        assert [got[i] for i, _ in rows] == without_repeated_runs(rows, min_words)
 
 
 def test_documents_match_brute_force(spark):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     got = _run(spark, docs, 50)
-    assert [got[i] for i, _ in docs] == deduplicated(docs, 50)
+    assert [got[i] for i, _ in docs] == without_repeated_runs(docs, 50)
 
 
 def test_passages_and_copies(spark):
@@ -38,43 +40,34 @@ def test_passages_and_copies(spark):
     assert {r.doc_id for r in kept} == {1, 2, 4, 5, 6} and all(r.n_chars == len(r.text) for r in kept if r.text is not None)
 
 
-def test_repeated_rows_nulls_and_empty_table(spark):
+def test_runs_of_any_earlier_place_go(spark):
+    window, x, more = " ".join(f"w{k}" for k in range(50)), "another end", "eight words more that stand at two places"
+    rows = [(1, f"{window}\n{x}"), (2, f"{window}\n{more}"), (3, f"{window}\n{more}"), (4, f"own words\n{window}\nand own")]
+    assert _run(spark, rows, 50) == {1: rows[0][1], 2: more, 3: "", 4: "own words\nand own"}
+    lines = ["one two three", "four five", "six seven eight", "nine ten"]
+    rows = [(1, "\n".join(["before it", *lines])), (2, "\n".join([*lines, "after it"])), (3, "\n\n".join(["x", *lines, "after it", "y"]))]
+    assert _run(spark, rows, 10) == {1: rows[0][1], 2: "after it", 3: "x\n\n\ny"}
+
+
+def test_window_minima_are_fewer_than_lines_and_guaranteed(spark):
+    rng = random.Random(5)
+    docs = frame(spark, [(i, "\n".join(" ".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)), None) for i in range(20)])
+    rows = boxed(docs).withColumn("_row", F.monotonically_increasing_id())
+    found = line_dedup.windows(rows, inside("doc_id"), inside("text"), 50).cache()
+    marks = {(r.row, r.at) for r in line_dedup.fingerprints(found).collect()}
+    assert len(marks) < 0.5 * 20 * 60
+    for r in found.collect():
+        for w in (r.on, r.back):
+            assert w is None or ((r.row, w.at) in marks and w["from"] <= w.at <= w.to)
+
+
+def test_repeated_rows_nulls_empty_table_and_clashes(spark, tmp_path):
     text = " ".join(f"p{k}" for k in range(55))
     docs = frame(spark, [(None, text, None), (None, text, None), (7, text, None)])
-    assert sorted(r.text for r in line_dedup.dedup_lines(docs).collect()) == ["", "", text]
-    assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
-
-
-def _without_runs(rows, min_words):
-    """Texts of (key, text) rows, in order, without the lines of any run of enough words that stands at any earlier place."""
-    flat = []
-    for d, (_, text) in enumerate(rows):
-        flat.append([(at, " ".join(x.lower().split()), len(x.split())) for at, x in enumerate((text or "").split("\n")) if x.split()])
-    out = []
-    for d, (_, text) in enumerate(rows):
-        own, gone = flat[d], set()
-        for i in range(len(own)):
-            for e in range(d + 1):
-                for m in range(len(flat[e]) if e < d else i):
-                    k = 0
-                    while i + k < len(own) and m + k < len(flat[e]) and own[i + k][1] == flat[e][m + k][1]:
-                        k += 1
-                    if k and sum(x[2] for x in own[i : i + k]) >= min_words:
-                        gone |= set(range(own[i][0], own[i + k - 1][0] + 1))
-        out.append(text if not gone else "\n".join(x for at, x in enumerate(text.split("\n")) if at not in gone))
-    return out
-
-
-def test_runs_of_any_earlier_place_go(spark):
-    window, x, tail = " ".join(f"w{k}" for k in range(50)), "another end", "a tail of\nfew words"
-    rows = [(1, f"{window}\n{x}"), (2, f"{window}\n{tail}"), (3, f"{window}\n{tail}")]
-    kept = {r.doc_id: r.text for r in line_dedup.dedup_documents(frame(spark, [(i, t, "s") for i, t in rows])).collect()}
-    assert kept == {1: rows[0][1], 2: tail}
-    rng = random.Random(8)
-    pool = [" ".join(rng.choice("abcdef") for _ in range(rng.choice([1, 2, 3, 7, 12]))) for _ in range(14)] + ["", "  "]
-    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 14)))) for i in range(120)]
-    for min_words in (4, 10):
-        docs = frame(spark, [(i, t, None) for i, t in rows])
-        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, min_words, every=True).collect()}
-        full = lambda text: [x for x in text.split("\n") if x.strip()]  # noqa: E731  blank lines between two windows may stay
-        assert [full(got[i]) for i, _ in rows] == [full(x) for x in _without_runs(rows, min_words)]
+    assert sorted(r.new_text for r in line_dedup.deduplicated(docs).collect()) == ["", "", text]
+    assert line_dedup.deduplicated(frame(spark, [])).count() == line_dedup.dedup_documents(frame(spark, [])).count() == 0
+    wide = clashing(docs, ["_row", "row", "of", "runs", "lines", "doc", "_of", "_runs", "n_lines", "new_text"])
+    out = line_dedup.dedup_documents(wide)
+    assert out.columns == wide.columns and same_rows(out, wide.limit(1))
+    assert line_dedup.dedup_documents(wide.drop("n_chars")).columns == wide.drop("n_chars").columns
+    assert numbered(boxed(wide), f"{tmp_path}/n", "row").count() == 3

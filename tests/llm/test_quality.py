@@ -1,4 +1,8 @@
-from _brute import AWKWARD, counts, frame
+import random
+import re
+from collections import Counter
+
+from _brute import AWKWARD, WORD, clashing, counts, frame, same_rows
 
 from spanlake.llm import quality
 
@@ -8,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def test_counts_match_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
     extra = frame(spark, [(10**6 + i, t, None) for i, t in enumerate(AWKWARD)]).select("doc_id", "text", "source")
-    got = {r.doc_id: r for r in quality.judge(docs.union(extra), ["doc_id"]).collect()}
+    got = {r.doc.doc_id: r for r in quality.judge(docs.union(extra), ["doc_id"]).collect()}
     rows = docs.union(extra).collect()
     assert len(got) == len(rows)
     for r in rows:
@@ -27,7 +31,7 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     rows = [(i, f"{_prose(i)}\nMenu Home  About", "a") for i in range(30)]
     rows += [(100, f"{menu}\n{_prose(100, 5)}", "a")] + [(200 + i, f"{_prose(200 + i, 150)}\n{menu}", "a") for i in range(30)]
     rows += [(500 + i, _prose(500), "b") for i in range(40)]  # copies are one document
-    out = {r.doc_id: r for r in quality.judge(frame(spark, rows), ["doc_id"]).collect()}
+    out = {r.doc.doc_id: r for r in quality.judge(frame(spark, rows), ["doc_id"]).collect()}
     assert all(out[i].kept and out[i].removed == [1] for i in range(30))
     assert not out[100].kept and not out[100].base_failed
     assert all(out[200 + i].kept == (150 >= 350 * quality.MIN_LEFT) for i in range(30))
@@ -39,11 +43,63 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
 
 
 def test_empty_table_and_extra_columns(spark):
-    assert quality.judge(frame(spark, []), ["doc_id"]).count() == 0
-    docs = frame(spark, [(None, _prose(1), None), (None, _prose(1), None), (2, None, "s")]).withColumn("row", __import__("pyspark").sql.functions.lit(5)).withColumn("kept", __import__("pyspark").sql.functions.lit("x"))
-    out = quality.filter_documents(docs)
-    assert out.columns == docs.columns
-    assert sorted((r.doc_id is None, r.row, r.kept) for r in out.collect()) == [(True, 5, "x"), (True, 5, "x")]
+    assert quality.judge(frame(spark, []), ["doc_id"]).count() == quality.filter_documents(frame(spark, [])).count() == 0
+    docs = frame(spark, [(None, _prose(1), None), (None, _prose(1), None), (2, None, "s")])
+    wide = clashing(docs, ["row", "kept", "of", "doc", "host", "removed", "_removed", "_of", "lines", "split", "new_text", "_row"])
+    out = quality.filter_documents(wide)
+    assert out.columns == wide.columns and same_rows(out, wide.where("doc_id is null"))
+    assert quality.filter_documents(wide.drop("n_chars")).columns == wide.drop("n_chars").columns
+    judged = quality.judge(wide, ["row", "kept", "host"]).collect()
+    assert len(judged) == 3 and all(r.doc.row == r.doc.kept == r.doc.host == "x" for r in judged)
+
+
+def test_every_shared_line_goes_on_every_host(spark):
+    line = lambda name: " ".join(f"{name}{chr(97 + k)}" for k in range(6))
+    rows = []
+    for h in range(60):
+        shared = [line(f"host{_prose(h, 1)}{chr(97 + k)}") for k in range(4)]
+        rows += [(100 * h + i, "\n".join([*shared[:2], _prose(1000 + 100 * h + i), *shared[2:]]), f"h{h}") for i in range(50)]
+    out = quality.judge(frame(spark, rows), ["doc_id"]).collect()
+    assert len(out) == 3000 and all(r.removed == [0, 1, 3, 4] and r.kept for r in out)
+
+
+def _verdicts(rows):
+    """{key: (removed places, kept)} of (key, text, host) rows, by the rule of the docstring."""
+    docs, hosts = [], {}
+    for key, text, host in rows:
+        lines = [(re.sub("[0-9]+", "0", " ".join(WORD.findall(x)).lower()), len(WORD.findall(x)), at) for at, x in enumerate((text or "").split("\n")) if WORD.search(x)]
+        docs.append((key, host, lines, text))
+        hosts.setdefault(host, []).append(lines)
+    frequent = {}
+    for host, listed in hosts.items():
+        sets = {frozenset(x[0] for x in lines) for lines in listed}
+        common = {x for x, n in Counter(x for s in sets for x in s).items() if n > quality.MIN_DOCS}
+        known = []
+        for lines in listed:
+            own, other = ([x for x in lines if (x[0] in common) == c] for c in (False, True))
+            most = lambda some: max(some, key=lambda x: (x[1], -x[2]), default=("",))[0]
+            words = sum(x[1] for x in own)
+            if lines:
+                known.append((most(other) if other and words * quality.OWN_IN < words + sum(x[1] for x in other) else most(own), {x[0] for x in lines}))
+        n = len({k for k, _ in known})
+        having = Counter(x for _, x in {(k, x) for k, s in known for x in s})
+        frequent[host] = {x for x, k in having.items() if k > max(quality.MIN_DOCS, quality.MIN_SHARE * n)}
+    out = {}
+    for key, host, lines, text in docs:
+        gone = [x for x in lines if x[0] in frequent[host]]
+        words = sum(x[1] for x in lines)
+        out[key] = [x[2] for x in gone], not counts(text)[1] and words - sum(x[1] for x in gone) >= words * quality.MIN_LEFT
+    return out
+
+
+def test_verdicts_match_brute_force(spark):
+    rows = [(r.doc_id, r.text, r.source[:4]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source").collect()]
+    rng, pool = random.Random(4), [_prose(5000 + k, rng_n) for k, rng_n in enumerate([3, 5, 8, 20, 70] * 6)]
+    rows += [(10**6 + i, "\n".join([*rng.sample(pool, rng.randint(0, 9)), _prose(7000 + i % 150, 30)]), f"p{i % 3}") for i in range(400)]
+    rows += [(2 * 10**6 + i, t, None) for i, t in enumerate(AWKWARD)]
+    want = _verdicts(rows)
+    assert 30 < sum(bool(r) for r, _ in want.values()) and {k for _, k in want.values()} == {True, False}
+    assert {r.doc.doc_id: (r.removed, r.kept) for r in quality.judge(frame(spark, rows), ["doc_id"]).collect()} == want
 
 
 def test_boilerplate_does_not_hide_boilerplate(spark):
@@ -53,6 +109,6 @@ def test_boilerplate_does_not_hide_boilerplate(spark):
     common = [line(f"near{chr(97 + k)}{chr(97 + j)}") for k in range(6) for j in range(5)]
     # Near copies: in each another line is changed.
     rows += [(1000 + i, "\n".join([*common[: i % 30], line(f"changed{_prose(i, 1)}"), *common[i % 30 + 1 :]]), "b") for i in range(40)]
-    out = {r.doc_id: r for r in quality.judge(frame(spark, rows), ["doc_id"]).collect()}
+    out = {r.doc.doc_id: r for r in quality.judge(frame(spark, rows), ["doc_id"]).collect()}
     assert all(out[i].removed == list(range(8)) for i in range(60))
     assert all(not out[1000 + i].removed for i in range(40))
