@@ -2,8 +2,9 @@
 
 Zero-length and overlapping events, ties and repeated rows are allowed unless an operator says
 otherwise; null starts or ends aren't. Empty input gives empty output. Columns beyond those of an
-event are dropped. ``span`` cuts large buckets into spans of time, see ``prefix``; without it the
-largest bucket is counted to know whether that is needed.
+event are dropped. ``span`` cuts large buckets into spans of time, see ``prefix``, and 0 doesn't; without it
+rows a bucket are counted to know. Payloads are compared as JSON objects: order of keys, white space and
+escapes don't matter, and come out in one form (sorted keys, no white space).
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ def merge_same(events: DataFrame, pulse_ns: int, touching: bool, span: int | Non
     """Merge neighbours of equal data whose gap to the furthest end of their run is below ``pulse_ns``
     (at most, if ``touching``). The first event's id, start and data stay, the end is the furthest.
     """
-    df = events.select(*EVENT)
-    span = span or span_for(df)
+    df = events.select(*EVENT).withColumn("data", payload.canonical())
+    span = span_for(events) if span is None else span
     before = running(df, ["bucket"], F.struct(*_ROW), "max", "_before", span=span)
     runs = _numbered(before, ["bucket"], ~F.coalesce(F.col("_before.data").eqNullSafe(F.col("data")) & F.col("_before").isNotNull(), F.lit(False)), "_run", span).drop("_before")
     ends = running(runs, ["bucket", "_run"], F.col("end_ns"), "max", "_end", span=span)
@@ -42,7 +43,7 @@ def merge_same(events: DataFrame, pulse_ns: int, touching: bool, span: int | Non
 
 def flood(events: DataFrame, pulse_ns: int = 5 * SECOND, span: int | None = None) -> DataFrame:
     """Fill gaps shorter than ``pulse_ns``: events of equal data merge, others meet in the middle."""
-    span = span or span_for(events)
+    span = span_for(events) if span is None else span
     merged = merge_same(events, pulse_ns, touching=False, span=span)
     sided = running(merged, ["bucket"], F.struct(*_ROW), "max", "_l", span=span, order=_ROW)
     sided = running(sided, ["bucket"], F.struct(*_ROW), "min", "_r", ahead=True, span=span, order=_ROW)
@@ -61,7 +62,7 @@ def period_union(*frames: DataFrame, span: int | None = None) -> DataFrame:
     df = frames[0].select(*EVENT)
     for f in frames[1:]:
         df = df.unionByName(f.select(*EVENT))
-    span = span or span_for(df)
+    span = span_for(df) if span is None else span
     ends = running(df, ["bucket"], F.col("end_ns"), "max", "_end", span=span)
     islands = _numbered(ends, ["bucket"], F.col("_end").isNull() | (F.col("start_ns") > F.col("_end")), "_island", span)
     out = islands.groupBy("bucket", "_island").agg(F.min(F.struct("start_ns", "id")).alias("f"), F.max("end_ns").alias("end_ns"))
@@ -74,20 +75,34 @@ def chunk_by_key(events: DataFrame, key: str, span: int | None = None) -> DataFr
     Events without the key are left out and don't break a run.
     """
     df = events.withColumn("_key", payload.value(events, key)).where(F.col("_key").isNotNull()).select(*EVENT, "_key")
-    span = span or span_for(df)
+    span = span_for(df) if span is None else span
     before = running(df, ["bucket"], F.struct("start_ns", "id", "_key"), "max", "_before", span=span)
     runs = _numbered(before, ["bucket"], F.coalesce(F.col("_before._key") != F.col("_key"), F.lit(True)), "_run", span)
     out = runs.groupBy("bucket", "_run").agg(F.min(F.struct("start_ns", "id", "data")).alias("f"), F.sum(F.col("end_ns") - F.col("start_ns")).alias("ns"))
     return out.select("bucket", "f.id", "f.start_ns", (F.col("f.start_ns") + F.col("ns")).alias("end_ns"), "f.data")
 
 
-def overlaps(left: DataFrame, right: DataFrame, by: str = "bucket", width: int = DAY) -> DataFrame:
+#: Rows of the right side that a bin of ``overlaps`` should hold.
+BIN_ROWS = 16
+
+
+def width_for(left: DataFrame, right: DataFrame, by: str = "bucket") -> int:
+    """A width of bins for ``overlaps``: that which gives a bin some ``BIN_ROWS`` rows of the right side, but no less
+    than the mean duration of the left side, so that its rows lie in two bins or so; a day at most.
+    """
+    each = right.groupBy(by).agg(F.count("*").alias("n"), (F.max("end_ns") - F.min("start_ns")).alias("reach"))
+    r = each.agg(F.sum("n").alias("n"), F.sum(F.col("reach").cast("double")).alias("reach")).first()
+    mean = left.agg(F.avg((F.col("end_ns") - F.col("start_ns")).cast("double"))).first()[0]
+    return max(1, min(DAY, int(max(BIN_ROWS * (r.reach or 0) / (r.n or 1), mean or 0))))
+
+
+def overlaps(left: DataFrame, right: DataFrame, by: str = "bucket", width: int | None = None) -> DataFrame:
     """Pairs of rows whose intervals share more than a point, as left's columns and right's with ``r_``.
 
-    Both sides are cut into bins of ``width`` and meet in equal bins; a pair counts in the bin where the
-    later of the two starts. An interval is in as many bins as it spans, so ``width`` should exceed
-    most durations.
+    Both sides are cut into bins of ``width``, see ``width_for``, and meet in equal bins; a pair counts in the bin where the
+    later of the two starts. An interval is in as many bins as it spans.
     """
+    width = width or width_for(left, right, by)
     bins = lambda: F.explode(F.sequence(F.floor(F.col("start_ns") / F.lit(width)), F.floor((F.col("end_ns") - 1) / F.lit(width)))).alias("_bin")
     some = F.col("end_ns") > F.col("start_ns")
     a = left.where(some).select("*", bins())
@@ -98,16 +113,20 @@ def overlaps(left: DataFrame, right: DataFrame, by: str = "bucket", width: int =
     return a.join(b, meet & first).drop("_bin", "r__bin")
 
 
-def period_intersect(events: DataFrame, periods: DataFrame, width: int = DAY) -> DataFrame:
+def period_intersect(events: DataFrame, periods: DataFrame, width: int | None = None, united: bool = False, span: int | None = None) -> DataFrame:
     """The parts of events that lie inside the periods, with id and data of the event.
 
-    Periods of a bucket are united first. Zero-length events and periods give nothing, nor do touching ones.
+    Periods of a bucket are united first, unless they are ``united`` already. Zero-length events and
+    periods give nothing, nor do touching ones.
     """
-    pairs = overlaps(events.select(*EVENT), period_union(periods.where("end_ns > start_ns")), width=width)
+    width = width or width_for(events, periods)
+    if not united:
+        periods = period_union(periods.where("end_ns > start_ns"), span=span)
+    pairs = overlaps(events.select(*EVENT), periods, width=width)
     return pairs.select("bucket", "id", F.greatest("start_ns", "r_start_ns").alias("start_ns"), F.least("end_ns", "r_end_ns").alias("end_ns"), "data")
 
 
-def union_no_overlap(first: DataFrame, second: DataFrame, strict: bool = True, width: int = DAY) -> DataFrame:
+def union_no_overlap(first: DataFrame, second: DataFrame, strict: bool = True, width: int | None = None) -> DataFrame:
     """All of ``first``, and of ``second`` what ``first`` leaves free; pieces of split events have no id.
 
     Each side should be free of overlaps. With ``strict`` an event of ``first`` is taken from the

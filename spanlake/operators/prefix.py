@@ -11,18 +11,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import DAY
+from ..schema import DAY, SECOND
 from ..scratch import written
 
 ORDER = ("start_ns", "id")
 #: Rows of the largest bucket up to which plain windows are used.
 WINDOW_ROWS = 2_000_000
+#: Spans of time that a larger bucket is cut into.
+SPANS = (DAY, 3600 * SECOND, 60 * SECOND, SECOND)
 
 
-def span_for(df: DataFrame, by: str = "bucket", most: int = WINDOW_ROWS) -> int | None:
-    """The span that ``running`` should cut ``df`` by: none if no bucket has more than ``most`` rows, else a day."""
-    largest = df.groupBy(by).count().agg(F.max("count")).first()[0] or 0
-    return DAY if largest > most else None
+def span_for(df: DataFrame, by: str = "bucket", most: int = WINDOW_ROWS) -> int:
+    """The span that ``running`` should cut ``df`` by: 0, for none, if no bucket has more than ``most`` rows,
+    else the longest of ``SPANS`` in which no bucket has more, or the shortest.
+    """
+    if (df.groupBy(by).count().agg(F.max("count")).first()[0] or 0) <= most:
+        return 0
+    for span in SPANS[:-1]:
+        dense = df.groupBy(by, F.floor(F.col("start_ns") / F.lit(span)).alias("span")).count().agg(F.max("count")).first()[0]
+        if dense <= most:
+            return span
+    return SPANS[-1]
 
 
 def _both(how: str, a: Column, b: Column) -> Column:
@@ -36,7 +45,7 @@ def running(df: DataFrame, by: list[str], value: Column, how: str, name: str, ah
     """Add ``name``: the sum, max or min (``how``) of ``value`` over the rows of ``by`` before each row
     in ``order``, which begins with start_ns; with ``ahead``, over the rows after it.
 
-    Without ``span`` that is a window for each key. With it the keys are cut into spans of that many
+    With ``span`` 0 or none that is a window for each key. With it the keys are cut into spans of that many
     nanoseconds, and ``df``, which is then read twice, is written first.
 
     ``order`` should be total where both directions are asked of the same rows. Null where there is none (0 for sums). Null keys are a key of their own.
@@ -46,7 +55,7 @@ def running(df: DataFrame, by: list[str], value: Column, how: str, name: str, ah
     # aggregated anew for each row.
     way = (lambda c: F.col(c).desc()) if ahead else F.col
     frame, ordered = (Window.unboundedPreceding, -1), [way(c) for c in order]
-    if span is None:
+    if not span:
         out = agg(value).over(Window.partitionBy(*by).orderBy(*ordered).rowsBetween(*frame))
         return df.withColumn(name, F.coalesce(out, F.lit(0)) if how == "sum" else out)
     df = written(df)

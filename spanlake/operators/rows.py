@@ -15,12 +15,12 @@ def duration() -> Column:
 
 def filter_keyvals(events: DataFrame, key: str, values: list) -> DataFrame:
     """Events that have the key with one of the values."""
-    return events.where(payload.value(events, key).isin([payload.literal(v) for v in values]))
+    return events.where(payload.is_any(events, key, values))
 
 
 def exclude_keyvals(events: DataFrame, key: str, values: list) -> DataFrame:
     """Events but those that ``filter_keyvals`` keeps; events without the key stay."""
-    return events.where(~F.coalesce(payload.value(events, key).isin([payload.literal(v) for v in values]), F.lit(False)))
+    return events.where(~F.coalesce(payload.is_any(events, key, values), F.lit(False)))
 
 
 def filter_regex(events: DataFrame, key: str, pattern: str) -> DataFrame:
@@ -35,24 +35,29 @@ def categorize(events: DataFrame, classes: list[tuple[list[str], Rule]]) -> Data
     An empty category never wins.
     """
     ranked = sorted(((len(c), k, c, r) for k, (c, r) in enumerate(classes) if c), key=lambda x: (-x[0], -x[1]))
-    out = None
+    parsed, out = events.withColumn("_strings", payload.strings()), None
     for _, _, category, rule in ranked:
-        names = F.array(*map(F.lit, category))
-        out = F.when(rule.matches(events), names) if out is None else out.when(rule.matches(events), names)
+        names, hit = F.array(*map(F.lit, category)), rule.matches(events, F.col("_strings"))
+        out = F.when(hit, names) if out is None else out.when(hit, names)
     other = F.array(F.lit("Uncategorized"))
-    return events.withColumn("category", other if out is None else out.otherwise(other))
+    return parsed.withColumn("category", other if out is None else out.otherwise(other)).drop("_strings")
 
 
 def tag(events: DataFrame, tags: list[tuple[str, Rule]]) -> DataFrame:
     """Add ``tags``: the tags with a matching rule, sorted and once each."""
     if not tags:
         return events.withColumn("tags", F.array().cast("array<string>"))
-    found = F.array(*(F.when(rule.matches(events), F.lit(name)) for name, rule in tags))
-    return events.withColumn("tags", F.array_sort(F.array_distinct(F.array_compact(found))))
+    found = F.array(*(F.when(rule.matches(events, F.col("_strings")), F.lit(name)) for name, rule in tags))
+    return events.withColumn("_strings", payload.strings()).withColumn("tags", F.array_sort(F.array_distinct(F.array_compact(found)))).drop("_strings")
 
 
 def split_url(df: DataFrame, url: Column) -> DataFrame:
-    """Add protocol, domain (without leading ``www.``), path and params; all null if it is no URL."""
+    """Add protocol, domain (without leading ``www.``), path and params; all null if it is no URL.
+
+    Blanks around a URL go, blanks in it count as ``%20``, and the case of scheme and host doesn't matter.
+    """
+    url = F.regexp_replace(F.btrim(F.regexp_replace(url, "[\\t\\n\\r]", "")), " ", "%20")
+    url = F.concat(F.lower(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*:", 0)), F.regexp_replace(url, "^[a-zA-Z][a-zA-Z0-9+.-]*:", ""))
     part = lambda p: F.try_parse_url(url, F.lit(p))
     opaque = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*:([^?#]*)", 1)
     scheme, host = F.lower(part("PROTOCOL")), F.lower(part("HOST"))

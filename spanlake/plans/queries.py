@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import payload
@@ -113,13 +113,81 @@ def _synced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets.sync(ev, dest, "a").drop("id")
 
 
+def _with_data(df: DataFrame, *parts) -> DataFrame:
+    """Events with data put together from texts and columns."""
+    return df.withColumn("data", F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)))
+
+
+def _app() -> Column:
+    return F.get_json_object("data", "$.app")
+
+
+def _k() -> Column:
+    return F.get_json_object("data", "$.k")
+
+
+def _shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of one value in two notations, by turns."""
+    ev = source(spark, sf_dir, single=True)
+    a, b = _with_data(ev, '{"app":"', _app(), '","o":{"x":1,"y":[2]}}'), _with_data(ev, '{ "o": {"y": [2], "x":1}, "\\u0061pp": "', _app(), '"}')
+    return a.where("id % 2 = 0").unionByName(b.where("id % 2 = 1"))
+
+
+_SHUFFLED = f"""WITH {_ev(True, "raw")}, ev AS (SELECT bucket, id, start_ns, end_ns, '{{"app":"' || app || '","o":{{"x":1,"y":[2]}}}}' AS data FROM raw)"""
+
+
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = source(spark, sf_dir)
+    number = F.element_at(F.array(*map(F.lit, ["1e-7", "1e3", "0.0000001", '"1000"', "true"])), (F.col("id") % 5 + 1).cast("int"))
+    return _with_data(ev, '{"v": ', number, "}")
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_data(source(spark, sf_dir), '{ "app" : "', _app(), '", "o": {"\\u0061pp":"', _app(), '", "k": ', _k(), "} }")
+
+
+_PATH_RULES = [{"pattern": "purchase", "action": "drop", "field": "app"}, {"pattern": "^(error|view)$", "action": "redact", "field": "o.app", "replacement": "hidden"}, {"pattern": "hidden", "action": "drop", "field": "o.app", "bucket_prefix": "user-12"}, {"pattern": ".", "action": "redact", "field": "o.k"}]
+
+
+def _browsing(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A report with a browser: a third of the events each are windows, tabs and states of the user."""
+    ev = source(spark, sf_dir, single=True)
+    app = F.when(_app().isin("view", "click"), "Firefox").otherwise("vim")
+    window = _with_data(ev.where("id % 3 = 0"), '{"app":"', app, '","title":"', _app(), '"}')
+    loud = F.when(_k().cast("int") < 30, "true").otherwise("false")
+    tabs = _with_data(ev.where("id % 3 = 1"), '{"audible":', loud, ',"url":"https://www.', _app(), ".org/", (_k().cast("int") % 7).cast("string"), '?q=1"}')
+    return reports.desktop_report(window, ev.where("id % 3 = 2"), {"firefox": tabs}, CLASSES, always_active="^signup$")
+
+
+_BROWSING = f"""WITH {_ev(True)}, w AS (SELECT bucket, id, start_ns, end_ns, '{{"app":"' || CASE WHEN app IN ('view', 'click') THEN 'Firefox' ELSE 'vim' END || '","title":"' || app || '"}}' AS data FROM ev WHERE id % 3 = 0),
+ t AS (SELECT bucket, id, start_ns, end_ns, '{{"audible":' || CASE WHEN k < 30 THEN 'true' ELSE 'false' END || ',"url":"https://www.' || app || '.org/' || (k % 7) || '?q=1"}}' AS data FROM ev WHERE id % 3 = 1), a AS (SELECT * FROM ev WHERE id % 3 = 2),
+ {_flood_sql("w", "wf")}, {_flood_sql("t", "tf")}, {_flood_sql("a", "af")}, front AS (SELECT * FROM wf WHERE json_extract_string(data, '$.app') = 'Firefox'), {_union_sql("front", "fu")}, tabs AS ({_intersect_sql("tf", "fu")}),
+ parts AS (SELECT bucket, id, start_ns, end_ns FROM af WHERE json_extract_string(data, '$.status') = 'not-afk' UNION ALL SELECT bucket, id, start_ns, end_ns FROM wf WHERE json_extract_string(data, '$.title') = 'signup' UNION ALL SELECT bucket, id, start_ns, end_ns FROM tabs WHERE json_extract_string(data, '$.audible') = 'true'), {_union_sql("parts", "au")}, cut AS ({_intersect_sql("wf", "au")})"""
+
+
+def _top(name: str, *keys: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _browsing(spark, sf_dir)[name].select(*(F.col(f"key_{i}").alias(k) for i, k in enumerate(keys)), "start_ns", (F.col("end_ns") - F.col("start_ns")).alias("ns"))
+
+    return query
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets of the events' users; those that end with 0 have no known host."""
+    last = F.right("bucket", F.lit(1))
+    return buckets.names(source(spark, sf_dir)).select("bucket", F.lit("window").alias("type"), F.lit("watcher").alias("client"), F.when(last == "0", "unknown").otherwise(F.concat(F.lit("host-"), last)).alias("hostname"), F.lit(None).cast("timestamp").alias("created"), F.when(last == "1", F.lit('{"x":1,"$aw.sync.origin":"elsewhere"}')).otherwise("{}").alias("data"))
+
+
+_HOST_SQL = "CASE WHEN right(bucket, 1) = '0' THEN '{unknown}' ELSE 'host-' || right(bucket, 1) END"
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "scan_clipped": (lambda s, d: buckets.scan(source(s, d), "user-8", _LO, _HI), f"WITH {_ev()} SELECT bucket, id, greatest(start_ns, {_LO}) AS start_ns, least(end_ns, {_HI}) AS end_ns, data FROM ev WHERE bucket = 'user-8' AND end_ns >= {_LO} AND start_ns <= {_HI}"),
     "scan_newest": (lambda s, d: buckets.scan(source(s, d), "user-8", _LO, _HI, limit=5, clip=False), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, data FROM ev WHERE bucket = 'user-8' AND end_ns >= {_LO} AND start_ns <= {_HI} ORDER BY start_ns DESC, id LIMIT 5"),
     "get_event": (lambda s, d: buckets.event(source(s, d, True), "stream", 77), f"WITH {_ev(True)} SELECT bucket, id, start_ns, end_ns, data FROM ev WHERE id = 77"),
     "event_count": (lambda s, d: buckets.count(source(s, d, True), "stream", _LO, _HI), f"WITH {_ev(True)} SELECT count(*) AS n FROM ev WHERE end_ns >= {_LO} AND start_ns <= {_HI}"),
     "bucket_metadata": (lambda s, d: buckets.metadata(source(s, d)), f"WITH {_ev()} SELECT bucket, count(*) AS n, min(start_ns) AS start_ns, max(end_ns) AS end_ns FROM ev GROUP BY bucket"),
-    "bucket_names": (lambda s, d: source(s, d).select("bucket").distinct(), f"WITH {_ev()} SELECT DISTINCT bucket FROM ev"),
+    "bucket_names": (lambda s, d: buckets.names(source(s, d)), f"WITH {_ev()} SELECT DISTINCT bucket FROM ev"),
     "find_bucket": (lambda s, d: buckets.find_bucket(_hostname(s, d), "user-1", "host-4"), f"WITH {_ev()} SELECT DISTINCT bucket, 'host-' || right(bucket, 1) AS hostname FROM ev WHERE bucket LIKE 'user-1%' AND right(bucket, 1) = '4' ORDER BY bucket <> 'user-1', bucket LIMIT 1"),
     "flood": (lambda s, d: intervals.flood(source(s, d, True)), f"WITH {_ev(True)}, {_flood_sql('ev', 'f')} SELECT * FROM f"),
     "flood_by_bucket": (lambda s, d: intervals.flood(source(s, d), 3600 * SECOND), f"WITH {_ev()}, {_flood_sql('ev', 'f', 3600 * SECOND)} SELECT * FROM f"),
@@ -138,7 +206,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "categorize": (lambda s, d: rows.categorize(source(s, d), CLASSES).select("bucket", "id", F.array_join("category", ">").alias("category")), f"WITH {_ev()} SELECT bucket, id, {_CLASS_SQL.format(app='app')} AS category FROM ev"),
     "tag": (lambda s, d: rows.tag(source(s, d), TAGS).select("bucket", "id", F.array_join("tags", ",").alias("tags")), f"WITH {_ev()} SELECT bucket, id, 'all' || CASE app WHEN 'signup' THEN ',new' WHEN 'purchase' THEN ',trade' ELSE '' END AS tags FROM ev"),
     "split_url": (lambda s, d: rows.split_url(s.read.parquet(f"{d}/pages.parquet"), F.col("url")).select("page_id", "protocol", "domain", "path", "params"), r"SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS protocol, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '^(www\.)+', '') AS domain, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS params FROM pages"),
-    "concat": (lambda s, d: rows.concat(source(s, d).where("id % 5 = 0"), source(s, d).where("id % 4 = 0")), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, data, 0 AS part FROM ev WHERE id % 5 = 0 UNION ALL SELECT bucket, id, start_ns, end_ns, data, 1 FROM ev WHERE id % 4 = 0"),
+    "concat": (lambda s, d: rows.concat(source(s, d), source(s, d, True)), f"WITH {_ev()}, {_ev(True, 'one')} SELECT bucket, id, start_ns, end_ns, data, 0 AS part FROM ev UNION ALL SELECT bucket, id, start_ns, end_ns, data, 1 FROM one"),
     "longest_events": (lambda s, d: rows.longest(source(s, d), 100), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, data FROM ev ORDER BY end_ns - start_ns DESC, start_ns, id LIMIT 100"),
     "earliest_events": (lambda s, d: rows.earliest(source(s, d), 50), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, data FROM ev ORDER BY start_ns, id LIMIT 50"),
     "sum_durations": (lambda s, d: rows.sum_durations(source(s, d), "bucket"), f"WITH {_ev()} SELECT bucket, CAST(sum(end_ns - start_ns) // 1000000 AS BIGINT) AS duration_ms FROM ev GROUP BY bucket"),
@@ -147,7 +215,26 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "delete_events": (lambda s, d: buckets.delete(source(s, d), source(s, d).where("id % 3 = 1")), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, data FROM ev WHERE id % 3 <> 1"),
     "privacy_rules": (lambda s, d: buckets.redact(source(s, d), _RULES), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, CASE WHEN app IN ('error', 'view') AND bucket LIKE 'user-12%' THEN replace(data, app, 'REDACTED') WHEN app IN ('error', 'view') AND bucket LIKE 'user-1%' THEN replace(data, app, 'hidden') ELSE data END AS data FROM ev WHERE app <> 'purchase'"),
     "export_import": (lambda s, d: buckets.read_export(buckets.export(source(s, d))), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, data FROM ev"),
-    "sync_append": (_synced, f"WITH {_ev()}, r AS (SELECT bucket, max(end_ns) AS r FROM ev WHERE start_ns < {_HI} GROUP BY bucket) SELECT ev.bucket || '-synced-from-a' AS bucket, greatest(start_ns, coalesce(r, 0)) AS start_ns, end_ns, data FROM ev LEFT JOIN r USING (bucket) WHERE end_ns > coalesce(r, 0)"),
+    "sync_append": (
+        _synced,
+        f"WITH {_ev()}, r AS (SELECT bucket, arg_max(end_ns, (start_ns, id)) AS r, arg_max(data, (start_ns, id)) AS d FROM ev WHERE start_ns < {_HI} GROUP BY bucket), c AS (SELECT ev.*, coalesce(r, 0) AS r, d, row_number() OVER (PARTITION BY ev.bucket ORDER BY start_ns, end_ns, data) AS nth FROM ev LEFT JOIN r USING (bucket) WHERE end_ns >= coalesce(r, 0)) SELECT bucket || '-synced-from-a' AS bucket, greatest(start_ns, r) AS start_ns, end_ns, data FROM c WHERE NOT coalesce(nth = 1 AND end_ns = r AND data = d, false)",
+    ),
+    "flood_any_notation": (lambda s, d: intervals.flood(_shuffled(s, d), 3600 * SECOND), f"{_SHUFFLED}, {_flood_sql('ev', 'f', 3600 * SECOND)} SELECT * FROM f"),
+    "filter_numbers": (lambda s, d: rows.filter_keyvals(_numbers(s, d), "v", [1e-7, 1000]).select("bucket", "id"), f"WITH {_ev()} SELECT bucket, id FROM ev WHERE id % 5 < 3"),
+    "exclude_numbers": (lambda s, d: rows.exclude_keyvals(_numbers(s, d), "v", [1000.0, True]).select("bucket", "id"), f"WITH {_ev()} SELECT bucket, id FROM ev WHERE id % 5 NOT IN (1, 4)"),
+    "privacy_paths": (lambda s, d: buckets.redact(_nested(s, d), _PATH_RULES), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, CASE WHEN app IN ('error', 'view') THEN '{{\"app\":\"' || app || '\",\"o\":{{\"app\":\"hidden\",\"k\":' || k || '}}}}' ELSE '{{ \"app\" : \"' || app || '\", \"o\": {{\"\\u0061pp\":\"' || app || '\", \"k\": ' || k || '}} }}' END AS data FROM ev WHERE app <> 'purchase' AND NOT (app IN ('error', 'view') AND bucket LIKE 'user-12%')"),
+    "export_nanoseconds": (lambda s, d: buckets.read_export(buckets.export(intervals.flood(source(s, d), 3600 * SECOND))), f"WITH {_ev()}, {_flood_sql('ev', 'f', 3600 * SECOND)} SELECT * FROM f"),
+    "title_events": (_top("title_events", "app", "title"), f"{_BROWSING}, q AS (SELECT *, CAST(json_extract(data, '$.app') AS VARCHAR) AS app, CAST(json_extract(data, '$.title') AS VARCHAR) AS title FROM cut) {_sql_merge('app, title', 'q')}"),
+    "browser_urls": (_top("browser_urls", "url"), f"{_BROWSING}, q AS (SELECT *, CAST(json_extract(data, '$.url') AS VARCHAR) AS url FROM tabs) {_sql_merge('url', 'q')}"),
+    "browser_domains": (_top("browser_domains", "domain"), f"{_BROWSING}, q AS (SELECT *, '\"' || regexp_extract(data, 'www\\.([a-z.]+)', 1) || '\"' AS domain FROM tabs) {_sql_merge('domain', 'q')}"),
+    "browser_duration": (lambda s, d: _browsing(s, d)["browser_duration"], f"{_BROWSING} SELECT CAST(sum(end_ns - start_ns) // 1000000 AS BIGINT) AS duration_ms FROM tabs"),
+    "active_events": (lambda s, d: _browsing(s, d)["active_events"].drop("id"), f"{_BROWSING} SELECT bucket, start_ns, end_ns, data FROM au"),
+    "bucket_catalog": (lambda s, d: buckets.metadata(source(s, d), buckets.create_bucket(_catalog(s, d), "empty", "window", "watcher", "host-x")).select("bucket", "hostname", "n", "start_ns", "end_ns"), f"WITH {_ev()} SELECT bucket, {_HOST_SQL.format(unknown='unknown')} AS hostname, count(*) AS n, min(start_ns) AS start_ns, max(end_ns) AS end_ns FROM ev GROUP BY bucket UNION ALL SELECT 'empty', 'host-x', 0, NULL, NULL"),
+    "delete_bucket": (lambda s, d: buckets.delete_bucket(_catalog(s, d), source(s, d), "user-8")[1], f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, data FROM ev WHERE bucket <> 'user-8'"),
+    "rename_bucket": (lambda s, d: buckets.rename(_catalog(s, d), source(s, d), "user-8", "eighth")[1], f"WITH {_ev()} SELECT CASE bucket WHEN 'user-8' THEN 'eighth' ELSE bucket END AS bucket, id, start_ns, end_ns, data FROM ev"),
+    "migrate_hostname": (lambda s, d: buckets.migrate_hostname(_catalog(s, d), "box").select("bucket", "hostname"), f"WITH {_ev()} SELECT DISTINCT bucket, {_HOST_SQL.format(unknown='box')} AS hostname FROM ev"),
+    "migrate_prefix": (lambda s, d: buckets.migrate_prefix(buckets.create_bucket(_catalog(s, d), "person-8", "window", "watcher", "h"), "user-", "person-").select("bucket"), f"WITH {_ev()} SELECT DISTINCT CASE bucket WHEN 'user-8' THEN bucket ELSE replace(bucket, 'user-', 'person-') END AS bucket FROM ev UNION ALL SELECT 'person-8'"),
+    "synced_buckets": (lambda s, d: buckets.synced_buckets(_catalog(s, d), "dev").select("bucket", "source", "hostname", "data"), f"WITH {_ev()}, b AS (SELECT DISTINCT bucket, {_HOST_SQL.format(unknown='dev')} AS hostname, right(bucket, 1) AS z FROM ev) SELECT bucket || '-synced-from-' || CASE z WHEN '1' THEN 'elsewhere' ELSE hostname END AS bucket, bucket AS source, hostname, '{{\"$aw.sync.origin\":\"' || hostname || CASE z WHEN '1' THEN '\",\"x\":1}}' ELSE '\"}}' END AS data FROM b"),
     "desktop_app_events": (_app_events, f"{_REPORT}, q AS (SELECT *, '\"' || app || '\"' AS k0 FROM cat) {_sql_merge('k0 AS app', 'q')} ORDER BY ns DESC LIMIT 100"),
     "desktop_cat_events": (lambda s, d: _report(s, d)["cat_events"].select(F.array_join(F.from_json("key_0", "array<string>"), ">").alias("category"), "start_ns", (F.col("end_ns") - F.col("start_ns")).alias("ns")), f"{_REPORT}, q AS (SELECT *, {_CLASS_SQL.format(app='app')} AS category FROM cat) {_sql_merge('category', 'q')}"),
     "desktop_duration": (lambda s, d: _report(s, d)["duration"], f"{_REPORT} SELECT CAST(sum(end_ns - start_ns) // 1000000 AS BIGINT) AS duration_ms FROM cat"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from ..functions.patterns import java
 from ..operators.intervals import heartbeat_merge
 from ..schema import EVENT, EVENT_DDL
 
+#: A catalog of buckets.
+CATALOG_DDL = "bucket string, type string, client string, hostname string, created timestamp, data string"
+#: Fixed value: the key under which a bucket's data says where it was synced from.
+ORIGIN = "$aw.sync.origin"
+
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The events of a table."""
@@ -70,9 +77,13 @@ def find_bucket(buckets: DataFrame, prefix: str, hostname: str | None = None) ->
 
 
 def import_new(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """The incoming events that the table hasn't yet, by bucket, start, end and data; repeats among them stay."""
-    same = ["bucket", "start_ns", "end_ns", "data"]
-    return incoming.join(existing.select(*same).distinct(), same, "left_anti").select(*incoming.columns)
+    """The incoming events that the table hasn't yet, by bucket, start, end and data; repeats among them stay.
+
+    Data are compared as JSON objects, whatever the order of their keys.
+    """
+    same = ["bucket", "start_ns", "end_ns", "_data"]
+    have = existing.withColumn("_data", payload.canonical()).select(*same).distinct()
+    return incoming.withColumn("_data", payload.canonical()).join(have, same, "left_anti").select(*incoming.columns)
 
 
 def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -86,7 +97,60 @@ def delete(events: DataFrame, ids: DataFrame) -> DataFrame:
     return events.join(ids.select("id").distinct(), "id", "left_anti").select(*events.columns)
 
 
+def _has(buckets: DataFrame, name: str) -> bool:
+    return bool(buckets.where(F.col("bucket") == name).limit(1).count())
+
+
+def bucket(buckets: DataFrame, name: str) -> DataFrame:
+    """The row of a bucket in the catalog; KeyError if there is none."""
+    if not _has(buckets, name):
+        raise KeyError(name)
+    return buckets.where(F.col("bucket") == name)
+
+
+def names(buckets: DataFrame) -> DataFrame:
+    """The names of all buckets, once each."""
+    return buckets.select("bucket").distinct()
+
+
+def create_bucket(buckets: DataFrame, name: str, kind: str, client: str, hostname: str, created: str | None = None, data: str = "{}") -> DataFrame:
+    """The catalog (CATALOG_DDL) with a new bucket, created now unless a time is given; ValueError if its name is taken."""
+    if _has(buckets, name):
+        raise ValueError(f"bucket {name} exists")
+    new = buckets.sparkSession.range(1).select(
+        F.lit(name).alias("bucket"), F.lit(kind).alias("type"), F.lit(client).alias("client"), F.lit(hostname).alias("hostname"),
+        (F.current_timestamp() if created is None else F.lit(created).cast("timestamp")).alias("created"), F.lit(data).alias("data"),
+    )
+    return buckets.unionByName(new)
+
+
+def delete_bucket(buckets: DataFrame, events: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Catalog and events without a bucket; KeyError if there is none."""
+    if not _has(buckets, name):
+        raise KeyError(name)
+    return buckets.where(F.col("bucket") != name), events.where(F.col("bucket") != name)
+
+
+def rename(buckets: DataFrame, events: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
+    """Catalog and events with a bucket under another name; KeyError if there is none, ValueError if the name is taken."""
+    if not _has(buckets, old):
+        raise KeyError(old)
+    if _has(buckets, new):
+        raise ValueError(f"bucket {new} exists")
+    return rename_bucket(buckets, old, new), rename_bucket(events, old, new)
+
+
+def migrate_prefix(buckets: DataFrame, old: str, new: str) -> DataFrame:
+    """The catalog with ``new`` for the prefix ``old`` of names; a bucket whose new name is taken keeps its own."""
+    moved = F.concat(F.lit(new), F.substring("bucket", len(old) + 1, 1 << 30))
+    taken = buckets.select(F.col("bucket").alias("_taken"), F.lit(True).alias("_is"))
+    out = buckets.withColumn("_to", F.when(F.col("bucket").startswith(old), moved))
+    out = out.join(taken, F.col("_to") == F.col("_taken"), "left")
+    return out.withColumn("bucket", F.when(F.col("_to").isNotNull() & F.col("_is").isNull(), F.col("_to")).otherwise(F.col("bucket"))).select(*buckets.columns)
+
+
 def rename_bucket(df: DataFrame, old: str, new: str) -> DataFrame:
+    """``df`` with another name for a bucket, unchecked; see ``rename``."""
     return df.withColumn("bucket", F.when(F.col("bucket") == old, new).otherwise(F.col("bucket")))
 
 
@@ -95,58 +159,139 @@ def migrate_hostname(buckets: DataFrame, new: str) -> DataFrame:
     return buckets.withColumn("hostname", F.when(F.col("hostname").isin("unknown", "Unknown"), new).otherwise(F.col("hostname")))
 
 
+def stamp(nanoseconds: Column) -> Column:
+    """A time in nanoseconds as RFC 3339 text in UTC with nine digits."""
+    whole = F.floor(nanoseconds / F.lit(1_000_000_000))
+    rest = F.pmod(nanoseconds, F.lit(1_000_000_000))
+    return F.concat(F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_seconds(whole).cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad(rest.cast("string"), 9, "0"), F.lit("Z"))
+
+
+def from_stamp(text: Column) -> Column:
+    """Nanoseconds of an RFC 3339 text; null if it is none."""
+    fraction = F.rpad(F.substring(F.regexp_extract(text, "[.]([0-9]+)", 1), 1, 9), 9, "0")
+    return F.unix_seconds(F.try_to_timestamp(F.regexp_replace(text, "[.][0-9]+", ""))) * 1_000_000_000 + fraction.cast("long")
+
+
+def _event_json() -> Column:
+    length = F.col("end_ns") - F.col("start_ns")
+    seconds = F.concat(F.expr("(end_ns - start_ns) div 1000000000").cast("string"), F.lit("."), F.lpad((length % 1_000_000_000).cast("string"), 9, "0"))
+    data = F.when(F.try_parse_json("data").isNotNull(), payload.canonical()).otherwise(F.lit("{}"))
+    return F.concat(F.lit('{"id":'), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(',"timestamp":"'), stamp(F.col("start_ns")), F.lit('","duration":'), seconds, F.lit(',"data":'), data, F.lit("}"))
+
+
 def export(events: DataFrame, buckets: DataFrame | None = None) -> DataFrame:
-    """(bucket, event): each event as a JSON document, to be written as JSON lines a bucket.
+    """(bucket, event): each event as a JSON document, to be written as JSON lines a bucket; times to the nanosecond.
+
+    Events of a bucket aren't gathered into one document, since a bucket may not fit in a task. With a
+    catalog of ``buckets`` (CATALOG_DDL) a column ``meta`` has the bucket's own JSON document, and a
+    bucket without events has one row without event. Data that aren't JSON are exported as {}.
+    """
+    out = events.select("bucket", _event_json().alias("event"))
+    if buckets is None:
+        return out
+    meta = F.to_json(F.struct(F.col("bucket").alias("id"), "type", "client", "hostname", F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("created"), F.try_parse_json("data").alias("data")))
+    return buckets.select("bucket", meta.alias("meta")).join(out, "bucket", "left").select("bucket", "event", "meta")
+
+
+def read_export(lines: DataFrame, bucket: str = "bucket", event: str = "event", kept: str | None = None) -> DataFrame:
+    """Events of JSON documents.
 
-    Events of a bucket aren't gathered into one document, since a bucket may not fit in a task.
+    Those that don't parse, or lack a time or an object as data, are dropped; with ``kept`` they stay, and the
+    column of that name has their text, null for good ones, so that they can be counted. Durations are cut to nanoseconds.
     """
-    stamp = F.date_format(F.timestamp_micros(F.expr("start_ns div 1000")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    one = F.struct("id", stamp.alias("timestamp"), ((F.col("end_ns") - F.col("start_ns")) / 1e9).alias("duration"), F.try_parse_json("data").alias("data"))
-    return events.select("bucket", F.to_json(one).alias("event"))
+    kind = "id long, timestamp string, duration decimal(28,9), data variant"
+    df = lines.select(F.col(bucket).alias("bucket"), F.col(event).alias("raw"), F.from_json(F.col(event), kind).alias("e"))
+    at = from_stamp(F.col("e.timestamp"))
+    df = df.select("bucket", "e.id", at.alias("start_ns"), (at + (F.coalesce("e.duration", F.lit(0)) * 1_000_000_000).cast("long")).alias("end_ns"), F.to_json("e.data").alias("data"), "raw")
+    good = F.col("start_ns").isNotNull() & F.coalesce(F.startswith("data", F.lit("{")), F.lit(False))
+    return df.where(good).drop("raw") if kept is None else df.withColumn(kept, F.when(~good, F.col("raw"))).drop("raw")
 
 
-def read_export(lines: DataFrame, bucket: str = "bucket", event: str = "event") -> DataFrame:
-    """Events of JSON documents; those that don't parse, or lack a time or an object as data, are dropped."""
-    kind = "id long, timestamp string, duration double, data variant"
-    df = lines.select(F.col(bucket).alias("bucket"), F.from_json(F.col(event), kind).alias("e"))
-    at = F.unix_micros(F.try_to_timestamp("e.timestamp")) * 1000
-    df = df.select("bucket", "e.id", at.alias("start_ns"), (at + F.round(F.coalesce("e.duration", F.lit(0.0)) * 1e9).cast("long")).alias("end_ns"), F.to_json("e.data").alias("data"))
-    return df.where("start_ns is not null and startswith(data, '{')")
+def read_document(documents: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Catalog and events of whole export documents ``{"buckets": {name: bucket with events}}``, one a row of ``column``.
+
+    A document is read in one task, so large tables should come as the lines of ``export``. Bad events are dropped
+    one by one, as in ``read_export``.
+    """
+    kind = "buckets map<string, struct<id string, type string, client string, hostname string, created string, data variant, events array<variant>>>"
+    each = documents.select(F.explode(F.from_json(F.col(column), kind)["buckets"]).alias("name", "b"))
+    catalog = each.select(
+        F.coalesce("b.id", "name").alias("bucket"), "b.type", "b.client", "b.hostname", F.try_to_timestamp("b.created").alias("created"), F.coalesce(F.to_json("b.data"), F.lit("{}")).alias("data")
+    )
+    lines = each.select(F.coalesce("b.id", "name").alias("bucket"), F.explode("b.events").alias("event"))
+    return catalog, read_export(lines.select("bucket", F.to_json("event").alias("event")))
+
+
+def check_rules(rules: list[dict]) -> None:
+    """ValueError for a privacy rule without field or pattern, with a bad pattern or action, or an empty replacement."""
+    for rule in rules:
+        if not rule.get("field") or rule.get("action") not in ("drop", "redact") or rule.get("replacement") == "":
+            raise ValueError(f"a rule needs a field, an action (drop or redact) and no empty replacement: {rule}")
+        re.compile(rule["pattern"])
 
 
 def redact(events: DataFrame, rules: list[dict]) -> DataFrame:
-    """Privacy rules in turn: each has pattern and action (drop or redact), and may have bucket_prefix,
-    field (top-level key; without, any string value matches and only drop is allowed) and replacement.
+    """Privacy rules in turn: each has pattern, action (drop or redact) and field, a dotted path of keys, and may
+    have bucket_prefix, replacement and enabled. It holds where the field is a string in which the pattern is found.
 
-    A redacted field is replaced in the JSON text; later rules see the new value.
+    A redacted field is set in the parsed object, and such events come out as canonical JSON; later rules see
+    the new value. Data that don't parse as an object can't be searched: an event with such data is dropped
+    where an enabled rule covers its bucket.
     """
+    check_rules(rules)
     for rule in rules:
         if not rule.get("enabled", True):
             continue
-        key, pattern = rule.get("field"), java(rule["pattern"])
-        hit: Column = payload.text(events, key).rlike(pattern) if key else payload.any_text(lambda c: c.rlike(pattern))
-        hit = F.coalesce(hit, F.lit(False)) & F.col("bucket").startswith(rule.get("bucket_prefix") or "")
+        covered = F.col("bucket").startswith(rule.get("bucket_prefix") or "")
+        unread = ~F.coalesce(F.startswith(F.to_json(F.try_parse_json("data")), F.lit("{")), F.lit(False))
+        events = events.where(F.coalesce(~(covered & unread), F.lit(True)))
+        hit = covered & F.coalesce(payload.path_text(rule["field"]).rlike(java(rule["pattern"])), F.lit(False))
         if rule["action"] == "drop":
-            events = events.where(~hit)
-        elif key:
-            old = F.concat(F.lit(payload.literal(key) + ":"), payload.value(events, key))
-            new = payload.literal(key) + ":" + payload.literal(rule.get("replacement") or "REDACTED")
-            events = events.withColumn("data", F.when(hit, F.replace("data", old, F.lit(new))).otherwise(F.col("data")))
+            events = events.where(F.coalesce(~hit, F.lit(True)))
         else:
-            raise ValueError("redact needs a field")
+            new = payload.with_path(F.col("data"), rule["field"], rule.get("replacement") or "REDACTED")
+            events = events.withColumn("data", F.when(hit, new).otherwise(F.col("data")))
     return events
 
 
+def synced_buckets(buckets: DataFrame, device: str, only: list[str] | None = None) -> DataFrame:
+    """The catalog rows that a pull adds: buckets of ``only`` (all if none or ``*``), ``source`` being the name they had.
+
+    A bucket of host ``unknown`` is the device's. The new name is ``<name>-synced-from-<origin>``, where origin is
+    what its data says it was synced from, or else its host, which the data then says.
+    """
+    df = buckets if not only or "*" in only else buckets.where(F.col("bucket").isin(list(only)))
+    df = df.withColumn("hostname", F.when(F.col("hostname") == "unknown", device).otherwise(F.col("hostname"))).withColumn("source", F.col("bucket"))
+    said = F.try_variant_get(F.try_parse_json("data"), f"$['{ORIGIN}']", "string")
+    entries = F.map_filter(F.coalesce(F.from_json("data", "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>")), lambda k, v: k != ORIGIN)
+    data = payload.canonical(F.to_json(F.map_concat(entries, F.create_map(F.lit(ORIGIN), F.col("hostname").cast("variant")))))
+    first = F.split("bucket", "-synced-from-", 2)[0]
+    return df.withColumn("bucket", F.concat(first, F.lit("-synced-from-"), F.coalesce(said, "hostname"))).withColumn("data", data)
+
+
+def remotes(spark: SparkSession, folder: str, own: str) -> list[str]:
+    """The tables of other devices under ``folder``, laid out as <folder>/device=<id>/...; ids in order."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder).select("path")
+    device = F.regexp_extract("path", "/device=([^/]+)/", 1)
+    return [r.device for r in listed.select(device.alias("device")).where((F.col("device") != "") & (F.col("device") != own)).distinct().orderBy("device").collect()]  # a row a device
+
+
 def sync(source: DataFrame, dest: DataFrame, origin: str, since: int = 0) -> DataFrame:
-    """The events to append to ``dest``: for each bucket those of ``source`` that end at or after the newest
-    end that ``dest`` has of it, named ``<bucket>-synced-from-<origin>``, without ids.
+    """The events to append to ``dest``, named ``<bucket>-synced-from-<origin>``, without ids.
 
-    Events that reach over that end are cut there, and continue the newest event where data is equal.
+    Each bucket resumes at the end of the event of ``dest`` that starts last (``since`` if it has none): events that end
+    there or later are sent, cut at that time. Where the oldest of them is no more than the rest of that
+    event (equal data, no length left) it is not sent again; with some length left it continues
+    the event, see ``compact_synced``.
     """
     named = source.withColumn("bucket", F.concat("bucket", F.lit(f"-synced-from-{origin}")))
-    newest = dest.groupBy(F.col("bucket").alias("_of")).agg(F.max("end_ns").alias("_resume"))
-    df = named.join(newest, F.col("bucket") == F.col("_of"), "left").withColumn("_resume", F.coalesce("_resume", F.lit(since)))
-    df = df.where(F.col("end_ns") > F.col("_resume")).withColumn("start_ns", F.greatest("start_ns", "_resume"))
+    newest = dest.groupBy(F.col("bucket").alias("_of")).agg(F.max(F.struct("start_ns", "id", "end_ns", "data")).alias("_last"))
+    df = named.join(newest, F.col("bucket") == F.col("_of"), "left").withColumn("_resume", F.coalesce("_last.end_ns", F.lit(since)))
+    df = df.where(F.col("end_ns") >= F.col("_resume"))
+    oldest = df.groupBy(F.col("bucket").alias("_b")).agg(F.min(F.struct("start_ns", "end_ns", "data")).alias("_oldest"))
+    df = df.join(oldest, F.col("bucket") == F.col("_b"))
+    again = (F.struct("start_ns", "end_ns", "data") == F.col("_oldest")) & (F.col("end_ns") == F.col("_resume")) & (payload.canonical() == payload.canonical(F.col("_last.data")))
+    df = df.where(~F.coalesce(again, F.lit(False))).withColumn("start_ns", F.greatest("start_ns", "_resume"))
     return df.select("bucket", F.lit(None).cast("long").alias("id"), "start_ns", "end_ns", "data")
 
 

@@ -5,18 +5,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import payload
+from ..sources.buckets import redact
+
 OUT = "bucket string, seq long, start_ns long, end_ns long, data string"
 STATE = "seq long, start_ns long, end_ns long, data string"
 
 
-def merge_stream(beats: DataFrame, pulse_ns: int) -> DataFrame:
+def merge_stream(beats: DataFrame, pulse_ns: int, rules: list[dict] | None = None) -> DataFrame:
     """Merge a stream of (bucket, at, start_ns, end_ns, data) as it arrives; ``at`` orders arrival.
 
-    A bucket's last event is its state. A heartbeat with equal data that starts within it or up to
-    ``pulse_ns`` after its end extends it; any other becomes the last event, even if it is older. Each
+    A bucket's last event is its state. A heartbeat with equal data (as JSON objects) that starts within it or
+    up to ``pulse_ns`` after its end extends it; any other becomes the last event, even if it is older. Each
     batch gives the events that are new or longer, keyed by (bucket, seq): upsert them on that key.
+    Privacy ``rules`` are applied to heartbeats before they merge. With a column ``reset`` a row for which it is true
+    isn't a heartbeat: it says that events were inserted otherwise, and has the bucket's newest
+    event, which becomes the state; it is given out only once a heartbeat extends it.
     A bucket's heartbeats are one sequence and so one group, but only a batch of them at a time.
     """
 
@@ -26,14 +33,18 @@ def merge_stream(beats: DataFrame, pulse_ns: int) -> DataFrame:
         last = list(state.get) if state.exists else None
         changed: dict[int, list] = {}
         rows = pd.concat(list(frames)).sort_values(["at", "start_ns"], kind="stable")
-        for start, end, data in zip(rows["start_ns"].tolist(), rows["end_ns"].tolist(), rows["data"].tolist(), strict=True):
-            if last and last[3] == data and last[1] <= start <= last[2] + pulse_ns:
+        for start, end, data, reset in zip(rows["start_ns"].tolist(), rows["end_ns"].tolist(), rows["data"].tolist(), rows["reset"].tolist(), strict=True):
+            if not reset and last and last[3] == data and last[1] <= start <= last[2] + pulse_ns:
                 last[2] = max(last[2], end)
             else:
                 last = [last[0] + 1 if last else 0, start, end, data]
-            changed[last[0]] = [key[0], *last]
+            if not reset:
+                changed[last[0]] = [key[0], *last]
         if last:
             state.update(tuple(last))
         yield pd.DataFrame(list(changed.values()), columns=["bucket", "seq", "start_ns", "end_ns", "data"])
 
+    reset = F.coalesce("reset", F.lit(False)) if "reset" in beats.columns else F.lit(False)
+    beats = beats.select("bucket", "at", "start_ns", "end_ns", "data", reset.alias("reset"))
+    beats = redact(beats, rules or []).withColumn("data", payload.canonical())
     return beats.groupBy("bucket").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
