@@ -2,30 +2,39 @@
 
 Each page's text is followed from the root down for as long as one container holds nearly all of it; a
 container is known by its path of tags and classes, generalised (digits dropped, classes sorted), from
-the root, whose own path is empty. Every page votes for the path it ends at, Spark sums the votes of each host, and each page is extracted
-again from the containers on the host's winning paths. A page that has none of them falls back to
-its own best container.
+the root, whose own path is empty. Every page votes for the path it ends at, Spark sums the votes of
+each host, and each page is extracted again from the containers on the host's winning paths. A page
+that has none of them falls back to its own best container.
+
+A page is read once from start to end, in time that follows its length however deep or broken its
+markup is. Paths are nodes of a tree, known by number within a page and by a 64-bit hash across pages.
 """
 
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, scratch_dir, small_side
+from ._common import boxed, inside, materialize, scratch_dir, small_side
 from .tokens import texts
 
 #: Elements whose content is no text of the page, and those whose content is not the article's.
 RAW = frozenset("script style noscript template svg iframe object textarea title select option".split())
 BARE = frozenset("script style textarea title".split())
+BARE_END = {tag: re.compile(rf"</{tag}\b[^>]*+>?", re.I) for tag in BARE}
 ASIDE = frozenset("nav footer aside form menu dialog button".split())
-#: Words of a class or id that mark menus, notices, adverts, comments and the like.
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|menu|nav\w*|breadcrumbs?|sidebar|side|footer|header|masthead|comments?|discussion|replies|respond|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|widget|pagination|pager|toc|skip|login|signup)(?:$|[\s_-])",
-    re.I,
+#: Words of a class or id that mark menus, adverts, comments and the like; and such as may mark them, which
+#: count against an element only if it is short or mostly links.
+NOISE, DOUBTFUL = (
+    re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I)
+    for words in (
+        r"ads?|advert\w*|banner|sponsor\w*|promo\w*|menu|nav\w*|breadcrumbs?|sidebar|footer|masthead|comments?|discussion|replies|respond|cookies?|consent|popup|modal|newsletter|subscribe|share|sharing|widget|pagination|pager|skip|login|signup",
+        r"side|header|notice|social|related|recommend\w*|toc",
+    )
 )
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -39,134 +48,180 @@ CLOSES = {
 }
 #: Elements beyond which an end tag or an implied end doesn't reach.
 BOUNDS = frozenset("article aside body div footer form header html main nav ol section table td th ul".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Quotes count only after an equals sign, and only if they are closed; so no match goes back on itself.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)(?:>|\Z)", re.S)
+ATTR = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
+ASKED = re.compile("class|id|role|hidden", re.I)
 SPACES = re.compile(r"[\s​]+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A container is left for one inside it that holds this share of its text, unless it has a heading or
 #: a block of so many characters of its own.
 NEARLY_ALL, RUNNING = 0.9, 100
-#: Winning paths of a host hold at least this share of the votes of its most voted path.
-NEAR_WINNER = 0.5
+#: Winning paths of a host hold at least this share of the votes of its most voted path, and of all its votes.
+NEAR_WINNER, LEAST_SHARE = 0.5, 0.02
+#: An element with a doubtful class stays if it has so many characters, and no larger share of them in links.
+LONG, LINKED = 200, 0.33
 
 
-def blocks(html: str) -> list[tuple[str, str, int, bool, bool]]:
-    """(path, text, characters in links, dropped, heading) of each run of text between block boundaries, in page order.
+class Page:
+    """The runs of text between a page's block boundaries, in page order, and the tree of its containers.
 
-    path is that of the enclosing elements that contain, outermost first; dropped is true inside menus,
-    forms, notices and the like. Malformed markup never fails: an end tag closes the nearest open
-    element of its name within bounds, a start tag closes what it can't stand in, and the end closes all.
+    Malformed markup never fails: an end tag closes the nearest open element of its name within bounds, a start
+    tag closes what it can't stand in, and the end closes all.
     """
-    out: list[tuple[str, str, int, bool, bool]] = []
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, dropped
-    buffer: list[str] = []
-    links = 0
-    at, size = 0, len(html)
-
-    def flush():
-        nonlocal links
-        if buffer:
-            text = SPACES.sub(" ", "".join(buffer)).strip()
-            if text:
-                out.append((stack[-1][1], text, min(links, len(text)), stack[-1][2], any(x[0] in HEADINGS for x in stack)))
-            buffer.clear()
-        links = 0
-
-    def put(raw: str):
-        nonlocal links
-        if raw:
-            text = unescape(raw) if "&" in raw else raw
-            buffer.append(text)
-            if any(x[0] == "a" for x in stack):
-                links += len(text.strip())
-
-    def close_to(k: int):
-        if any(x[0] in BLOCK for x in stack[k:]):
-            flush()
-        del stack[k:]
-
-    while at < size:
-        m = TAG.search(html, at)
-        if not m:
-            put(html[at:])
-            break
-        put(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
+
+    def __init__(self, html: str):
+        #: (container, text, characters in links, dropped, heading) of each run.
+        self.runs: list[tuple[int, str, int, bool, bool]] = []
+        #: Of each container, the root first: its parent, whether it is an article, and the hash of its path.
+        self.parents, self.articles, self.hashes = [-1], [False], [0]
+        self._known: dict[tuple[int, str], int] = {}
+        self._read(html)
+
+    def _container(self, parent: int, tag: str, names: str) -> int:
+        name = ".".join([tag, *sorted({re.sub(r"\d+", "", c) for c in names.lower().split()} - {""})])
+        if (parent, name) not in self._known:
+            self._known[parent, name] = len(self.parents)
+            self.parents.append(parent)
+            self.articles.append(tag == "article")
+            self.hashes.append(int.from_bytes(blake2b(f"{self.hashes[parent]}/{name}".encode(), digest_size=8).digest(), "little", signed=True))
+        return self._known[parent, name]
+
+    def _read(self, html: str) -> None:
+        stack: list[tuple[str, int, bool, int]] = [("", 0, False, -1)]  # tag, container, dropped, doubtful element
+        open_at: dict[str, list[int]] = {}  # places in the stack, by tag
+        bounds = [0]
+        n_links = n_headings = n_articles = links = n_doubtful = 0
+        buffer: list[str] = []
+        found: list[tuple[int, str, int, bool, bool, int]] = []
+        at, size = 0, len(html)
+
+        def flush():
+            nonlocal links
+            if buffer:
+                text = SPACES.sub(" ", "".join(buffer)).strip()
+                if text:
+                    _, container, dropped, doubtful = stack[-1]
+                    found.append((container, text, min(links, len(text)), dropped, n_headings > 0, doubtful))
+                buffer.clear()
+            links = 0
+
+        def put(raw: str):
+            nonlocal links
+            if raw:
+                text = unescape(raw) if "&" in raw else raw
+                buffer.append(text)
+                if n_links:
+                    links += len(text.strip())
+
+        def close_to(k: int):
+            nonlocal n_links, n_headings, n_articles
+            if any(stack[i][0] in BLOCK for i in range(k, len(stack))):
+                flush()
+            while len(stack) > k:
+                tag = stack.pop()[0]
+                open_at[tag].pop()
+                n_links -= tag == "a"
+                n_headings -= tag in HEADINGS
+                n_articles -= tag in ("article", "main")
+                if bounds[-1] == len(stack):
+                    bounds.pop()
+
+        def last(tag: str) -> int:
+            places = open_at.get(tag)
+            return places[-1] if places else 0
+
+        while at < size:
+            m = TAG.search(html, at)
+            if not m:
+                put(html[at:])
+                break
+            put(html[at : m.start()])
+            at = m.end()
+            if m[2] is None:
+                continue
+            tag = m[2].lower()
+            if m[1]:
+                k = last(tag)
+                if k and (tag in BOUNDS or k > bounds[-1]):
                     close_to(k)
-                    break
-                if stack[k][0] in BOUNDS and tag not in BOUNDS:
-                    break
-            else:
-                if tag in BLOCK:
+                elif not k and tag in BLOCK:
                     flush()
-            continue
-        if tag in BARE:  # its content has no tags
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
-            at = end.end() if end else size
-            continue
-        if tag == "br":
-            buffer.append(" ")
-        if tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in CLOSES[tag]:
-                    close_to(k)
-                elif stack[k][0] in BOUNDS:
-                    break
-        if tag in BLOCK:
-            flush()
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
-            continue
-        attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTR.finditer(m[3])} if m[3] else {}
-        names = attrs.get("class", "")
-        path, inside = stack[-1][1], stack[-1][2]
-        if tag in CONTAINER:
-            kinds = sorted({re.sub(r"\d+", "", c) for c in names.lower().split()} - {""})
-            path = f"{path}/{'.'.join([tag, *kinds])}"
-        drop = inside or tag in ASIDE or tag in RAW or "hidden" in attrs or attrs.get("aria-hidden") == "true"
-        drop = drop or tag == "header" and "/article" not in path
-        drop = drop or tag not in ("html", "body", "article", "main") and bool(NOISE.search(f"{names} {attrs.get('id', '')} {attrs.get('role', '')}"))
-        stack.append((tag, path, drop))
-    flush()
-    return out
-
-
-def best(found: list[tuple[str, str, int, bool, bool]]) -> str | None:
-    """The path that a page votes for: the innermost that holds nearly all text that isn't dropped or in links.
-
-    An article is never left for a part of it. Of two containers with as much text the first by name is taken.
-    """
-    held = [(path, len(text) - 2 * links, heading) for path, text, links, dropped, heading in found if not dropped and len(text) > 2 * links]
-    if not held:
-        return None
-    at = ""
-    while not re.match(r"article(?:\.|\Z)", at.rpartition("/")[2]):
-        inside: dict[str, int] = {}
-        for path, size, heading in held:
-            if path == at and (heading or size >= RUNNING):
-                return at
-            if path != at:
-                child = f"{at}/{path[len(at) + 1 :].partition('/')[0]}"
-                inside[child] = inside.get(child, 0) + size
-        most = min(inside, key=lambda p: (-inside[p], p), default=None)
-        if most is None or inside[most] < NEARLY_ALL * sum(size for _, size, _ in held):
-            return at
-        at, held = most, [x for x in held if x[0] == most or x[0].startswith(most + "/")]
-    return at
-
-
-def text_of(found: list[tuple[str, str, int, bool, bool]], winners: list[str]) -> str:
-    """The text of the containers on the winning paths, else of the page's own best one."""
-    for paths in (winners, [best(found)]):
-        kept = [t for path, t, _, dropped, _ in found if not dropped and any(p is not None and (path == p or path.startswith(p + "/")) for p in paths)]
-        if kept:
-            return "\n\n".join(kept)
-    return ""
+                continue
+            if tag in BARE:  # its content has no tags
+                end = BARE_END[tag].search(html, at)
+                at = end.end() if end else size
+                continue
+            if tag == "br":
+                buffer.append(" ")
+            while tag in CLOSES and (k := max(map(last, CLOSES[tag]))) and k >= bounds[-1]:
+                close_to(k)
+            if tag in BLOCK:
+                flush()
+            if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+                continue
+            attrs = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in ATTR.finditer(m[3])} if ASKED.search(m[3]) else {}
+            names = attrs.get("class", "")
+            _, container, drop, doubtful = stack[-1]
+            if tag in CONTAINER:
+                container = self._container(container, tag, names)
+            drop = drop or tag in ASIDE or tag in RAW or "hidden" in attrs or attrs.get("aria-hidden") == "true"
+            drop = drop or tag == "header" and not n_articles
+            if tag not in ("html", "body", "article", "main"):
+                said = f"{names} {attrs.get('id', '')} {attrs.get('role', '')}"
+                drop = drop or bool(NOISE.search(said))
+                if doubtful < 0 and DOUBTFUL.search(said) and not (n_articles and "header" in said.lower()):
+                    doubtful, n_doubtful = n_doubtful, n_doubtful + 1
+            open_at.setdefault(tag, []).append(len(stack))
+            if tag in BOUNDS:
+                bounds.append(len(stack))
+            n_links += tag == "a"
+            n_headings += tag in HEADINGS
+            n_articles += tag in ("article", "main")
+            stack.append((tag, container, drop, doubtful))
+        flush()
+        long, linked = [0] * n_doubtful, [0] * n_doubtful
+        for _, text, n, _, _, doubtful in found:
+            if doubtful >= 0:
+                long[doubtful] += len(text)
+                linked[doubtful] += n
+        noise = [a < LONG or b > LINKED * a for a, b in zip(long, linked, strict=True)]
+        self.runs = [(*run[:3], run[3] or run[5] >= 0 and noise[run[5]], run[4]) for run in found]
+
+    def best(self) -> int | None:
+        """The container that the page votes for: the innermost that holds nearly all text that isn't dropped or in links.
+
+        An article is never left for a part of it. Of two containers with as much text the one of lower hash is taken.
+        """
+        total, stays, inside = [0] * len(self.parents), [False] * len(self.parents), [[] for _ in self.parents]
+        for container, text, links, dropped, heading in self.runs:
+            if not dropped and len(text) > 2 * links:
+                total[container] += len(text) - 2 * links
+                stays[container] |= heading or len(text) - 2 * links >= RUNNING
+        for k in range(len(self.parents) - 1, 0, -1):  # parents come before children
+            total[self.parents[k]] += total[k]
+            inside[self.parents[k]].append(k)
+        if not total[0]:
+            return None
+        at = 0
+        while not self.articles[at] and not stays[at]:
+            most = max(inside[at], key=lambda k: (total[k], -self.hashes[k]), default=None)
+            if most is None or total[most] < NEARLY_ALL * total[at]:
+                break
+            at = most
+        return at
+
+    def text(self, winners: list[int]) -> str:
+        """The text of the containers whose paths win, else of the page's own best one."""
+        own = self.best()
+        for chosen in ({k for k, h in enumerate(self.hashes) if h in set(winners)}, set() if own is None else {own}):
+            inside = [k in chosen for k in range(len(self.parents))]
+            for k in range(1, len(inside)):
+                inside[k] |= inside[self.parents[k]]
+            kept = [text for container, text, _, dropped, _ in self.runs if not dropped and inside[container]]
+            if kept:
+                return "\n\n".join(kept)
+        return ""
 
 
 def host(url):
@@ -174,27 +229,28 @@ def host(url):
     return F.lower(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def votes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path, n): the pages of a host that vote for a path."""
+def votes(pages: DataFrame) -> DataFrame:
+    """(host, path, n) of (host, html): the pages of a host that vote for a path, by its hash."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            paths = [best(blocks(x.decode("utf-8", "replace"))) if x else None for x in texts(batch, "html")]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string())], ["host", "path"])
+            paths = []
+            for x in texts(batch, "html"):
+                page = Page(x.decode("utf-8", "replace")) if x else None
+                own = page.best() if page else None
+                paths.append(None if own is None else page.hashes[own])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.int64())], ["host", "path"])
 
-    rows = pages.select(host(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html"))
-    return rows.mapInArrow(run, "host string, path string").where("path is not null").groupBy("host", "path").agg(F.count("*").alias("n"))
+    return pages.select("host", "html").mapInArrow(run, "host string, path long").where("path is not null").groupBy("host", "path").agg(F.count("*").alias("n"))
 
 
-def winners(voted: DataFrame, near: float = NEAR_WINNER) -> DataFrame:
-    """(host, paths): a host's most voted path and those with at least ``near`` of its votes, most voted first."""
-    top = voted.groupBy(F.col("host").alias("of")).agg(F.max("n").alias("most"))
-    kept = voted.join(top, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") >= F.col("most") * near)
-    # Paths with half the top's votes are few where pages are alike; a host of single pages has as many as pages, so those go.
-    ranked = kept.where((F.col("n") > 1) | (F.col("most") == 1)).groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("m"), "path")).alias("first"), F.collect_set(F.when(F.col("n") > 1, F.struct((-F.col("n")).alias("m"), "path"))).alias("all"))
-    return ranked.select("host", F.when(F.size("all") > 0, F.array_sort("all")["path"]).otherwise(F.array("first.path")).alias("paths"))
+def winners(voted: DataFrame, near: float = NEAR_WINNER, least: float = LEAST_SHARE) -> DataFrame:
+    """(host, paths): a host's most voted path, and those with at least ``near`` of its votes and ``least`` of all; 1 / ``least`` at most."""
+    top = voted.groupBy(F.col("host").alias("of")).agg(F.max(F.struct("n", "path")).alias("top"), F.sum("n").alias("all"))
+    kept = voted.join(top, F.col("host").eqNullSafe(F.col("of"))).where((F.col("path") == F.col("top.path")) | ((F.col("n") > 1) & (F.col("n") >= F.col("top.n") * near) & (F.col("n") >= F.col("all") * least)))
+    return kept.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths"))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -202,9 +258,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     White space inside a block becomes one space, blocks are joined by two line ends. A null or empty
     page has empty text; a null or hostless url votes and is extracted with the others of its kind;
-    repeated rows come out as often; an empty table gives no rows; other columns are ignored.
+    repeated rows come out as often; an empty table gives no rows; a caller's columns may have any name.
     """
-    voted = materialize(votes(pages, url, html), f"{scratch_dir(pages.sparkSession)}/votes")
+    rows = boxed(pages).select(inside(key).alias("key"), inside(url).alias("url"), inside(html).alias("html")).withColumn("host", host(F.col("url")))
+    voted = materialize(votes(rows), f"{scratch_dir(pages.sparkSession)}/votes")
     won = small_side(winners(voted).withColumnRenamed("host", "of"))
 
     def run(batches):
@@ -212,13 +269,12 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
         for batch in batches:
             paths = batch.column("paths").to_pylist()
-            out = [text_of(blocks(x.decode("utf-8", "replace")), p or []) if x else "" for x, p in zip(texts(batch, "html"), paths, strict=True)]
+            out = [Page(x.decode("utf-8", "replace")).text(p or []) if x else "" for x, p in zip(texts(batch, "html"), paths, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["key", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html")).withColumn("host", host(F.col("url")))
-    rows = rows.join(won, F.col("host").eqNullSafe(F.col("of")), "left").select("key", "url", "html", "paths")
-    types = rows.schema
-    out = rows.mapInArrow(run, f"key {types['key'].dataType.simpleString()}, url {types['url'].dataType.simpleString()}, text string, n_chars long")
+    joined = rows.join(won, F.col("host").eqNullSafe(F.col("of")), "left").select("key", "url", "html", "paths")
+    types = joined.schema
+    out = joined.mapInArrow(run, f"key {types['key'].dataType.simpleString()}, url {types['url'].dataType.simpleString()}, text string, n_chars long")
     return out.withColumnsRenamed({"key": key, "url": url})
 
 

@@ -1,6 +1,9 @@
 import re
+import time
 from html import unescape
 
+from _brute import clashing
+
 from spanlake.llm import html_text
 
 SF = "/root/testdata/sf0.01"
@@ -56,3 +59,40 @@ def test_whole_articles(spark):
             pages.append((100 * n + k, f"http://{name}.org/{k}", html if name == "bare" else _page(f"<nav><a href=/>Home</a></nav>{html}<footer>F</footer>")))
     out = html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in out} == want
+
+
+def _text(html):
+    return html_text.Page(html).text([])
+
+
+def test_broken_markup_leaves_no_markup():
+    assert _text('<p title="x>Hello</p>') == "Hello"
+    assert _text("<p title='x>Hello</p><p class=a\"b id=>two") == "Hello\n\ntwo"
+    assert _text('<p title="a > b" data-x=\'<i>\'>three</p>') == "three"
+    assert _text('<i "<b \'><p>four') == "four" and _text("five <") == "five <" and _text("1 < 2 &lt; 3") == "1 < 2 < 3"
+    assert _text("<p title='a hidden b'>six</p><p hidden>seven</p>") == "six"
+    assert _text("<td>a<td>b<table><tr><td>c<p>d<tr><td>e</table>f") == "a\n\nb\n\nc\n\nd\n\ne\n\nf"
+    assert _text("<ul><li>a<li>b<ul><li>c</ul>d</ul></i>e") == "a\n\nb\n\nc\n\nd\n\ne"
+
+
+def test_time_follows_the_length():
+    for html in ("<div>x" * 20_000, "<b>" * 20_000 + "x</i>" * 20_000, '<a "' * 20_000, '<a x="' * 8_001, "<div class=c><p>y</b>" * 10_000, "<li>x" * 20_000, "<!--" * 20_000, "<script>" * 20_000, "<div><b>x</p></em>" * 8_000):
+        began = time.process_time()
+        page = html_text.Page(html)
+        page.text([])
+        assert time.process_time() - began < 4, html[:20]
+
+
+def test_doubtful_classes_inside_articles():
+    prose = "The social history of the town goes on for long. " * 8
+    inner = f'<article><div class="entry-header"><h1>Title</h1></div><p>{prose}</p><section class="social history"><p>{prose}</p></section><div class="social">Share this</div><div class="related"><a href=/1>{prose}</a></div><div class="ad">Buy</div><section class="comments"><p>{prose}</p></section><form>Send</form></article>'
+    assert _text(_page(f'<div class="notice">We have moved.</div>{inner}<div id="side">Left</div>')) == f"Title\n\n{prose.strip()}\n\n{prose.strip()}"
+
+
+def test_winners_are_few_and_clashing_columns(spark):
+    voted = spark.createDataFrame([("a", k, 2) for k in range(500)] + [("b", 1, 50), ("b", 2, 30), ("b", 3, 1), ("c", 7, 1), ("c", 8, 1), (None, 5, 4)], "host string, path long, n long")
+    won = {r.host: r.paths for r in html_text.winners(voted).collect()}
+    assert won == {"a": [499], "b": [1, 2], "c": [8], None: [5]}
+    rows = [(1, "http://a.org", _page("<p>Some text</p>")), (1, "http://a.org", None), (None, None, "")]
+    df = clashing(spark.createDataFrame(rows, "page_id long, url string, html string"), ["key", "host", "paths", "of", "text", "doc", "n_chars"])
+    assert sorted((str(r.page_id), r.text, r.n_chars) for r in html_text.extract(df).collect()) == [("1", "", 0), ("1", "Some text", 9), ("None", "", 0)]
