@@ -18,6 +18,7 @@ WHITE_CHARS = " \t\n\x0b\x0c\r"
 
 #: Rows below which a side of a join is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 50_000
+_made: list[str] = []
 #: Bytes of an Arrow batch that a Python worker is given.
 BATCH_BYTES = 4 << 20
 
@@ -32,7 +33,21 @@ def scratch_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "spanlake-scratch")
-    return f"{base.rstrip('/')}/spanlake/{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/spanlake/{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def n_scratch() -> int:
+    """How many scratch folders this driver has made so far."""
+    return len(_made)
+
+
+def drop_scratch(spark: SparkSession, since: int) -> None:
+    """Delete the scratch folders made after the first ``since``. Frames that read them can't be used after that."""
+    for folder in _made[since:]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _made[since:]
 
 
 @contextmanager

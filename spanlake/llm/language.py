@@ -139,7 +139,7 @@ def sample(docs: DataFrame, labelled: Column, key: str, text: str, lang: str, pe
     each = min(per_lang, in_all // len(counts) or 1)
     limit = F.element_at(F.create_map(*(F.lit(v) for lang_n in counts.items() for v in (lang_n[0], int(2**30 * min(1.0, each / lang_n[1]))))), F.col("lang"))
     got = rows.where(F.col("order") <= limit).select("lang", "text").mapInArrow(run, "lang string, kind string, x binary").collect()
-    got = sorted(got, key=lambda r: (r.lang, r.x))[: 2 * in_all]
+    got = sorted(sorted(got, key=lambda r: (zlib.crc32(r.x), r.x))[: 2 * in_all], key=lambda r: (r.lang, r.x))  # no language goes as a whole
     return np.array([np.frombuffer(zlib.decompress(r.x), r.kind).astype(np.float32) for r in got]).reshape(-1, BUCKETS), [r.lang for r in got]
 
 

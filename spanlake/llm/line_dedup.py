@@ -122,7 +122,25 @@ def dedup_documents(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the runs that repeat: doc_id, n_lines, n_lines_removed, runs and text."""
+    """All documents without the runs that repeat: doc_id, n_lines, n_lines_removed, runs (from-to, ...) and text."""
     out = deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate("runs", F.lit(0), lambda n, r: n + r["to"] - r["from"] + 1)
-    return out.select(inside("doc_id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), removed.cast("long").alias("n_lines_removed"), "runs", F.col("new_text").alias("text"))
+    runs = F.array_join(F.transform("runs", lambda r: F.concat_ws("-", r["from"], r["to"])), ",")
+    return out.select(inside("doc_id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), removed.cast("long").alias("n_lines_removed"), runs.alias("runs"), F.col("new_text").alias("text"))
+
+
+_W = r"[^\x20\x09-\x0D]+"
+#: DuckDB SQL for the query's rows: of whole windows by their text, without fingerprints.
+ORACLE_SQL = rf"""WITH raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
+l AS (SELECT doc_id, pos, array_to_string(regexp_extract_all(lower(line), '{_W}'), ' ') AS norm, len(regexp_extract_all(line, '{_W}')) AS n FROM raw WHERE regexp_matches(line, '{_W}')),
+e AS (SELECT *, CAST(sum(n) OVER o AS BIGINT) AS ends, CAST(sum(n) OVER o AS BIGINT) - n AS starts, count(*) OVER o AS nth FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT doc_id, list(norm) OVER o AS run, max(ends) OVER o - starts AS words, nth AS a, max(nth) OVER o AS b, pos AS x, max(pos) OVER o AS y FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY starts RANGE BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING)),
+g AS (SELECT doc_id, list(norm) OVER o AS run, ends - min(starts) OVER o AS words, min(nth) OVER o AS a, nth AS b, min(pos) OVER o AS x, pos AS y FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY ends RANGE BETWEEN {MIN_WORDS - 1} PRECEDING AND CURRENT ROW)),
+w AS (SELECT DISTINCT doc_id, array_to_string(run, chr(10)) AS run, a, b, x, y FROM (SELECT * FROM f UNION ALL SELECT * FROM g) WHERE words >= {MIN_WORDS}),
+later AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, a) > 1),
+i AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM later),
+k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM i),
+m AS (SELECT doc_id, min(x) AS x, max(y) AS y FROM k GROUP BY doc_id, island),
+r AS (SELECT doc_id, string_agg(x || '-' || y, ',' ORDER BY x) AS runs, CAST(sum(y - x + 1) AS BIGINT) AS gone FROM m GROUP BY doc_id),
+t AS (SELECT raw.doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM raw WHERE doc_id IN (SELECT doc_id FROM m) AND NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = raw.doc_id AND pos BETWEEN m.x AND m.y) GROUP BY raw.doc_id)
+SELECT d.doc_id, (SELECT count(*) FROM l WHERE l.doc_id = d.doc_id) AS n_lines, coalesce(r.gone, 0) AS n_lines_removed, coalesce(r.runs, '') AS runs, CASE WHEN r.runs IS NULL THEN d.text ELSE coalesce(t.text, '') END AS text FROM documents d LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)"""

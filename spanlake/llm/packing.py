@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, scratch_dir
+from ._common import boxed, inside, materialize, scratch_dir
 from .tokens import encoder, texts
 
 
@@ -160,7 +160,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, key: str
             of = {"key": batch.column("key").take(pa.array(out["row"], pa.int64()))} | of | {"chunk": pa.array([chunk] * len(out["row"]), pa.int32()), "nth": pa.array(out["nth"], pa.int64())}
             yield pa.RecordBatch.from_pydict(of | ({"ids": pa.array(out["ids"], pa.list_(pa.int32()))} if with_ids else {}))
 
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = boxed(docs).select(inside(key).alias("key"), inside(text).alias("text"))
     schema = f"key {rows.schema['key'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, chunk int, nth long"
     return rows.mapInArrow(cut, schema + ", ids array<int>" * with_ids)
 
@@ -168,7 +168,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, key: str
 def place(cut: DataFrame, capacity: int) -> DataFrame:
     """Give each piece of a table with length, chunk and nth its sequence_id and offset.
 
-    The table must be a written one: chunk and nth are read more than once.
+    The table must be a written one: chunk and nth are read more than once. Pieces of equal length
+    change places freely, so ties and repeated rows need no order; no pieces give no rows.
     """
     spark = cut.sparkSession
     each = cut.groupBy("length", "chunk").agg(F.count("*").alias("n"))
@@ -205,7 +206,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
 
     A null or empty text is its end id alone; documents longer than the capacity are cut, the last
     piece may be shorter; repeated rows and null keys are documents like any other; an empty table
-    gives no rows; other columns are ignored.
+    gives no rows; a caller's columns may have any name.
     """
     cut = materialize(pieces(docs, tokenizer, capacity, end_id, key, text, with_ids), f"{scratch_dir(docs.sparkSession)}/pieces")
     names = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids]

@@ -138,3 +138,27 @@ def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"]).select(
         inside("doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left", F.size("removed").alias("n_lines_removed")
     )
+
+
+_W = r"[^\x20\x09-\x0D]+"
+#: DuckDB SQL for the query's rows.
+ORACLE_SQL = rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_W}') AS ws FROM documents),
+raw AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d),
+lines AS (SELECT doc_id, source, line, pos, len(regexp_extract_all(line, '{_W}')) AS n, regexp_replace(lower(array_to_string(regexp_extract_all(line, '{_W}'), ' ')), '[0-9]+', '0', 'g') AS norm FROM raw WHERE regexp_matches(line, '{_W}')),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
+w AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM d),
+w3 AS (SELECT doc_id, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM w3 WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+sets AS (SELECT doc_id, string_agg(DISTINCT norm, chr(10) ORDER BY norm) AS s FROM lines GROUP BY doc_id),
+common AS (SELECT source, norm FROM lines JOIN sets USING (doc_id) GROUP BY source, norm HAVING count(DISTINCT s) > {MIN_DOCS}),
+marked AS (SELECT l.*, c.norm IS NOT NULL AS shared FROM lines l LEFT JOIN common c ON l.norm = c.norm AND l.source IS NOT DISTINCT FROM c.source),
+known AS (SELECT doc_id, any_value(source) AS source, CASE WHEN bool_or(shared) AND {OWN_IN} * coalesce(sum(n) FILTER (NOT shared), 0) < sum(n) THEN arg_max(norm, (n, -pos)) FILTER (shared) ELSE arg_max(norm, (n, -pos)) FILTER (NOT shared) END AS k FROM marked GROUP BY doc_id),
+hosts AS (SELECT source, count(DISTINCT k) AS docs FROM known GROUP BY source),
+seen AS (SELECT m.source, m.norm, count(DISTINCT k.k) AS n FROM marked m JOIN known k USING (doc_id) WHERE m.shared GROUP BY m.source, m.norm),
+frequent AS (SELECT s.source, s.norm FROM seen s JOIN hosts h ON s.source IS NOT DISTINCT FROM h.source WHERE s.n > {MIN_DOCS} AND s.n > h.docs * {MIN_SHARE}),
+lost AS (SELECT l.doc_id, sum(l.n) AS n, count(*) AS lines FROM lines l JOIN frequent f ON l.norm = f.norm AND l.source IS NOT DISTINCT FROM f.source GROUP BY l.doc_id),
+c AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '{SYMBOLS}')) AS BIGINT) AS n_symbols, CAST(coalesce(dups.n, 0) AS BIGINT) AS n_dup_lines,
+ CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(ws) AS base_failed, CAST(len(ws) - coalesce(lost.n, 0) AS BIGINT) AS n_words_left, CAST(coalesce(lost.lines, 0) AS INTEGER) AS n_lines_removed
+ FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT *, NOT base_failed AND n_words_left >= n_words * {MIN_LEFT} AS kept FROM c"""

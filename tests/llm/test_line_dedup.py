@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 from _brute import AWKWARD, clashing, frame, same_rows, without_repeated_runs
 from pyspark.sql import functions as F
 
@@ -71,3 +72,14 @@ def test_repeated_rows_nulls_empty_table_and_clashes(spark, tmp_path):
     assert out.columns == wide.columns and same_rows(out, wide.limit(1))
     assert line_dedup.dedup_documents(wide.drop("n_chars")).columns == wide.drop("n_chars").columns
     assert numbered(boxed(wide), f"{tmp_path}/n", "row").count() == 3
+
+
+def test_query_matches_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    rel = con.execute(line_dedup.ORACLE_SQL)
+    names = [x[0] for x in rel.description]
+    df = line_dedup.op3_line_dedup(spark, "/root/testdata/sf0.01")
+    assert sorted(names) == sorted(df.columns)
+    want = sorted(rel.fetchall(), key=repr)
+    assert sorted(map(tuple, df.select(*names).collect()), key=repr) == want and sum(x[names.index("n_lines_removed")] > 0 for x in want) > 50

@@ -2,9 +2,10 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 from _brute import AWKWARD, WORD, clashing, counts, frame, same_rows
 
-from spanlake.llm import quality
+from spanlake.llm import quality, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,7 +93,7 @@ def _verdicts(rows):
     return out
 
 
-def test_verdicts_match_brute_force(spark):
+def test_verdicts_match_brute_force_and_sql(spark, tmp_path):
     rows = [(r.doc_id, r.text, r.source[:4]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source").collect()]
     rng, pool = random.Random(4), [_prose(5000 + k, rng_n) for k, rng_n in enumerate([3, 5, 8, 20, 70] * 6)]
     rows += [(10**6 + i, "\n".join([*rng.sample(pool, rng.randint(0, 9)), _prose(7000 + i % 150, 30)]), f"p{i % 3}") for i in range(400)]
@@ -100,6 +101,11 @@ def test_verdicts_match_brute_force(spark):
     want = _verdicts(rows)
     assert 30 < sum(bool(r) for r, _ in want.values()) and {k for _, k in want.values()} == {True, False}
     assert {r.doc.doc_id: (r.removed, r.kept) for r in quality.judge(frame(spark, rows), ["doc_id"]).collect()} == want
+    frame(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = con.execute(f"SELECT doc_id, n_lines_removed, kept FROM ({quality.ORACLE_SQL})").fetchall()
+    assert {i: (n, kept) for i, n, kept in got} == {i: (len(gone), kept) for i, (gone, kept) in want.items()}
 
 
 def test_boilerplate_does_not_hide_boilerplate(spark):
@@ -112,3 +118,14 @@ def test_boilerplate_does_not_hide_boilerplate(spark):
     out = {r.doc.doc_id: r for r in quality.judge(frame(spark, rows), ["doc_id"]).collect()}
     assert all(out[i].removed == list(range(8)) for i in range(60))
     assert all(not out[1000 + i].removed for i in range(40))
+
+
+def test_query_matches_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    rel = con.execute(registry.oracle_sql()["op6_line_frequency"])
+    names = [x[0] for x in rel.description]
+    df = quality.op6_line_frequency(spark, "/root/testdata/sf0.01")
+    assert sorted(names) == sorted(df.columns)
+    want = sorted(rel.fetchall())
+    assert sorted(map(tuple, df.select(*names).collect())) == want and len({x[names.index("kept")] for x in want}) == 2
