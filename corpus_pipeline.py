@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanlake.llm import line_dedup, mixing, near_copies, packing, quality
-from spanlake.llm._common import materialize, scratch_dir
+from spanlake.llm._common import drop_scratch, materialize, n_scratch, scratch_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: Hash order and winnowing can't be written in SQL; tests/llm holds the stages against brute force.
+#: Hash order and token ids can't be written in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -54,5 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; what each returns is written to the shared scratch folder."""
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch_dir(spark)
     for k, (name, stage) in enumerate(STAGES):
+        before = n_scratch()
         docs = materialize(stage(spark, docs, sf_dir), f"{folder}/{k}-{name}")
+        drop_scratch(spark, before)  # what the stage wrote on its way
     return docs
