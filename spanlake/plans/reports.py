@@ -31,7 +31,7 @@ def browser_events(window: DataFrame, browsers: dict[str, DataFrame], span: int
     out = None
     for name, tabs in browsers.items():
         front = rows.filter_keyvals(window, "app", BROWSERS[name])
-        own = intervals.period_intersect(intervals.flood(tabs, span=span), front, span=span)
+        own = intervals.period_intersect(written(intervals.flood(tabs, span=span)), front, span=span)
         out = own if out is None else out.unionByName(own)
     return None if out is None else rows.split_url(out, payload.text(out, "url"))
 
