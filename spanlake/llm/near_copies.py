@@ -15,7 +15,8 @@ Only between sets that still lie in different groups are the other pairs compare
 hub, and so on while that joins groups and more pairs than rows are left, then all.
 
 Most pairs only share a passage. An odd sketch of each set, a bit for the parity of each hash bucket,
-tells them at a hundredth of the set's size: two sets differ by no less than their sketches do.
+tells them at a hundredth of the set's size: two sets differ by no less than their sketches do. A
+sketch folded to 256 bits goes with the rows, so that such pairs aren't made at all.
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ from .tokens import texts
 
 WIDTH, SEED = 5, 42
 #: Documents in the sample that orders the shingles, how often one must be met there, and how many are kept.
-SAMPLE, SAMPLE_MIN, SAMPLE_KEPT = 20_000, 3, 200_000
+SAMPLE, SAMPLE_MIN, SAMPLE_KEPT = 10_000, 3, 200_000
+#: Words of a sketch folded to the length that all have.
+SHORT = 4
 #: Pairs a row that are compared without another hub.
-PAIRS_A_ROW = 4
+PAIRS_A_ROW = 50
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -77,19 +80,22 @@ def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def odd_sketch(hs: np.ndarray) -> np.ndarray:
-    """For a set of n hashes 64-bit words of n bits or up to twice as many, a power of two: whether each bit's hashes are odd in number."""
-    bits = 64 << max(0, (len(hs) - 1).bit_length() - 6)
+    """For a set of n hashes 64-bit words of n bits or up to twice as many, a power of two and ``SHORT`` words at
+    least: whether each bit's hashes are odd in number."""
+    bits = max(64 * SHORT, 64 << max(0, (len(hs) - 1).bit_length() - 6))
     return np.packbits(np.bincount((hs & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").view(np.uint64)
 
 
 def sketched(rows: DataFrame) -> DataFrame:
-    """(t1, t2, fp, own, n, odd, prefix): SimHash, hash of the set, its size, odd sketch and first shingles in the common order."""
+    """(t1, t2, fp, own, n, odd, prefix): SimHash, hash of the set, its size, odd sketch and first shingles in the common order,
+    the last for one row of a set in each task."""
     hashes, counts = frequent(rows)
 
     def run(batches):
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
+        seen: set[int] = set()
         for batch in batches:
             fp, own, size, odd, first = [], [], [], [], []
             for hs in (shingles(x) for x in texts(batch, "text")):
@@ -102,7 +108,9 @@ def sketched(rows: DataFrame) -> DataFrame:
                 if len(hashes):
                     at = np.minimum(np.searchsorted(hashes, hs), len(hashes) - 1)
                     rank = np.where(hashes[at] == hs, counts[at], 0)
-                first.append(hs[np.lexsort((hs, rank))[: len(hs) // 5 + 1]])
+                # A set that the task has met before has given its first shingles.
+                first.append(hs[:0] if own[-1] in seen else hs[np.lexsort((hs, rank))[: len(hs) // 5 + 1]])
+                seen.add(own[-1])
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, own)]
             yield pa.RecordBatch.from_arrays([batch.column("t1"), batch.column("t2"), *longs, pa.array(size, pa.int32()), _lists(odd), _lists(first)], ["t1", "t2", "fp", "own", "n", "odd", "prefix"])
 
@@ -151,6 +159,21 @@ def may_be_alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.where(9 * F.aggregate(unlike, F.lit(0), lambda n, k: n + k) <= F.col("n_a") + F.col("n_b")).select("a", "b")
 
 
+def shorts(classes: DataFrame) -> DataFrame:
+    """(of_class, s0, s1, ...): each set's sketch folded to ``SHORT`` words."""
+    word = lambda k: F.aggregate(F.filter("odd", lambda x, i: i % SHORT == k), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    return classes.select(F.col("own").alias("of_class"), *(word(k).alias(f"s{k}") for k in range(SHORT)))
+
+
+def between_groups(left: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): the pairs a < b of sets of different groups that share a shingle of ``left`` and whose short sketches may be alike."""
+    known = left.join(shorts(classes), F.col("own") == F.col("of_class"))
+    x, y = (_sided(known, side, *MET, *(f"s{k}" for k in range(SHORT))) for side in "ab")
+    unlike = " + ".join(f"bit_count(s{k}_a ^ s{k}_b)" for k in range(SHORT))
+    near = F.expr(f"own_a < own_b AND of_a <> of_b AND {SIZES} AND {ENOUGH} AND 9L * ({unlike}) <= n_a + n_b")
+    return x.join(y, (F.col("h_a") == F.col("h_b")) & near).select(F.col("own_a").alias("a"), F.col("own_b").alias("b")).distinct()
+
+
 def alike(pairs: DataFrame, classes: DataFrame, rows: DataFrame, folder: str) -> DataFrame:
     """The pairs whose sets have a similarity of 0.8 or more, written."""
     pairs = materialize(may_be_alike(pairs, classes), f"{folder}/sketches-alike")
@@ -172,7 +195,7 @@ def groups(known: DataFrame, rows: DataFrame, folder: str) -> DataFrame:
     classes = known.groupBy("own").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.min(F.struct("t1", "t2")).alias("text"))
     classes = materialize(classes, f"{folder}/classes")
     post = known.select("own", "n", F.posexplode("prefix").alias("at", "h"))
-    several = post.groupBy("h").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select(F.col("h").alias("of"))
+    several = post.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("of"))
     met = materialize(post.join(small_side(materialize(several, f"{folder}/several")), F.col("h") == F.col("of"), "left_semi").distinct().withColumn("of", F.col("own")), f"{folder}/met")
     hubs = materialize(hubs_of(met), f"{folder}/hubs-0")
     tried = materialize(by_fingerprint(classes).union(by_hub(met, hubs)).distinct(), f"{folder}/pairs-0")
@@ -182,21 +205,17 @@ def groups(known: DataFrame, rows: DataFrame, folder: str) -> DataFrame:
         k += 1
         labels = simhash.components(found)
         grouped = met.drop("of").join(labels, F.col("own") == F.col("node"), "left").withColumn("of", F.coalesce("label", "own")).drop("node", "label")
-        # Shingles whose sets lie in several groups, without the hubs, which have been compared with all.
-        mixed = grouped.groupBy("h").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("h")
-        left = grouped.join(small_side(materialize(mixed, f"{folder}/mixed-{k}")), "h", "left_semi").join(hubs.select("h", "own"), ["h", "own"], "left_anti")
-        left = materialize(left, f"{folder}/left-{k}")
+        # The hubs have been compared with all. Of the others, those of shingles whose sets lie in several groups are left.
+        rest = materialize(grouped.join(hubs.select("h", "own"), ["h", "own"], "left_anti").select(*MET), f"{folder}/rest-{k}")
+        mixed = rest.groupBy("h").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("h")
+        left = materialize(rest.join(small_side(materialize(mixed, f"{folder}/mixed-{k}")), "h", "left_semi"), f"{folder}/left-{k}")
         size = left.groupBy("h", "of").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("s"))
         total = size.agg(F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("s")) / 2).alias("pairs")).first()
         if not total.pairs:
             return labels
         hubs = materialize(hubs_of(left), f"{folder}/hubs-{k}")
         more = total.pairs > PAIRS_A_ROW * total.rows and new.limit(1).count() > 0
-        if more:
-            pairs = by_hub(left, hubs)
-        else:
-            x, y = (_sided(left, side, *MET) for side in "ab")
-            pairs = x.join(y, (F.col("h_a") == F.col("h_b")) & F.expr(f"own_a < own_b AND of_a <> of_b AND {SIZES} AND {ENOUGH}")).select(F.col("own_a").alias("a"), F.col("own_b").alias("b")).distinct()
+        pairs = by_hub(left, hubs) if more else between_groups(left, classes)
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), f"{folder}/pairs-{k}")
         new = alike(pairs, classes, rows, f"{folder}/{k}")
         found, tried, met = found.union(new), tried.union(pairs), left
