@@ -15,16 +15,17 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import scratch_dir
+from ._common import boxed, inside, scratch_dir
 from .tokens import encoder, texts
 
-ROWS = 4096  # of a batch that is read back
+ROWS = 1024  # of a batch that is read back
 
 
 def _store(folder: str):
@@ -38,11 +39,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str =
     """Write the ids of every whole text in ascending order of key; returns the parts' bases.
 
     Null texts count as empty: they hold the end id alone. Null keys come first; equal keys follow
-    one another by the hash of their texts; an empty table gives empty parts; other columns are
-    ignored. A task that runs again replaces its part's files as a whole.
+    one another by the hash of their texts; an empty table gives empty parts; a caller's columns may
+    have any name. A task that runs again replaces its part's files as a whole.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())  # more for a larger input
 
     def write_part(batches):
         import pyarrow as pa
@@ -72,7 +73,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str =
             store.move(name(kind, f".{tag}-"), name(kind))
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([int(offsets[-1])], pa.int64())})
 
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = boxed(docs).select(inside(key).cast("long").alias("key"), inside(text).alias("text")).withColumn("tie", F.xxhash64("text"))
     ranged = rows.repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
     counts = dict(map(tuple, ranged.mapInArrow(write_part, "part int, n long").collect()))  # a row a part
     n = max(counts, default=-1) + 1
@@ -84,19 +85,24 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str =
     return bases
 
 
-def mapped(store, path: str, dtype: str) -> np.ndarray:
-    """A flat file memory-mapped where the store is a mounted folder, else read."""
+def mapped(store, path: str, dtype: str) -> Callable[[int, int], np.ndarray]:
+    """Gives the values from one place to another of a flat file: memory-mapped where the store is a mounted folder, else read by ranges."""
     from pyarrow import fs
 
+    size = store.get_file_info(path).size // np.dtype(dtype).itemsize
     if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r") if store.get_file_info(path).size else np.zeros(0, dtype)
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+        flat = np.memmap(path, dtype, "r") if size else np.zeros(0, dtype)
+        return lambda a, b: flat[a:b]
+    file, width = store.open_input_file(path), np.dtype(dtype).itemsize
+    return lambda a, b: np.frombuffer(file.read_at((min(b, size) - a) * width, a * width), dtype)
 
 
 def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """The documents of a folder: key, start (ids of all before it), n_tokens, ids_crc32 and,
     ``with_ids``, ids: array<int>. The checksum is of the ids as little-endian unsigned 32-bit integers.
+
+    A null key comes back as null, documents of equal keys each come back, empty parts give no rows, and
+    a document of a null or empty text has its end id alone.
     """
     store, root = _store(folder)
     with store.open_input_file(f"{root}/manifest.json") as f:
@@ -110,10 +116,12 @@ def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
             if part not in manifest["parts"]:
                 continue
             ids, offsets, keys = (mapped(store, f"{root}/part-{part:06d}.{kind}", dtype) for kind, dtype in (("bin", manifest["dtype"]), ("off", "<i8"), ("key", "<i8")))
-            for a in range(0, len(offsets) - 1, ROWS):
-                at = offsets[a : a + ROWS + 1]
-                own = [ids[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
-                k = keys[2 * a : 2 * (a + len(own))].reshape(-1, 2)
+            n_docs = store.get_file_info(f"{root}/part-{part:06d}.off").size // 8 - 1
+            for a in range(0, n_docs, ROWS):
+                at = offsets(a, min(a + ROWS, n_docs) + 1)
+                some = ids(int(at[0]), int(at[-1]))
+                own = [some[x:y] for x, y in zip(at[:-1] - at[0], at[1:] - at[0], strict=True)]
+                k = keys(2 * a, 2 * (a + len(own))).reshape(-1, 2)
                 out = {
                     "key": pa.array(k[:, 1], pa.int64(), mask=k[:, 0].astype(bool)), "start": pa.array(at[:-1] + manifest["bases"][part]), "n_tokens": pa.array(np.diff(at)),
                     "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in own], pa.int64()),

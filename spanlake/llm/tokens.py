@@ -3,19 +3,42 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
-#: Entries that a worker keeps: of words as they stand, and of the word cores that were encoded.
-WORDS_KEPT, CORES_KEPT = 250_000, 700_000
+#: Words that a worker keeps with their ids.
+KEPT = 500_000
 #: Bytes of text that are encoded together, and words of one call of the tokenizer.
 TOGETHER, CALL = 1 << 20, 2000
-#: Symbols that make a token run of their own after a letter; an apostrophe may begin a suffix instead.
-_TAIL = b".,;:!?*$&%#)]}/-\""
-_LETTER_LAST = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])\Z")
+PROBES = ["Two  words,\tA line\nend.".encode(), "it's x'S.y (An) über. Éa, 12.5%".encode(), "wordsword's word...\n\n Word".encode()]
+#: By byte: symbols that make a token run of their own after a letter (an apostrophe may begin a suffix
+#: instead), white space, letters, and the second bytes of letters after 0xC3.
+_TAIL, _WHITE, _LETTER, _SECOND = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b".,;:!?*$&%#)]}/-\"", b" \t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz", bytes([*range(0xA0, 0xB7), *range(0xB8, 0xC0)])))
+
+
+def split_tails(texts: list[bytes]) -> list[bytes]:
+    """The texts, in lower case, with a blank before each run of tail symbols that follows a letter and ends its word.
+
+    Such a run is a token run of its own, so it may be encoded apart.
+    """
+    if not texts:
+        return []
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    tail, white = _TAIL[data], _WHITE[data]
+    letter = _LETTER[data]
+    letter[1:] |= _SECOND[data[1:]] & (data[:-1] == 0xC3)
+    begins = np.flatnonzero(tail[1:] & letter[:-1]) + 1
+    ends = np.flatnonzero(white[1:] & tail[:-1]) + 1  # of the runs that end a word
+    # A run that begins after a letter ends its word if no byte but tail symbols lies before the next end.
+    others = np.cumsum(~tail, dtype=np.int64)
+    after = ends[np.minimum(np.searchsorted(ends, begins), max(0, len(ends) - 1))] if len(ends) else begins * 0
+    begins = begins[(after > begins) & (others[after - 1] == others[begins - 1])]
+    line = np.insert(data, begins, 32).tobytes()
+    stops = np.cumsum([len(t) + 1 for t in texts])
+    stops += np.searchsorted(begins, stops)
+    return [line[x:y] for x, y in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
 
 
 class Encoder:
@@ -23,7 +46,8 @@ class Encoder:
 
     ``by_word`` is for vocabularies that lower-case, drop white space, never merge across it and mark
     the last token of each run of letters (word_bpe_49k.json): each distinct word is then encoded once
-    a worker, at any text length. Otherwise each whole text is encoded as it stands.
+    a worker, at any text length; ValueError if a probe shows a vocabulary to be of another kind.
+    Otherwise each whole text is encoded as it stands.
     """
 
     def __init__(self, path: str, by_word: bool = True):
@@ -32,20 +56,22 @@ class Encoder:
 
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cores: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
+        if by_word and (not self.last.any() or any(x != self._encode(t) for x, t in zip(self.many(PROBES), PROBES, strict=True))):
+            raise ValueError(f"{path} can't be encoded word by word")
+
     def _encode(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn_cores(self, cores: list[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         """Encode runs of letters many at a call: each one ends with the only token that is marked as last."""
         alone = []
         together = []
-        for core in cores:
-            (together if core.decode().isalpha() else alone).append(core)
+        for word in words:
+            (together if word.decode().isalpha() else alone).append(word)
         for a in range(0, len(together), CALL):
             some = together[a : a + CALL]
             (found,) = self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)
@@ -55,32 +81,19 @@ class Encoder:
                 alone += some
                 continue
             raw, at = ids.tobytes(), [0, *(ends * self.dtype.itemsize).tolist()]
-            self.cores.update((core, raw[x:y]) for core, x, y in zip(some, at[:-1], at[1:], strict=True))
-        for core in alone:
-            self.cores[core] = self._encode(core)
-
-    def _learn(self, words: set[bytes]) -> None:
-        """A tail of symbols after a letter is a token run of its own, so it is encoded apart."""
-        parts = []
-        for word in words:
-            core = word.rstrip(_TAIL)
-            parts.append((word, core, word[len(core) :]) if _LETTER_LAST.search(core) and b"<|" not in word else (word, word, b""))
-        if len(self.cores) > CORES_KEPT:
-            self.cores.clear()
-        wanted = {core for _, core, _ in parts} | {tail for _, _, tail in parts}
-        wanted.discard(b"")
-        self._learn_cores([c for c in wanted if c not in self.cores])
-        of = self.cores
-        self.words.update((word, of[core] + of[tail] if tail else of[core]) for word, core, tail in parts)
+            self.words.update((word, raw[x:y]) for word, x, y in zip(some, at[:-1], at[1:], strict=True))
+        for word in alone:
+            self.words[word] = self._encode(word)
 
     def _encode_words(self, some: list[bytes]) -> list[bytes]:
-        # What may be a special token keeps its case, which matters to it.
-        split = [(t if b"<|" in t else t.lower()).split() for t in some]
-        if len(self.words) > WORDS_KEPT:
+        # What may be a special token keeps its case, which matters to it, and its tails.
+        plain = iter(split_tails([t.lower() for t in some if b"<|" not in t]))
+        split = [(t if b"<|" in t else next(plain)).split() for t in some]
+        if len(self.words) > KEPT:
             self.words.clear()
         new = set().union(*split).difference(self.words)
         if new:
-            self._learn(new)
+            self._learn(list(new))
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
     def many(self, bodies: list[bytes | None]) -> Iterator[bytes]:
