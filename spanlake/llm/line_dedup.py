@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, boxed, inside, materialize, numbered, scratch_dir, small_side, unboxed
+from ._common import WORD, boxed, inside, materialize, numbered, scratch_dir, unboxed
 
 MIN_WORDS = 50
 RUNS = "array<struct<from:int,to:int>>"
@@ -64,14 +64,12 @@ def repeated_runs(found: DataFrame) -> DataFrame:
 
     ``found`` must be a written table of ``windows``. Earlier is by order (null first), row and place.
     """
-    folder = scratch_dir(found.sparkSession)
     matched = fingerprints(found).groupBy("low").agg(F.count("*").alias("n")).where("n > 1").select(F.col("low").alias("of"))
-    matched = small_side(materialize(matched, f"{folder}/matched"))
     each = found.select("row", "order", F.explode(F.array_distinct(F.array_compact(F.array("on", "back")))).alias("w")).select("row", "order", "w.*")
-    runs = each.join(matched, F.col("low") == F.col("of"), "left_semi")
+    runs = each.drop("at").join(matched, F.col("low") == F.col("of"), "left_semi")
+    runs = materialize(runs, f"{scratch_dir(found.sparkSession)}/matched")
     place = F.struct("order", "row", "first")
     firsts = runs.groupBy("low", "run").agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).where("earliest <> latest").drop("latest")
-    firsts = small_side(materialize(firsts, f"{folder}/firsts"))
     later = runs.join(firsts, ["low", "run"]).where((F.col("row") != F.col("earliest.row")) | (F.col("first") != F.col("earliest.first")))
     by_row = Window.partitionBy("row").orderBy("first", "last")
     before = F.max("last").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
@@ -96,7 +94,7 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id
     folder = scratch_dir(docs.sparkSession)
     rows = numbered(boxed(docs), f"{folder}/rows", "_row")
     found = materialize(windows(rows, inside(key), inside(text), min_words), f"{folder}/windows")
-    runs = small_side(materialize(repeated_runs(found).withColumnRenamed("row", "of"), f"{folder}/runs"))
+    runs = repeated_runs(found).withColumnRenamed("row", "of")
     out = rows.join(runs, F.col("_row") == F.col("of"), "left").withColumn("runs", F.coalesce("runs", F.array().cast(RUNS)))
     out = out.withColumn("lines", F.split(F.coalesce(inside(text), F.lit("")), "\n"))  # a column, so that lambdas don't split anew
     # What stays lies between one run's end and the next run's start.
