@@ -4,11 +4,9 @@ A host's boilerplate is the lines that many of its documents have. Lines are nor
 one space between words, digits as 0) and hashed; for each host the distinct documents that have a
 line are counted; lines above the limit go, and a document that loses most of its words is rejected.
 
-Copies must not make each other's lines frequent. Lines that more documents with different lines have
-than the limit are common; whatever is frequent is among them. A document then stands for itself by its
-longest line that isn't common, the first of equals, so that no boilerplate makes two documents one,
-while exact copies and most near copies are one. Where common lines hold nearly all its words, it is known by the longest of
-those: it is a near copy of the others that have them.
+Documents are distinct if their sets of lines differ, so exact copies, and such as only repeat or move
+lines, don't make one another's lines frequent. Documents that differ in any line do: what many of
+them share is boilerplate, however little each has of its own.
 """
 
 from __future__ import annotations
@@ -22,8 +20,6 @@ from ._common import boxed, inside, materialize, numbered, scratch_dir, small_si
 MIN_DOCS, MIN_SHARE = 20, 0.002
 #: A document is depleted if less than this share of its words is left.
 MIN_LEFT = 0.3
-#: A document is known by its own lines if they hold at least one word in so many.
-OWN_IN = 10
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -68,25 +64,16 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(measured: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, h, n_docs) of the lines above their host's limit, from a written ``measure`` table with row."""
-    folder = scratch_dir(measured.sparkSession)
-    whole = F.array_sort(F.array_distinct("lines.h"))
-    sets = measured.select("host", F.xxhash64(whole).alias("whole"), F.explode(whole).alias("h")).distinct()
-    common = sets.groupBy("host", "h").agg(F.count("*").alias("n_sets")).where(F.col("n_sets") > min_docs)
-    common = small_side(materialize(common.select(F.col("host").alias("of"), F.col("h").alias("shared")), f"{folder}/common"))
-    lines = measured.select("row", "host", F.inline("lines"))
-    lines = lines.join(common, (F.col("h") == F.col("shared")) & F.col("host").eqNullSafe(F.col("of")), "left")
-    own, longest = F.col("shared").isNull(), F.struct("n", -F.col("at"), "h")
-    docs = lines.groupBy("row", "host").agg(
-        F.max(F.when(own, longest))["h"].alias("own"), F.max(F.when(~own, longest))["h"].alias("other"),
-        F.sum(F.when(own, F.col("n")).otherwise(0)).alias("n_own"), F.sum("n").alias("n"), F.collect_set("shared").alias("hs"),
-    )
-    known_by = F.when(F.col("other").isNull() | (F.col("n_own") * OWN_IN >= F.col("n")), F.col("own")).otherwise(F.col("other"))
-    known = materialize(docs.select("host", known_by.alias("known_by"), "hs"), f"{folder}/known")
-    hosts = known.select("host", "known_by").distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    having = known.select("host", "known_by", F.explode("hs").alias("h")).distinct()
-    seen = having.groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
-    limits = small_side(hosts.select(F.col("host").alias("of"), (F.col("docs") * min_share).alias("most")))
+    """(host, h, n_docs) of the lines above their host's limit, from a written ``measure`` table.
+
+    n_docs counts the host's distinct sets of lines that have the line. A null host is a host; documents
+    without lines count for nothing; an empty table gives no rows.
+    """
+    folder, hs = scratch_dir(measured.sparkSession), F.array_sort(F.array_distinct("lines.h"))
+    docs = measured.select("host", F.xxhash64(hs).alias("whole"), hs.alias("hs")).where(F.size("hs") > 0)
+    hosts = docs.select("host", "whole").distinct().groupBy(F.col("host").alias("of")).agg((F.count("*") * min_share).alias("most"))
+    seen = docs.select("host", "whole", F.explode("hs").alias("h")).distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
+    limits = small_side(materialize(hosts, f"{folder}/limits"))
     return seen.join(limits, F.col("host").eqNullSafe(F.col("of"))).where("n_docs > most").select("host", "h", "n_docs")
 
 
@@ -151,11 +138,8 @@ w3 AS (SELECT doc_id, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM
 twice AS (SELECT doc_id, i FROM w3 WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
 sets AS (SELECT doc_id, string_agg(DISTINCT norm, chr(10) ORDER BY norm) AS s FROM lines GROUP BY doc_id),
-common AS (SELECT source, norm FROM lines JOIN sets USING (doc_id) GROUP BY source, norm HAVING count(DISTINCT s) > {MIN_DOCS}),
-marked AS (SELECT l.*, c.norm IS NOT NULL AS shared FROM lines l LEFT JOIN common c ON l.norm = c.norm AND l.source IS NOT DISTINCT FROM c.source),
-known AS (SELECT doc_id, any_value(source) AS source, CASE WHEN bool_or(shared) AND {OWN_IN} * coalesce(sum(n) FILTER (NOT shared), 0) < sum(n) THEN arg_max(norm, (n, -pos)) FILTER (shared) ELSE arg_max(norm, (n, -pos)) FILTER (NOT shared) END AS k FROM marked GROUP BY doc_id),
-hosts AS (SELECT source, count(DISTINCT k) AS docs FROM known GROUP BY source),
-seen AS (SELECT m.source, m.norm, count(DISTINCT k.k) AS n FROM marked m JOIN known k USING (doc_id) WHERE m.shared GROUP BY m.source, m.norm),
+hosts AS (SELECT source, count(DISTINCT s) AS docs FROM sets JOIN d USING (doc_id) GROUP BY source),
+seen AS (SELECT source, norm, count(DISTINCT s) AS n FROM lines JOIN sets USING (doc_id) GROUP BY source, norm),
 frequent AS (SELECT s.source, s.norm FROM seen s JOIN hosts h ON s.source IS NOT DISTINCT FROM h.source WHERE s.n > {MIN_DOCS} AND s.n > h.docs * {MIN_SHARE}),
 lost AS (SELECT l.doc_id, sum(l.n) AS n, count(*) AS lines FROM lines l JOIN frequent f ON l.norm = f.norm AND l.source IS NOT DISTINCT FROM f.source GROUP BY l.doc_id),
 c AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '{SYMBOLS}')) AS BIGINT) AS n_symbols, CAST(coalesce(dups.n, 0) AS BIGINT) AS n_dup_lines,

@@ -73,18 +73,9 @@ def _verdicts(rows):
         hosts.setdefault(host, []).append(lines)
     frequent = {}
     for host, listed in hosts.items():
-        sets = {frozenset(x[0] for x in lines) for lines in listed}
-        common = {x for x, n in Counter(x for s in sets for x in s).items() if n > quality.MIN_DOCS}
-        known = []
-        for lines in listed:
-            own, other = ([x for x in lines if (x[0] in common) == c] for c in (False, True))
-            most = lambda some: max(some, key=lambda x: (x[1], -x[2]), default=("",))[0]
-            words = sum(x[1] for x in own)
-            if lines:
-                known.append((most(other) if other and words * quality.OWN_IN < words + sum(x[1] for x in other) else most(own), {x[0] for x in lines}))
-        n = len({k for k, _ in known})
-        having = Counter(x for _, x in {(k, x) for k, s in known for x in s})
-        frequent[host] = {x for x, k in having.items() if k > max(quality.MIN_DOCS, quality.MIN_SHARE * n)}
+        sets = {frozenset(x[0] for x in lines) for lines in listed if lines}
+        having = Counter(x for s in sets for x in s)
+        frequent[host] = {x for x, k in having.items() if k > max(quality.MIN_DOCS, quality.MIN_SHARE * len(sets))}
     out = {}
     for key, host, lines, text in docs:
         gone = [x for x in lines if x[0] in frequent[host]]
@@ -108,16 +99,29 @@ def test_verdicts_match_brute_force_and_sql(spark, tmp_path):
     assert {i: (n, kept) for i, n, kept in got} == {i: (len(gone), kept) for i, (gone, kept) in want.items()}
 
 
-def test_boilerplate_does_not_hide_boilerplate(spark):
-    line = lambda name: " ".join(f"{name}{chr(97 + k)}" for k in range(6))
-    menu = [line(f"menu{chr(97 + k)}") for k in range(8)]
+def _line(name, n=6):
+    return " ".join(f"{name}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(n))
+
+
+def test_documents_that_are_mostly_boilerplate_are_rejected(spark):
+    shared, rows = [_line(f"shared{c}", 40) for c in "abcde"], []
+    for size in (6, 12, 18, 24, 40):
+        rows += [(1000 * size + i, "\n".join([*shared[:2], _prose(i, size), *shared[2:]]), f"own-{size}") for i in range(100)]
+    # Groups of five share a paragraph.
+    rows += [(i, "\n".join([_line("menu", 8), _prose(10**4 + i // 5, 60), _prose(2 * 10**4 + i, 30), _prose(3 * 10**4 + i, 30)]), "grouped") for i in range(100)]
+    out = {r.doc.doc_id: r for r in quality.judge(frame(spark, rows), ["doc_id"]).collect()}
+    assert all(out[i].kept and out[i].removed == [0] for i in range(100))
+    assert all(not r.kept and not r.base_failed and r.removed == [0, 1, 3, 4, 5] for i, r in out.items() if i >= 1000)
+
+
+def test_copies_count_once_and_boilerplate_hides_none(spark):
+    menu = [_line(f"menu{chr(97 + k)}") for k in range(8)]
     rows = [(i, "\n".join([*menu, _prose(i, 60)]), "a") for i in range(60)]
-    common = [line(f"near{chr(97 + k)}{chr(97 + j)}") for k in range(6) for j in range(5)]
-    # Near copies: in each another line is changed.
-    rows += [(1000 + i, "\n".join([*common[: i % 30], line(f"changed{_prose(i, 1)}"), *common[i % 30 + 1 :]]), "b") for i in range(40)]
+    lines = [_prose(500 + k, 12) for k in range(6)]
+    rows += [(1000 + i, "\n".join(lines[i % 6 :] + lines[: i % 6]), "b") for i in range(60)]  # the same lines in other orders
     out = {r.doc.doc_id: r for r in quality.judge(frame(spark, rows), ["doc_id"]).collect()}
-    assert all(out[i].removed == list(range(8)) for i in range(60))
-    assert all(not out[1000 + i].removed for i in range(40))
+    assert all(out[i].removed == list(range(8)) and out[i].kept for i in range(60))
+    assert all(out[1000 + i].kept and not out[1000 + i].removed for i in range(60))
 
 
 def test_query_matches_sql(spark):
