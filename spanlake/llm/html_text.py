@@ -8,6 +8,11 @@ that has none of them falls back to its own best container.
 
 A page is read once from start to end, in time that follows its length however deep or broken its
 markup is. Paths are nodes of a tree, known by number within a page and by a 64-bit hash across pages.
+
+Elements that tags or class words mark as menus, adverts, comments and the like are only suspects. One
+that holds most of a page's running text, with its heading or where no heading or article stands
+elsewhere, is a wrapper and stays. Others of plain words are weighed by length and links inside an article, and
+outside by the host's pages too: there they stay only if what stands on their path varies from page to page.
 """
 
 from __future__ import annotations
@@ -26,14 +31,17 @@ from .tokens import texts
 RAW = frozenset("script style noscript template svg iframe object textarea title select option".split())
 BARE = frozenset("script style textarea title".split())
 BARE_END = {tag: re.compile(rf"</{tag}\b[^>]*+>?", re.I) for tag in BARE}
-ASIDE = frozenset("nav footer aside form menu dialog button".split())
-#: Words of a class or id that mark menus, adverts, comments and the like; and such as may mark them, which
-#: count against an element only if it is short or mostly links.
-NOISE, DOUBTFUL = (
+ASIDE = frozenset("nav footer aside form menu dialog".split())
+#: Words of a class or id that make an element a suspect. What adverts, notices and readers say may be long; the
+#: doubtful and the soft count against an element only if it is short or mostly links, and outside an article the soft
+#: also if the host's pages don't speak for it.
+REMARKS, ADVERTS, DOUBTFUL, SOFT = (
     re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I)
     for words in (
-        r"ads?|advert\w*|banner|sponsor\w*|promo\w*|menu|nav\w*|breadcrumbs?|sidebar|footer|masthead|comments?|discussion|replies|respond|cookies?|consent|popup|modal|newsletter|subscribe|share|sharing|widget|pagination|pager|skip|login|signup",
+        r"comments?|replies|respond",
+        r"ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|popup|modal|newsletter|subscribe",
         r"side|header|notice|social|related|recommend\w*|toc",
+        r"banner|menu|nav\w*|breadcrumbs?|sidebar|footer|masthead|discussion|share|sharing|widget|pagination|pager|skip|login|signup",
     )
 )
 BLOCK = frozenset(
@@ -59,24 +67,45 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEARLY_ALL, RUNNING = 0.9, 100
 #: Winning paths of a host hold at least this share of the votes of its most voted path, and of all its votes.
 NEAR_WINNER, LEAST_SHARE = 0.5, 0.02
-#: An element with a doubtful class stays if it has so many characters, and no larger share of them in links.
+#: A doubtful element stays if it has so many characters, and no larger share of them in links.
 LONG, LINKED = 200, 0.33
+#: A suspect with at least this share of a page's running text may be a wrapper.
+MOST_TEXT = 0.5
+
+
+class Suspect:
+    """An element that may not belong to the main text, and what it holds: characters, those in links, headings and
+    articles. ``kind`` is "remarks", "noise", "doubtful" or "soft"; ``path`` a hash of where it stands.
+    """
+
+    __slots__ = ("above", "articles", "chars", "heads", "inside", "kind", "linked", "path", "said")
+
+    def __init__(self, kind: str, above: int, inside: bool, path: int):
+        self.kind, self.above, self.inside, self.path = kind, above, inside, path
+        self.chars = self.linked = self.heads = self.articles = 0
+        self.said: list[str] = []
+
+
+def _hashed(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 class Page:
     """The runs of text between a page's block boundaries, in page order, and the tree of its containers.
 
     Malformed markup never fails: an end tag closes the nearest open element of its name within bounds, a start
-    tag closes what it can't stand in, and the end closes all.
+    tag closes what it can't stand in, and the end closes all. ``varied`` are the paths of soft suspects that the
+    host's pages speak for.
     """
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, varied: frozenset[int] = frozenset()):
         #: (container, text, characters in links, dropped, heading) of each run.
         self.runs: list[tuple[int, str, int, bool, bool]] = []
         #: Of each container, the root first: its parent, whether it is an article, and the hash of its path.
         self.parents, self.articles, self.hashes = [-1], [False], [0]
         self._known: dict[tuple[int, str], int] = {}
-        self._read(html)
+        self.suspects: list[Suspect] = []
+        self._read(html, varied)
 
     def _container(self, parent: int, tag: str, names: str) -> int:
         name = ".".join([tag, *sorted({re.sub(r"\d+", "", c) for c in names.lower().split()} - {""})])
@@ -84,25 +113,38 @@ class Page:
             self._known[parent, name] = len(self.parents)
             self.parents.append(parent)
             self.articles.append(tag == "article")
-            self.hashes.append(int.from_bytes(blake2b(f"{self.hashes[parent]}/{name}".encode(), digest_size=8).digest(), "little", signed=True))
+            self.hashes.append(_hashed(f"{self.hashes[parent]}/{name}"))
         return self._known[parent, name]
 
-    def _read(self, html: str) -> None:
-        stack: list[tuple[str, int, bool, int]] = [("", 0, False, -1)]  # tag, container, dropped, doubtful element
+    def _kind(self, tag: str, said: str, in_article: bool) -> str | None:
+        """Why an element is a suspect, if it is."""
+        if tag in ("html", "body", "article", "main"):
+            return "remarks" if tag == "article" and REMARKS.search(said) else None
+        if REMARKS.search(said):
+            return "remarks"
+        if tag in ASIDE or ADVERTS.search(said) or tag == "header" and not in_article:
+            return "noise"
+        if SOFT.search(said):
+            return "soft"
+        return "doubtful" if DOUBTFUL.search(said) and not (in_article and "header" in said.lower()) else None
+
+    def _read(self, html: str, varied: frozenset[int]) -> None:
+        stack: list[tuple[str, int, bool, int]] = [("", 0, False, -1)]  # tag, container, hidden, suspect
         open_at: dict[str, list[int]] = {}  # places in the stack, by tag
         bounds = [0]
-        n_links = n_headings = n_articles = links = n_doubtful = 0
+        n_links = n_headings = n_articles = links = 0
+        free_heads = free_articles = 0  # outside all suspects
         buffer: list[str] = []
         found: list[tuple[int, str, int, bool, bool, int]] = []
-        at, size = 0, len(html)
+        at, size, suspects = 0, len(html), self.suspects
 
         def flush():
             nonlocal links
             if buffer:
                 text = SPACES.sub(" ", "".join(buffer)).strip()
                 if text:
-                    _, container, dropped, doubtful = stack[-1]
-                    found.append((container, text, min(links, len(text)), dropped, n_headings > 0, doubtful))
+                    _, container, hidden, suspect = stack[-1]
+                    found.append((container, text, min(links, len(text)), hidden, n_headings > 0, suspect))
                 buffer.clear()
             links = 0
 
@@ -162,32 +204,74 @@ class Page:
                 continue
             attrs = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in ATTR.finditer(m[3])} if ASKED.search(m[3]) else {}
             names = attrs.get("class", "")
-            _, container, drop, doubtful = stack[-1]
+            _, container, hidden, suspect = stack[-1]
             if tag in CONTAINER:
                 container = self._container(container, tag, names)
-            drop = drop or tag in ASIDE or tag in RAW or "hidden" in attrs or attrs.get("aria-hidden") == "true"
-            drop = drop or tag == "header" and not n_articles
-            if tag not in ("html", "body", "article", "main"):
-                said = f"{names} {attrs.get('id', '')} {attrs.get('role', '')}"
-                drop = drop or bool(NOISE.search(said))
-                if doubtful < 0 and DOUBTFUL.search(said) and not (n_articles and "header" in said.lower()):
-                    doubtful, n_doubtful = n_doubtful, n_doubtful + 1
+            hidden = hidden or tag in RAW or tag == "button" or "hidden" in attrs or attrs.get("aria-hidden") == "true"
+            said = f"{names} {attrs.get('id', '')} {attrs.get('role', '')}"
+            kind = self._kind(tag, said, n_articles > 0)
+            if kind:
+                name = re.sub(r"\d+", "", said.lower())
+                suspects.append(Suspect(kind, suspect, n_articles > 0, _hashed(f"{self.hashes[container]}/{tag} {name}")))
+                suspect = len(suspects) - 1
+            if tag in ("h1", "main", "article"):
+                of = suspects[suspect] if suspect >= 0 else None
+                if tag == "article":
+                    free_articles += not of
+                    if of and kind is None:
+                        of.articles += 1
+                else:
+                    free_heads += not of
+                    if of:
+                        of.heads += 1
             open_at.setdefault(tag, []).append(len(stack))
             if tag in BOUNDS:
                 bounds.append(len(stack))
             n_links += tag == "a"
             n_headings += tag in HEADINGS
             n_articles += tag in ("article", "main")
-            stack.append((tag, container, drop, doubtful))
+            stack.append((tag, container, hidden, suspect))
         flush()
-        long, linked = [0] * n_doubtful, [0] * n_doubtful
-        for _, text, n, _, _, doubtful in found:
-            if doubtful >= 0:
-                long[doubtful] += len(text)
-                linked[doubtful] += n
-        noise = [a < LONG or b > LINKED * a for a, b in zip(long, linked, strict=True)]
+        noise = self._noise([run for run in found if not run[3]], free_heads, free_articles, varied) if suspects else []
         self.runs = [(*run[:3], run[3] or run[5] >= 0 and noise[run[5]], run[4]) for run in found]
 
+    def _noise(self, shown: list, free_heads: int, free_articles: int, varied: frozenset[int]) -> list[bool]:
+        """Of each suspect whether it, or one around it, is noise."""
+        suspects, running = self.suspects, 0
+        for _, text, n, _, _, k in shown:
+            running += len(text) - n
+            if k >= 0:
+                suspects[k].chars += len(text)
+                suspects[k].linked += n
+                if suspects[k].kind == "soft":
+                    suspects[k].said.append(text)
+        # Headings and articles that stand outside a suspect: those of what is around it.
+        outside = []
+        for s in suspects:
+            heads, articles = (free_heads, free_articles) if s.above < 0 else outside[s.above]
+            if s.above >= 0:
+                heads, articles = heads + suspects[s.above].heads, articles + suspects[s.above].articles
+            outside.append((heads, articles))
+        for s in reversed(suspects):  # what is around a suspect comes before it
+            if s.above >= 0:
+                above = suspects[s.above]
+                above.chars, above.linked, above.heads, above.articles = above.chars + s.chars, above.linked + s.linked, above.heads + s.heads, above.articles + s.articles
+        noise = []
+        for s, (heads, articles) in zip(suspects, outside, strict=True):
+            alone = not heads and not articles and (s.kind != "remarks" or s.articles > 0)
+            if s.chars - s.linked >= MOST_TEXT * running and s.chars > s.linked and (s.heads > 0 or alone):
+                bad = False  # a wrapper
+            elif s.kind in ("remarks", "noise"):
+                bad = True
+            else:
+                bad = s.chars < LONG or s.linked > LINKED * s.chars or s.kind == "soft" and not s.inside and s.path not in varied
+            noise.append(bad or s.above >= 0 and noise[s.above])
+        return noise
+
+    def asked(self) -> list[tuple[int, int]]:
+        """(path, hash of the text) of the long soft suspects outside articles, for the host to decide on."""
+        return [(s.path, _hashed("\n".join(s.said))) for s in self.suspects if s.kind == "soft" and not s.inside and s.chars >= LONG and s.linked <= LINKED * s.chars]
+
     def best(self) -> int | None:
         """The container that the page votes for: the innermost that holds nearly all text that isn't dropped or in links.
 
@@ -213,8 +297,8 @@ class Page:
 
     def text(self, winners: list[int]) -> str:
         """The text of the containers whose paths win, else of the page's own best one."""
-        own = self.best()
-        for chosen in ({k for k, h in enumerate(self.hashes) if h in set(winners)}, set() if own is None else {own}):
+        own, won = self.best(), set(winners)
+        for chosen in ({k for k, h in enumerate(self.hashes) if h in won}, set() if own is None else {own}):
             inside = [k in chosen for k in range(len(self.parents))]
             for k in range(1, len(inside)):
                 inside[k] |= inside[self.parents[k]]
@@ -230,27 +314,43 @@ def host(url):
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, path, n) of (host, html): the pages of a host that vote for a path, by its hash."""
+    """(host, path, said, n) of (host, html): how many pages of a host vote for a path, by its hash (said is null), or
+    have a soft suspect of this path that says this, by its hash.
+
+    Null and empty pages and such without text don't vote; a null host is a host; repeated rows vote as often; an
+    empty table gives no rows.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            paths = []
-            for x in texts(batch, "html"):
+            hosts, paths, said = [], [], []
+            for x, of in zip(texts(batch, "html"), batch.column("host").to_pylist(), strict=True):
                 page = Page(x.decode("utf-8", "replace")) if x else None
                 own = page.best() if page else None
-                paths.append(None if own is None else page.hashes[own])
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.int64())], ["host", "path"])
+                for path, text in ([] if own is None else [(page.hashes[own], None)]) + (page.asked() if page else []):
+                    hosts.append(of)
+                    paths.append(path)
+                    said.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(said, pa.int64())], ["host", "path", "said"])
 
-    return pages.select("host", "html").mapInArrow(run, "host string, path long").where("path is not null").groupBy("host", "path").agg(F.count("*").alias("n"))
+    return pages.select("host", "html").mapInArrow(run, "host string, path long, said long").groupBy("host", "path", "said").agg(F.count("*").alias("n"))
 
 
 def winners(voted: DataFrame, near: float = NEAR_WINNER, least: float = LEAST_SHARE) -> DataFrame:
-    """(host, paths): a host's most voted path, and those with at least ``near`` of its votes and ``least`` of all; 1 / ``least`` at most."""
-    top = voted.groupBy(F.col("host").alias("of")).agg(F.max(F.struct("n", "path")).alias("top"), F.sum("n").alias("all"))
-    kept = voted.join(top, F.col("host").eqNullSafe(F.col("of"))).where((F.col("path") == F.col("top.path")) | ((F.col("n") > 1) & (F.col("n") >= F.col("top.n") * near) & (F.col("n") >= F.col("all") * least)))
-    return kept.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    """(host, paths, varied) of ``votes``: a host's most voted path, and those with at least ``near`` of its votes and
+    ``least`` of all; and the paths of soft suspects on at least two pages, and ``least`` of all, most of which say
+    something of their own. A host has 1 / ``least`` winners at most; no votes give no rows.
+    """
+    cast = voted.where("said is null")
+    top = cast.groupBy(F.col("host").alias("of")).agg(F.max(F.struct("n", "path")).alias("top"), F.sum("n").alias("all"))
+    same = F.col("host").eqNullSafe(F.col("of"))
+    kept = cast.join(top, same).where((F.col("path") == F.col("top.path")) | ((F.col("n") > 1) & (F.col("n") >= F.col("top.n") * near) & (F.col("n") >= F.col("all") * least)))
+    won = kept.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    suspects = voted.where("said is not null").groupBy("host", "path").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).where("n > 1 and 2 * texts > n")
+    varied = suspects.join(top, same).where(F.col("n") >= F.col("all") * least).groupBy(F.col("host").alias("on")).agg(F.sort_array(F.collect_set("path")).alias("varied"))
+    return won.join(varied, F.col("host").eqNullSafe(F.col("on")), "left").select("host", "paths", "varied")
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -261,18 +361,19 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     repeated rows come out as often; an empty table gives no rows; a caller's columns may have any name.
     """
     rows = boxed(pages).select(inside(key).alias("key"), inside(url).alias("url"), inside(html).alias("html")).withColumn("host", host(F.col("url")))
-    voted = materialize(votes(rows), f"{scratch_dir(pages.sparkSession)}/votes")
-    won = small_side(winners(voted).withColumnRenamed("host", "of"))
+    folder = scratch_dir(pages.sparkSession)
+    voted = materialize(votes(rows), f"{folder}/votes")
+    won = small_side(materialize(winners(voted).withColumnRenamed("host", "of"), f"{folder}/won"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            paths = batch.column("paths").to_pylist()
-            out = [Page(x.decode("utf-8", "replace")).text(p or []) if x else "" for x, p in zip(texts(batch, "html"), paths, strict=True)]
+            bodies, paths, varied = texts(batch, "html"), batch.column("paths").to_pylist(), batch.column("varied").to_pylist()
+            out = [Page(x.decode("utf-8", "replace"), frozenset(v or ())).text(p or []) if x else "" for x, p, v in zip(bodies, paths, varied, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["key", "url", "text", "n_chars"])
 
-    joined = rows.join(won, F.col("host").eqNullSafe(F.col("of")), "left").select("key", "url", "html", "paths")
+    joined = rows.join(won, F.col("host").eqNullSafe(F.col("of")), "left").select("key", "url", "html", "paths", "varied")
     types = joined.schema
     out = joined.mapInArrow(run, f"key {types['key'].dataType.simpleString()}, url {types['url'].dataType.simpleString()}, text string, n_chars long")
     return out.withColumnsRenamed({"key": key, "url": url})

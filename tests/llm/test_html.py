@@ -90,9 +90,53 @@ def test_doubtful_classes_inside_articles():
 
 
 def test_winners_are_few_and_clashing_columns(spark):
-    voted = spark.createDataFrame([("a", k, 2) for k in range(500)] + [("b", 1, 50), ("b", 2, 30), ("b", 3, 1), ("c", 7, 1), ("c", 8, 1), (None, 5, 4)], "host string, path long, n long")
-    won = {r.host: r.paths for r in html_text.winners(voted).collect()}
-    assert won == {"a": [499], "b": [1, 2], "c": [8], None: [5]}
+    cast = [("a", k, 2) for k in range(500)] + [("b", 1, 50), ("b", 2, 30), ("b", 3, 1), ("c", 7, 1), ("c", 8, 1), (None, 5, 4)]
+    said = [("b", 20, k, 1) for k in range(5)] + [("b", 21, 1, 9), ("b", 22, 1, 1), ("b", 22, 2, 1), (None, 23, 1, 1), (None, 23, 2, 1)]
+    voted = spark.createDataFrame([(h, p, None, n) for h, p, n in cast] + said, "host string, path long, said long, n long")
+    won = {r.host: (r.paths, r.varied) for r in html_text.winners(voted).collect()}
+    assert won == {"a": ([499], None), "b": ([1, 2], [20, 22]), "c": ([8], None), None: ([5], [23])}
     rows = [(1, "http://a.org", _page("<p>Some text</p>")), (1, "http://a.org", None), (None, None, "")]
     df = clashing(spark.createDataFrame(rows, "page_id long, url string, html string"), ["key", "host", "paths", "of", "text", "doc", "n_chars"])
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in html_text.extract(df).collect()) == [("1", "", 0), ("1", "Some text", 9), ("None", "", 0)]
+
+
+PROSE = "The history of the town goes on for long, and nobody knows its end. " * 15
+
+
+def _words(pattern):
+    """A class word for each of a pattern's alternatives."""
+    return [w.replace("\\w*", "x").replace("s?", "s") for w in pattern.pattern.split("(?:")[2].split(")")[0].split("|")]
+
+
+def test_wrappers_keep_the_article():
+    words = [w for pattern in (html_text.REMARKS, html_text.ADVERTS, html_text.DOUBTFUL, html_text.SOFT) for w in _words(pattern)]
+    assert len(words) > 30 and "sidebar" in words and "comments" in words
+    story, rest = f"<h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p>", '<nav><a href="/">Home</a></nav>{}<footer>Imprint</footer>'
+    want = f"Title\n\n{PROSE.strip()}\n\n{PROSE.strip()}"
+    for word in words:
+        for name in (word, f"content-{word}-wrap", f"layout with-{word}", f"page no-{word}"):
+            assert _text(_page(rest.format(f'<div class="{name}">{story}</div>'))) == want, name
+            assert _text(_page(rest.format(f'<div id="{name}"><article>{story}</article></div>'))) == want, name
+    assert _text(_page(f'<form id="aspnet">{story}</form>')) == want
+    assert _text(_page(f'<div class="main-sidebar"><p>{PROSE}</p></div>')) == PROSE.strip()  # no heading anywhere
+
+
+def test_parts_of_articles_are_weighed():
+    part = lambda attrs: f"<article><h1>T</h1><p>{PROSE}</p><section {attrs}><p>{PROSE}</p></section></article>"
+    both, one = f"T\n\n{PROSE.strip()}\n\n{PROSE.strip()}", f"T\n\n{PROSE.strip()}"
+    for attrs in ('id="discussion"', 'class="wp-widget text"', 'class="nav-history"'):
+        assert _text(_page(part(attrs))) == both, attrs
+    for attrs in ('class="comments"', 'id="respond"', 'class="ad"', 'class="cookie-consent"', "hidden"):
+        assert _text(_page(part(attrs))) == one, attrs
+    remarks = f'<section id="comments">{f"<article><p>{PROSE}</p></article>" * 9}</section>'
+    assert _text(_page(f"<article><h1>T</h1><p>{PROSE}</p></article>{remarks}")) == one
+    assert _text(_page(f"<div><h1>T</h1><p>{PROSE}</p></div>{remarks}")) == one
+
+
+def test_hosts_decide_on_parts_outside_articles(spark):
+    body = lambda own, side: _page(f'<div class="post"><h1>T</h1><p>{own}</p><div class="widget"><p>{side}</p></div></div>')
+    pages = [(k, "http://same.org/", body(f"{k} {PROSE}", PROSE)) for k in range(6)] + [(10 + k, "http://own.org/", body(f"{k} {PROSE}", f"{k} {PROSE}")) for k in range(6)] + [(20, "http://one.org/", body(PROSE, PROSE))]
+    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(out[k] == f"T\n\n{k} {PROSE.strip()}" for k in range(6))
+    assert all(out[10 + k] == f"T\n\n{k} {PROSE.strip()}\n\n{k} {PROSE.strip()}" for k in range(6))
+    assert out[20] == f"T\n\n{PROSE.strip()}"
