@@ -2,12 +2,15 @@
 
 A folder holds for each partition, numbered in key order:
 
-* ``part-N.bin``  the ids of its documents, end to end, as unsigned integers (2 or 4 bytes);
-* ``part-N.off``  64-bit offsets of its documents within the part, and one more for the end;
-* ``part-N.key``  for each document two 64-bit integers: 1 if its key is null, and the key;
+* ``part-N-T.bin``  the ids of its documents, end to end, as unsigned integers (2 or 4 bytes);
+* ``part-N-T.off``  64-bit offsets of its documents within the part, and one more for the end;
+* ``part-N-T.key``  for each document two 64-bit integers: 1 if its key is null, and the key;
 
-and ``manifest.json``: the integer type, and each part's base, which is the number of ids in all
+and ``manifest.json``: the integer type, the parts, and each part's base, which is the number of ids in all
 parts before it (prefix sums of the parts' counts). A document's place in the whole is base + offset.
+
+T is a tag of the task attempt that wrote the files. The manifest names those of one attempt a part, so
+nothing is moved or replaced; what a lost attempt has written is left unread.
 """
 
 from __future__ import annotations
@@ -28,11 +31,33 @@ from .tokens import encoder, texts
 ROWS = 1024  # of a batch that is read back
 
 
-def _store(folder: str):
+#: Hadoop's schemes by the names that these stores have here.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs", "wasb": "abfs"}
+#: What Hadoop's settings for S3 are called here.
+S3_SETTINGS = {"access.key": "access_key", "secret.key": "secret_key", "session.token": "session_token", "endpoint": "endpoint_override", "endpoint.region": "region"}
+
+
+def settings(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The session's Hadoop settings for the store of a folder, as ``_store`` takes them."""
+    if not folder.startswith(("s3a:", "s3n:")):
+        return {}
+    conf = spark._jsc.hadoopConfiguration()
+    bucket = folder.split("/")[2]
+    found = {ours: conf.get(f"fs.s3a.bucket.{bucket}.{name}") or conf.get(f"fs.s3a.{name}") for name, ours in S3_SETTINGS.items()}
+    return {k: v for k, v in found.items() if v}
+
+
+def _store(folder: str, options: dict[str, str] | None = None):
     """The file system of a folder, and its path there."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else folder.replace("file:", "file://", 1))
+    if folder.startswith("file:") and not folder.startswith("file://"):
+        folder = folder.replace("file:", "file://", 1)
+    scheme, mark, rest = folder.partition("://")
+    scheme = SCHEMES.get(scheme, scheme)
+    if scheme == "s3" and (options or folder.startswith(("s3a:", "s3n:"))):
+        return fs.S3FileSystem(**(options or {})), rest.rstrip("/")
+    return fs.FileSystem.from_uri(f"{scheme}{mark}{rest}")
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", parts: int | None = None, by_word: bool = True) -> list[int]:
@@ -40,23 +65,24 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str =
 
     Null texts count as empty: they hold the end id alone. Null keys come first; equal keys follow
     one another by the hash of their texts; an empty table gives empty parts; a caller's columns may
-    have any name. A task that runs again replaces its part's files as a whole.
+    have any name. Keys are integers, or cast to long; what can't be cast fails. The folder may be on any
+    store that pyarrow reaches; ``s3a://`` takes the session's Hadoop settings for keys and endpoint.
     """
     spark = docs.sparkSession
+    options = settings(spark, folder)
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())  # more for a larger input
 
     def write_part(batches):
         import pyarrow as pa
-        from pyarrow import fs as pfs
 
-        store, root = _store(folder)
+        store, root = _store(folder, options)
         encode = encoder(tokenizer, by_word)
         end = np.array([end_id], encode.dtype).tobytes()
         part, tag = TaskContext.get().partitionId(), uuid.uuid4().hex
         store.create_dir(root, recursive=True)
-        name = lambda kind, of="": f"{root}/{of}part-{part:06d}.{kind}"
+        name = lambda kind: f"{root}/{_file(part, tag)}.{kind}"
         lengths, keys = [np.zeros(1, "<i8")], []
-        with store.open_output_stream(name("bin", f".{tag}-")) as out:
+        with store.open_output_stream(name("bin")) as out:
             for batch in batches:
                 ids = [x + end for x in encode.many(texts(batch, "text"))]
                 out.write(b"".join(ids))
@@ -65,26 +91,26 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str =
                 keys.append(np.stack([np.asarray(column.is_null(), "<i8"), np.asarray(column.fill_null(0), "<i8")], 1))
         offsets = np.cumsum(np.concatenate(lengths), dtype="<i8")
         for kind, data in (("off", offsets), ("key", np.concatenate(keys) if keys else np.zeros((0, 2), "<i8"))):
-            with store.open_output_stream(name(kind, f".{tag}-")) as out:
+            with store.open_output_stream(name(kind)) as out:
                 out.write(data.tobytes())
-        for kind in ("bin", "off", "key"):
-            if not isinstance(store, pfs.LocalFileSystem) and store.get_file_info(name(kind)).type != pfs.FileType.NotFound:
-                store.delete_file(name(kind))
-            store.move(name(kind, f".{tag}-"), name(kind))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([int(offsets[-1])], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([int(offsets[-1])], pa.int64()), "tag": pa.array([tag])})
 
     rows = boxed(docs).select(inside(key).cast("long").alias("key"), inside(text).alias("text")).withColumn("tie", F.xxhash64("text"))
     ranged = rows.repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
-    counts = dict(map(tuple, ranged.mapInArrow(write_part, "part int, n long").collect()))  # a row a part
-    n = max(counts, default=-1) + 1
-    bases = [0, *np.cumsum([counts.get(p, 0) for p in range(n)]).tolist()][:n]
-    store, root = _store(folder)
+    written = {r.part: r for r in ranged.mapInArrow(write_part, "part int, n long, tag string").collect()}  # a row a part
+    n = max(written, default=-1) + 1
+    bases = [0, *np.cumsum([written[p].n if p in written else 0 for p in range(n)]).tolist()][:n]
+    store, root = _store(folder, options)
     store.create_dir(root, recursive=True)
     with store.open_output_stream(f"{root}/manifest.json") as out:
-        out.write(json.dumps({"dtype": encoder(tokenizer, by_word).dtype.str, "end_id": end_id, "parts": sorted(counts), "bases": bases}).encode())
+        out.write(json.dumps({"dtype": encoder(tokenizer, by_word).dtype.str, "end_id": end_id, "parts": {str(p): r.tag for p, r in sorted(written.items())}, "bases": bases}).encode())
     return bases
 
 
+def _file(part: int, tag: str) -> str:
+    return f"part-{part:06d}-{tag}"
+
+
 def mapped(store, path: str, dtype: str) -> Callable[[int, int], np.ndarray]:
     """Gives the values from one place to another of a flat file: memory-mapped where the store is a mounted folder, else read by ranges."""
     from pyarrow import fs
@@ -104,19 +130,21 @@ def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     A null key comes back as null, documents of equal keys each come back, empty parts give no rows, and
     a document of a null or empty text has its end id alone.
     """
-    store, root = _store(folder)
+    options = settings(spark, folder)
+    store, root = _store(folder, options)
     with store.open_input_file(f"{root}/manifest.json") as f:
         manifest = json.loads(f.read())
 
     def read_parts(batches):
         import pyarrow as pa
 
-        store, root = _store(folder)
+        store, root = _store(folder, options)
         for part in (p for b in batches for p in b.column(0).to_pylist()):
-            if part not in manifest["parts"]:
+            if str(part) not in manifest["parts"]:
                 continue
-            ids, offsets, keys = (mapped(store, f"{root}/part-{part:06d}.{kind}", dtype) for kind, dtype in (("bin", manifest["dtype"]), ("off", "<i8"), ("key", "<i8")))
-            n_docs = store.get_file_info(f"{root}/part-{part:06d}.off").size // 8 - 1
+            name = f"{root}/{_file(part, manifest['parts'][str(part)])}"
+            ids, offsets, keys = (mapped(store, f"{name}.{kind}", dtype) for kind, dtype in (("bin", manifest["dtype"]), ("off", "<i8"), ("key", "<i8")))
+            n_docs = store.get_file_info(f"{name}.off").size // 8 - 1
             for a in range(0, n_docs, ROWS):
                 at = offsets(a, min(a + ROWS, n_docs) + 1)
                 some = ids(int(at[0]), int(at[-1]))

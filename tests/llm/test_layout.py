@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
-from _brute import AWKWARD, WORD, clashing, frame
+from _brute import AWKWARD, WORD, by, clashing, frame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -61,10 +61,36 @@ def test_token_files_round_trip(spark, tmp_path):
         ids = _ids(t, 1)
         assert (out[i].start, out[i].n_tokens, list(out[i].ids), out[i].ids_crc32) == (at, len(ids), ids, zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+    wide = clashing(frame(spark, rows), ["key", "tie", "part", "n", "tag", "doc"])
+    token_files.write(wide, f"file:{tmp_path}/c", PATH, 1, parts=2)
+    assert token_files.read(spark, f"file:{tmp_path}/c").count() == len(rows)
     token_files.write(frame(spark, []), str(tmp_path / "e"), PATH, 1, parts=2)
     assert token_files.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_token_files_name_the_attempts_that_count(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    for text in ("one", "two three"):  # the second manifest replaces the first, what the first wrote is left unread
+        token_files.write(frame(spark, [(1, text, "s"), (2, text, "s")]), folder, PATH, 1, parts=2)
+    assert [r.ids for r in token_files.read(spark, folder).orderBy("key").collect()] == [_ids("two three", 1)] * 2
+    assert len(list((tmp_path / "t").glob("*.bin"))) > 2
+
+
+def test_stores_by_scheme(spark):
+    conf = spark._jsc.hadoopConfiguration()
+    for name, value in {"access.key": "a", "secret.key": "b", "endpoint": "http://localhost:1", "endpoint.region": "here", "bucket.own.access.key": "c"}.items():
+        conf.set(f"fs.s3a.{name}", value)
+    try:
+        found = token_files.settings(spark, "s3a://own/x/y")
+        assert found == {"access_key": "c", "secret_key": "b", "endpoint_override": "http://localhost:1", "region": "here"}
+        store, root = token_files._store("s3a://own/x/y/", found)
+        assert store.type_name == "s3" and root == "own/x/y" and store.region == "here"
+    finally:
+        for name in ("access.key", "secret.key", "endpoint", "endpoint.region", "bucket.own.access.key"):
+            conf.unset(f"fs.s3a.{name}")
+    assert token_files.settings(spark, "/local") == {} and token_files._store("file:/local")[1] == "/local"
+
+
 def test_mixing_targets(spark):
     rows = _rows(spark)
     out = mixing.mix(frame(spark, rows)).collect()
@@ -94,6 +120,24 @@ def test_mixing_targets(spark):
     assert mixing.mix(frame(spark, [])).count() == mixing.mixed_rows(frame(spark, [])).count() == 0
 
 
+def test_mixing_comes_near_each_target(spark):
+    out = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    for (source,), own in by([{"source": r.doc.source, "taken": r.times * r["size"], "target": r.target} for r in out], "source").items():
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.01 * own[0]["target"], source
+    # A place in the order is the key's and the text's, nulls included.
+    places = mixing.sized(frame(spark, [(None, "5", "s"), (5, None, "s"), (5, "5", "s"), (None, None, "s")]), "doc_id", "text", "source", 1)
+    assert places.select("order").distinct().count() == 4
+
+
+def test_mixing_passes_beyond_what_does_not_fit(spark):
+    # One text holds nearly all words: it may be met anywhere in the order.
+    rows = [(0, "w " * 5000, "A"), *((k, "a b c", "A") for k in range(1, 1000)), (5000, "one " * 100_000, "B")]
+    for seed in range(4):
+        out = mixing.mix(frame(spark, rows), weights=(1, 9), seed=seed).collect()
+        own = [r for r in out if r.doc.source == "A"]
+        assert abs(sum(r.times * r["size"] for r in own) - own[0].target) <= max(3, 0.001 * own[0].target) and max(r.times for r in own) <= 3
+
+
 def test_mixing_repeated_rows(spark):
     rows = [(k, f"a {k} " * 4, "A") for k in range(3000)] + [(7, "one two three four five", "B")] * 6000 + [(k, "x y z " * (k % 7), "B") for k in range(600)] + [(None, "n", None)] * 5
     docs = frame(spark, rows).repartition(5)
