@@ -2,54 +2,36 @@
 
 Zero-length and overlapping events, ties and repeated rows are allowed unless an operator says
 otherwise; null starts or ends aren't. Empty input gives empty output. Columns beyond those of an
-event are dropped. ``span`` cuts large buckets into spans of time, see ``prefix``, and 0 doesn't; without it
-rows a bucket are counted to know. Payloads are compared as JSON objects: order of keys, white space and
-escapes don't matter, and come out in one form (sorted keys, no white space).
+event are dropped. Rows a bucket are counted when an operator is called, and large buckets are cut into parts,
+see ``folds``; ``span`` cuts all into spans of so many nanoseconds instead, and 0 cuts none. Payloads are compared as
+JSON objects: order of keys, white space and escapes don't matter, and come out in one form (sorted keys, no white space).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import deque
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import payload
-from ..schema import DAY, EVENT, SECOND
-from .prefix import running, span_for
-
-_ROW = ("start_ns", "id", "data", "end_ns")
-
+from ..schema import EVENT
+from . import sweep
+from .folds import Fold, fold_events
 
-def _numbered(df: DataFrame, by: list[str], new, name: str, span: int | None) -> DataFrame:
-    """Number the islands that begin where ``new`` holds."""
-    flagged = df.withColumn("_new", new.cast("long"))
-    return running(flagged, by, F.col("_new"), "sum", name, span=span).withColumn(name, F.col(name) + F.col("_new")).drop("_new")
 
-
-def merge_same(events: DataFrame, pulse_ns: int, touching: bool, span: int | None = None) -> DataFrame:
+def merge_same(events: DataFrame, pulse_ns: int, touching: bool, span: int | None = None, share: bool = False) -> DataFrame:
     """Merge neighbours of equal data whose gap to the furthest end of their run is below ``pulse_ns``
-    (at most, if ``touching``). The first event's id, start and data stay, the end is the furthest.
+    (at most, if ``touching``). The first event's id, start and data stay, the end is the furthest. With ``share``
+    other gaps below ``pulse_ns`` are split between their neighbours.
     """
-    df = events.select(*EVENT).withColumn("data", payload.canonical())
-    span = span_for(events) if span is None else span
-    before = running(df, ["bucket"], F.struct(*_ROW), "max", "_before", span=span)
-    runs = _numbered(before, ["bucket"], ~F.coalesce(F.col("_before.data").eqNullSafe(F.col("data")) & F.col("_before").isNotNull(), F.lit(False)), "_run", span).drop("_before")
-    ends = running(runs, ["bucket", "_run"], F.col("end_ns"), "max", "_end", span=span)
-    gap = F.col("start_ns") - F.col("_end")
-    islands = _numbered(ends, ["bucket"], F.col("_end").isNull() | (gap > pulse_ns if touching else gap >= pulse_ns), "_island", span)
-    first = F.min(F.struct("start_ns", "id", "data"))
-    out = islands.groupBy("bucket", "_island").agg(first.alias("f"), F.max("end_ns").alias("end_ns"))
-    return out.select("bucket", "f.id", "f.start_ns", "end_ns", "f.data")
-
-
-def flood(events: DataFrame, pulse_ns: int = 5 * SECOND, span: int | None = None) -> DataFrame:
+    fold = Fold(limit=pulse_ns if touching else pulse_ns - 1, by_key=True, pulse=pulse_ns if share else 0)
+    return fold_events(events.withColumn("data", payload.canonical()), F.col("data"), fold, span)
+
+
+def flood(events: DataFrame, pulse_ns: int = 5_000_000_000, span: int | None = None) -> DataFrame:
     """Fill gaps shorter than ``pulse_ns``: events of equal data merge, others meet in the middle."""
-    span = span_for(events) if span is None else span
-    merged = merge_same(events, pulse_ns, touching=False, span=span)
-    sided = running(merged, ["bucket"], F.struct(*_ROW), "max", "_l", span=span, order=_ROW)
-    sided = running(sided, ["bucket"], F.struct(*_ROW), "min", "_r", ahead=True, span=span, order=_ROW)
-    left, right = F.col("start_ns") - F.col("_l.end_ns"), F.col("_r.start_ns") - F.col("end_ns")
-    half = lambda gap: F.when((gap >= 0) & (gap < pulse_ns), F.floor(gap / F.lit(2)).cast("long")).otherwise(0)
-    return sided.select("bucket", "id", (F.col("start_ns") - half(left)).alias("start_ns"), (F.col("end_ns") + half(right)).alias("end_ns"), "data")
+    return merge_same(events, pulse_ns, touching=False, span=span, share=True)
 
 
 def heartbeat_merge(events: DataFrame, pulse_ns: int, span: int | None = None) -> DataFrame:
@@ -62,11 +44,7 @@ def period_union(*frames: DataFrame, span: int | None = None) -> DataFrame:
     df = frames[0].select(*EVENT)
     for f in frames[1:]:
         df = df.unionByName(f.select(*EVENT))
-    span = span_for(df) if span is None else span
-    ends = running(df, ["bucket"], F.col("end_ns"), "max", "_end", span=span)
-    islands = _numbered(ends, ["bucket"], F.col("_end").isNull() | (F.col("start_ns") > F.col("_end")), "_island", span)
-    out = islands.groupBy("bucket", "_island").agg(F.min(F.struct("start_ns", "id")).alias("f"), F.max("end_ns").alias("end_ns"))
-    return out.select("bucket", "f.id", "f.start_ns", "end_ns", F.lit("{}").alias("data"))
+    return fold_events(df.withColumn("data", F.lit("{}")), None, Fold(limit=0, by_key=False), span)
 
 
 def chunk_by_key(events: DataFrame, key: str, span: int | None = None) -> DataFrame:
@@ -74,39 +52,28 @@ def chunk_by_key(events: DataFrame, key: str, span: int | None = None) -> DataFr
 
     Events without the key are left out and don't break a run.
     """
-    df = events.withColumn("_key", payload.value(events, key)).where(F.col("_key").isNotNull()).select(*EVENT, "_key")
-    span = span_for(df) if span is None else span
-    before = running(df, ["bucket"], F.struct("start_ns", "id", "_key"), "max", "_before", span=span)
-    runs = _numbered(before, ["bucket"], F.coalesce(F.col("_before._key") != F.col("_key"), F.lit(True)), "_run", span)
-    out = runs.groupBy("bucket", "_run").agg(F.min(F.struct("start_ns", "id", "data")).alias("f"), F.sum(F.col("end_ns") - F.col("start_ns")).alias("ns"))
-    return out.select("bucket", "f.id", "f.start_ns", (F.col("f.start_ns") + F.col("ns")).alias("end_ns"), "f.data")
+    df = events.withColumn("_key", payload.value(events, key)).where(F.col("_key").isNotNull())
+    return fold_events(df, F.col("_key"), Fold(limit=None, by_key=True, total=True), span)
 
 
-#: Rows of the right side that a bin of ``overlaps`` should hold.
-BIN_ROWS = 16
-
-
-def width_for(left: DataFrame, right: DataFrame, by: str = "bucket") -> int:
-    """A width of bins for ``overlaps``: that which gives a bin some ``BIN_ROWS`` rows of the right side, but no less
-    than the mean duration of the left side, so that its rows lie in two bins or so; a day at most.
-    """
-    each = right.groupBy(by).agg(F.count("*").alias("n"), (F.max("end_ns") - F.min("start_ns")).alias("reach"))
-    r = each.agg(F.sum("n").alias("n"), F.sum(F.col("reach").cast("double")).alias("reach")).first()
-    mean = left.agg(F.avg((F.col("end_ns") - F.col("start_ns")).cast("double"))).first()[0]
-    return max(1, min(DAY, int(max(BIN_ROWS * (r.reach or 0) / (r.n or 1), mean or 0))))
+def furthest(events: DataFrame, span: int | None = None) -> DataFrame:
+    """Add ``before``: the furthest end of the bucket's earlier events, null for its first."""
+    return fold_events(events, None, Fold(limit=None, by_key=False, label=True), span).drop("island")
 
 
 def overlaps(left: DataFrame, right: DataFrame, by: str = "bucket", width: int | None = None) -> DataFrame:
     """Pairs of rows whose intervals share more than a point, as left's columns and right's with ``r_``.
 
-    Both sides are cut into bins of ``width``, see ``width_for``, and meet in equal bins; a pair counts in the bin where the
-    later of the two starts. An interval is in as many bins as it spans.
+    Pairs are found by sorted starts, see ``sweep``. With ``width`` both sides are cut into bins of so many nanoseconds
+    and meet in equal bins; a pair counts in the bin where the later of the two starts. An interval is in as many
+    bins as it spans.
     """
-    width = width or width_for(left, right, by)
+    right = right.where("end_ns > start_ns")
+    if width is None:
+        return sweep.join(left, right, by)
     bins = lambda: F.explode(F.sequence(F.floor(F.col("start_ns") / F.lit(width)), F.floor((F.col("end_ns") - 1) / F.lit(width)))).alias("_bin")
-    some = F.col("end_ns") > F.col("start_ns")
-    a = left.where(some).select("*", bins())
-    b = right.where(some).select("*", bins())
+    a = left.where("end_ns > start_ns").select("*", bins())
+    b = right.select("*", bins())
     b = b.select(*(F.col(c).alias(f"r_{c}") for c in b.columns))
     meet = (a[by] == b[f"r_{by}"]) & (F.col("_bin") == F.col("r__bin")) & (F.col("start_ns") < F.col("r_end_ns")) & (F.col("end_ns") > F.col("r_start_ns"))
     first = F.floor(F.greatest("start_ns", "r_start_ns") / F.lit(width)) == F.col("_bin")
@@ -119,28 +86,111 @@ def period_intersect(events: DataFrame, periods: DataFrame, width: int | None =
     Periods of a bucket are united first, unless they are ``united`` already. Zero-length events and
     periods give nothing, nor do touching ones.
     """
-    width = width or width_for(events, periods)
     if not united:
         periods = period_union(periods.where("end_ns > start_ns"), span=span)
-    pairs = overlaps(events.select(*EVENT), periods, width=width)
+    pairs = overlaps(events.select(*EVENT), periods.select("bucket", "start_ns", "end_ns"), width=width)
     return pairs.select("bucket", "id", F.greatest("start_ns", "r_start_ns").alias("start_ns"), F.least("end_ns", "r_end_ns").alias("end_ns"), "data")
 
 
-def union_no_overlap(first: DataFrame, second: DataFrame, strict: bool = True, width: int | None = None) -> DataFrame:
+def period_intersect_consumed(events: DataFrame, periods: DataFrame, span: int | None = None) -> DataFrame:
+    """The parts of events that lie inside the periods, as one walk along both sorted sides finds them.
+
+    The walk never goes back: a period that an event has run beyond is over for all events after it, and of periods
+    that overlap one another the next one counts from where the one before has been used up. So an event meets the
+    periods from the first on whose furthest end so far reaches the end of all events before; of these each that
+    isn't covered by earlier ones gives a piece, from the end of those before it. Without overlaps on either side that
+    is ``period_intersect``, with periods that aren't united. A period without length inside an event gives a piece
+    without length; events without length give none.
+    """
+    e = furthest(events.select(*EVENT), span)
+    f = furthest(periods.select(*EVENT), span).where("before is null or end_ns > before")  # the others are covered
+    pairs = sweep.join(e, f.select("bucket", "start_ns", "end_ns", "before"))
+    reached = lambda end: F.col("before").isNull() | F.coalesce(end >= F.col("before"), F.lit(False))
+    # Where the period isn't the first that the event meets, those before it are used up.
+    used = F.when(F.col("r_before").isNotNull() & reached(F.col("r_before")), F.col("r_before"))
+    pairs = pairs.where(reached(F.col("r_end_ns"))).withColumn("begins", F.greatest("start_ns", used))
+    pairs = pairs.where("begins < r_end_ns and begins < end_ns and r_start_ns < end_ns")
+    return pairs.select("bucket", "id", F.greatest("begins", "r_start_ns").alias("start_ns"), F.least("end_ns", "r_end_ns").alias("end_ns"), "data")
+
+
+def _merged(rows):
+    """(id, start, end, data) of two lists' union: rows of (first, id, start, end, data), each list in its order, both by start.
+
+    The heads of the lists are compared. Where they meet, the second's is given out up to the first's start, the
+    first's is whole, and what the second's has left beyond it is the head that is compared next. Only
+    rows that may still meet one another are held.
+    """
+    lists = deque(), deque()
+    one, two = lists
+
+    def heads(now):
+        while one and two:
+            a, b = one[0], two[0]
+            meet = max(a[1], b[1]) < min(a[2], b[2])
+            if a[1] <= b[1]:
+                yield one.popleft()
+                if meet:
+                    two.popleft()
+                    if a[2] < b[2]:
+                        two.appendleft((None, a[2], *b[2:]))
+            elif meet:
+                yield (None, b[1], a[1], b[3])
+                two[0] = (None, a[1], *b[2:])
+            else:
+                yield two.popleft()
+        # A head that ends by now meets nothing that is to come; but one of the second that begins now comes after the first's.
+        while one and (now is None or one[0][2] <= now):
+            yield one.popleft()
+        while two and (now is None or two[0][1] < now and two[0][2] <= now):
+            yield two.popleft()
+
+    for first, *row in rows:
+        lists[not first].append(tuple(row))
+        yield from heads(row[1])
+    yield from heads(None)
+
+
+def union_no_overlap(first: DataFrame, second: DataFrame, strict: bool = True, span: int | None = None) -> DataFrame:
     """All of ``first``, and of ``second`` what ``first`` leaves free; pieces of split events have no id.
 
-    Each side should be free of overlaps. With ``strict`` an event of ``first`` is taken from the
-    earliest event of ``second`` that it meets and from no later one; without, from all.
+    With ``strict`` the heads of both lists are compared, in order of (start_ns, id), and each is used up in turn: an
+    event of ``first`` is taken only from the one event of ``second`` that it meets first, and overlaps within a side
+    stay. Without, it is taken from all. Stretches of time in which nothing overlaps anything of the other side are
+    left as they are; each of the others is gone through in one task, row by row, holding only rows that may still meet.
     """
-    a, b = first.select(*EVENT), second.select(*EVENT).withColumn("_row", F.struct("start_ns", "end_ns", "id", "data"))
-    pairs = overlaps(b, a, width=width)
-    if strict:
-        pairs = pairs.groupBy("bucket", "r_start_ns", "r_end_ns", "r_id").agg(F.min("_row").alias("_row"))
-    own = Window.partitionBy("bucket", "_row").orderBy("r_start_ns", "r_end_ns")
-    cuts = pairs.select("bucket", "_row", F.greatest(F.col("_row.start_ns"), F.coalesce(F.max("r_end_ns").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("_row.start_ns"))).alias("from"), F.col("r_start_ns").alias("to"))
-    ends = pairs.groupBy("bucket", "_row").agg(F.max("r_end_ns").alias("from")).select("bucket", "_row", "from", F.col("_row.end_ns").alias("to"))
-    pieces = cuts.unionByName(ends).where(F.col("from") < F.col("to"))
-    touched = pairs.select(F.col("bucket").alias("_b"), F.col("_row").alias("_r")).distinct()
-    whole = b.join(touched, b["bucket"].eqNullSafe(F.col("_b")) & (b["_row"] == F.col("_r")), "left_anti")
-    split = pieces.select("bucket", F.lit(None).cast("long").alias("id"), F.col("from").alias("start_ns"), F.col("to").alias("end_ns"), F.col("_row.data").alias("data"))
-    return a.unionByName(whole.select(*EVENT)).unionByName(split)
+    a, b = first.select(*EVENT), second.select(*EVENT)
+    if not strict:
+        return a.unionByName(_left_free(a, b, span))
+    both = a.withColumn("_first", F.lit(True)).unionByName(b.withColumn("_first", F.lit(False)))
+    # Which side a row is of goes along in the place of its data.
+    tagged = both.withColumn("data", F.concat(F.when(F.col("_first"), "1").otherwise("2"), F.coalesce("data", F.lit(""))))
+    labelled = fold_events(tagged, None, Fold(limit=0, by_key=False, label=True), span)
+    rows = labelled.select("bucket", "island", F.startswith("data", F.lit("1")).alias("first"), "id", "start_ns", "end_ns", F.substring("data", 2, 1 << 30).alias("data"))
+
+    def run(batches):
+        from itertools import groupby, islice
+
+        import pyarrow as pa
+
+        columns = ("bucket", "island", "first", "id", "start_ns", "end_ns", "data")
+        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
+        out = ((key[0], *x) for key, own in groupby(rows, key=lambda r: r[:2]) for x in _merged(r[2:] for r in own))
+        while some := list(islice(out, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["bucket", "id", "start_ns", "end_ns", "data"])
+
+    ordered = rows.repartition("bucket", "island").sortWithinPartitions("bucket", "island", "start_ns", "id", "data")
+    return ordered.mapInArrow(run, "bucket string, id long, start_ns long, end_ns long, data string")
+
+
+def _left_free(first: DataFrame, second: DataFrame, span: int | None) -> DataFrame:
+    """What no event of ``first`` covers of those of ``second``: their parts in the gaps between the periods of ``first``."""
+    periods = furthest(period_union(first.where("end_ns > start_ns"), span=span), span)
+    lo, hi = -(1 << 62), 1 << 62
+    gaps = periods.select("bucket", F.coalesce("before", F.lit(lo)).alias("start_ns"), F.col("start_ns").alias("end_ns"))
+    last = periods.groupBy("bucket").agg(F.max("end_ns").alias("start_ns"), F.lit(hi).alias("end_ns"))
+    met = second.join(last.select(F.col("bucket").alias("_b"), F.lit(True).alias("_has")), F.col("bucket").eqNullSafe(F.col("_b")), "left")
+    whole = met.where("_has is null or end_ns <= start_ns").drop("_b", "_has")  # buckets without periods, and rows without length
+    parts = sweep.join(met.where("_has").drop("_b", "_has"), gaps.unionByName(last))
+    begins, ends = F.greatest("start_ns", "r_start_ns"), F.least("end_ns", "r_end_ns")
+    uncut = (begins == F.col("start_ns")) & (ends == F.col("end_ns"))
+    return whole.unionByName(parts.select("bucket", F.when(uncut, F.col("id")).alias("id"), begins.alias("start_ns"), ends.alias("end_ns"), "data").where("start_ns < end_ns"))

@@ -1,29 +1,21 @@
-"""Running aggregates over ordered rows of a key that may hold most of the table.
-
-A window over one key runs in one task, which is fine while a key's rows are no more than a task can
-sort. Beyond that each key's rows are cut into spans of time, each span
-is aggregated apart, the spans' results (a row a span) are combined in order, and a row's value is
-what the spans before it carry and what its own span has before it.
-"""
+"""Spans of time that dense buckets may be cut into."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DAY, SECOND
-from ..scratch import written
 
-ORDER = ("start_ns", "id")
-#: Rows of the largest bucket up to which plain windows are used.
+#: Rows of the largest bucket that isn't cut.
 WINDOW_ROWS = 2_000_000
 #: Spans of time that a larger bucket is cut into.
 SPANS = (DAY, 3600 * SECOND, 60 * SECOND, SECOND)
 
 
 def span_for(df: DataFrame, by: str = "bucket", most: int = WINDOW_ROWS) -> int:
-    """The span that ``running`` should cut ``df`` by: 0, for none, if no bucket has more than ``most`` rows,
-    else the longest of ``SPANS`` in which no bucket has more, or the shortest.
+    """The span that the interval operators may be told to cut ``df`` by: 0, for none, if no bucket has more than
+    ``most`` rows, else the longest of ``SPANS`` in which no bucket has more, or the shortest. Runs jobs when called.
     """
     if (df.groupBy(by).count().agg(F.max("count")).first()[0] or 0) <= most:
         return 0
@@ -32,39 +24,3 @@ def span_for(df: DataFrame, by: str = "bucket", most: int = WINDOW_ROWS) -> int:
         if dense <= most:
             return span
     return SPANS[-1]
-
-
-def _both(how: str, a: Column, b: Column) -> Column:
-    if how == "sum":
-        return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
-    pick = a >= b if how == "max" else a <= b
-    return F.when(a.isNull(), b).when(b.isNull(), a).when(pick, a).otherwise(b)
-
-
-def running(df: DataFrame, by: list[str], value: Column, how: str, name: str, ahead: bool = False, span: int | None = None, order: tuple[str, ...] = ORDER) -> DataFrame:
-    """Add ``name``: the sum, max or min (``how``) of ``value`` over the rows of ``by`` before each row
-    in ``order``, which begins with start_ns; with ``ahead``, over the rows after it.
-
-    With ``span`` 0 or none that is a window for each key. With it the keys are cut into spans of that many
-    nanoseconds, and ``df``, which is then read twice, is written first.
-
-    ``order`` should be total where both directions are asked of the same rows. Null where there is none (0 for sums). Null keys are a key of their own.
-    """
-    agg = {"sum": F.sum, "max": F.max, "min": F.min}[how]
-    # Rows after a row are those before it in reverse: a frame that ends at the partition's end is
-    # aggregated anew for each row.
-    way = (lambda c: F.col(c).desc()) if ahead else F.col
-    frame, ordered = (Window.unboundedPreceding, -1), [way(c) for c in order]
-    if not span:
-        out = agg(value).over(Window.partitionBy(*by).orderBy(*ordered).rowsBetween(*frame))
-        return df.withColumn(name, F.coalesce(out, F.lit(0)) if how == "sum" else out)
-    df = written(df)
-    cut = df.withColumn("_span", F.floor(F.col("start_ns") / F.lit(span))).withColumn("_value", value)
-    spans = cut.groupBy(*by, "_span").agg(agg("_value").alias("_v"))
-    carried = spans.select(*(F.col(c).alias(f"_of_{c}") for c in [*by, "_span"]), agg("_v").over(Window.partitionBy(*by).orderBy(way("_span")).rowsBetween(*frame)).alias("_carry"))
-    own = cut.withColumn("_own", agg("_value").over(Window.partitionBy(*by, "_span").orderBy(*ordered).rowsBetween(*frame)))
-    same = F.lit(True)
-    for c in [*by, "_span"]:
-        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
-    out = own.join(carried, same).withColumn(name, _both(how, F.col("_carry"), F.col("_own")))
-    return out.drop("_span", "_value", "_own", "_carry", *(f"_of_{c}" for c in [*by, "_span"]))

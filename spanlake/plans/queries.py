@@ -63,6 +63,7 @@ def _intersect_sql(a: str, b: str) -> str:
 
 
 _CLASS_SQL = "CASE WHEN regexp_matches({app}, '^(?i)pur') THEN 'Shop>Buy' WHEN regexp_matches({app}, 'error|purchase') THEN 'Fault' WHEN regexp_matches({app}, 'click$') THEN 'Web' WHEN regexp_matches({app}, 'purchase|signup') THEN 'Shop' ELSE 'Uncategorized' END"
+_BEFORE = "max(end_ns) OVER (PARTITION BY bucket ORDER BY start_ns, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 _LO, _HI = 1704067200 * SECOND + 2 * DAY, 1704067200 * SECOND + 9 * DAY
 _RULES = [{"pattern": "purchase", "action": "drop", "field": "app"}, {"pattern": "^(error|view)$", "action": "redact", "field": "app", "bucket_prefix": "user-1", "replacement": "hidden"}, {"pattern": "hidden", "action": "redact", "field": "app", "bucket_prefix": "user-12"}]
 
@@ -198,6 +199,14 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         lambda s, d: intervals.union_no_overlap(_apart(source(s, d, True).where("id % 2 = 0")), _apart(source(s, d, True).where("id % 2 = 1"))),
         f"WITH {_ev(True)}, x AS (SELECT * FROM ev WHERE id % 2 = 0), y AS (SELECT * FROM ev WHERE id % 2 = 1), {_APART.format(n='a', src='x')}, {_APART.format(n='b', src='y')}, p AS (SELECT a.start_ns AS s, a.end_ns AS e, min(b.start_ns) AS bs FROM a JOIN b ON a.start_ns < b.end_ns AND a.end_ns > b.start_ns GROUP BY ALL), c AS (SELECT b.*, p.s, p.e, coalesce(lag(p.e) OVER (PARTITION BY b.start_ns ORDER BY p.s), b.start_ns) AS f FROM b JOIN p ON p.bs = b.start_ns), z AS (SELECT bucket, f AS start_ns, s AS end_ns, data FROM c UNION ALL SELECT bucket, max(e), any_value(end_ns), any_value(data) FROM c GROUP BY bucket, start_ns) SELECT bucket, id, start_ns, end_ns, data FROM a UNION ALL SELECT bucket, id, start_ns, end_ns, data FROM b WHERE start_ns NOT IN (SELECT bs FROM p) UNION ALL SELECT bucket, NULL, start_ns, end_ns, data FROM z WHERE end_ns > start_ns",
     ),
+    "period_intersect_overlapping": (
+        lambda s, d: intervals.period_intersect_consumed(source(s, d, True).where("id % 3 <> 0"), source(s, d, True).where("id % 3 = 0")),
+        f"WITH {_ev(True)}, e AS (SELECT *, {_BEFORE} AS m FROM ev WHERE id % 3 <> 0), f AS (SELECT *, {_BEFORE} AS p FROM ev WHERE id % 3 = 0), g AS (SELECT e.bucket, e.id, e.data, greatest(e.start_ns, CASE WHEN e.m IS NULL OR f.p >= e.m THEN f.p END) AS t, e.end_ns, f.start_ns AS fs, f.end_ns AS fe FROM e JOIN f ON e.bucket = f.bucket AND e.start_ns < f.end_ns AND e.end_ns > f.start_ns AND e.end_ns > e.start_ns WHERE (f.p IS NULL OR f.end_ns > f.p) AND (e.m IS NULL OR f.end_ns >= e.m)) SELECT bucket, id, greatest(t, fs) AS start_ns, least(end_ns, fe) AS end_ns, data FROM g WHERE t < fe AND t < end_ns",
+    ),
+    "union_no_overlap_all": (
+        lambda s, d: intervals.union_no_overlap(source(s, d, True).where("id % 2 = 0"), source(s, d, True).where("id % 2 = 1"), strict=False),
+        f"WITH {_ev(True)}, x AS (SELECT * FROM ev WHERE id % 2 = 0), y AS (SELECT * FROM ev WHERE id % 2 = 1), {_union_sql('x', 'u')}, gaps AS (SELECT bucket, coalesce(lag(end_ns) OVER (PARTITION BY bucket ORDER BY start_ns), -{1 << 62}) AS s, start_ns AS e FROM u UNION ALL SELECT bucket, max(end_ns), {1 << 62} FROM u GROUP BY bucket), p AS (SELECT y.bucket, y.id, greatest(y.start_ns, s) AS a, least(y.end_ns, e) AS b, y.start_ns, y.end_ns, y.data FROM y JOIN gaps g ON y.bucket = g.bucket AND y.start_ns < g.e AND y.end_ns > g.s AND y.end_ns > y.start_ns) SELECT bucket, CASE WHEN a = start_ns AND b = end_ns THEN id END AS id, a AS start_ns, b AS end_ns, data FROM p WHERE a < b UNION ALL SELECT bucket, id, start_ns, end_ns, data FROM y WHERE end_ns <= start_ns UNION ALL SELECT bucket, id, start_ns, end_ns, data FROM x",
+    ),
     "merge_by_keys": (lambda s, d: rows.merge_by_keys(source(s, d), ["app"]).select("bucket", "key_0", "start_ns", (F.col("end_ns") - F.col("start_ns")).alias("ns")), f"WITH {_ev()}, q AS (SELECT *, '\"' || app || '\"' AS key_0 FROM ev) {_sql_merge('bucket, key_0', 'q')}"),
     "chunk_by_key": (lambda s, d: intervals.chunk_by_key(source(s, d, True), "app"), f"WITH {_ev(True)}, a AS (SELECT *, CASE WHEN app = lag(app) OVER (ORDER BY start_ns, id) THEN 0 ELSE 1 END AS c FROM ev), b AS (SELECT *, sum(c) OVER (ORDER BY start_ns, id) AS run FROM a) SELECT bucket, arg_min(id, (start_ns, id)) AS id, min(start_ns) AS start_ns, CAST(min(start_ns) + sum(end_ns - start_ns) AS BIGINT) AS end_ns, arg_min(data, (start_ns, id)) AS data FROM b GROUP BY bucket, run"),
     "filter_keyvals": (lambda s, d: rows.filter_keyvals(source(s, d), "k", [3, 4.0, "5"]), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, data FROM ev WHERE k IN (3, 4)"),
