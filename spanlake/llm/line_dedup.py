@@ -6,13 +6,13 @@ its own. Each window selects its least line hash, the first of equals. So whatev
 words two places share, they share its windows, and select the same lines of it: these window minima
 are the document's fingerprints, fewer than its lines.
 
-Positions of equal fingerprints are joined: one that has no equal anywhere ends here. A match is
-extended both ways over the line hashes, onwards and back, to each window that selected it; the
-extended run is hashed, and of the places that agree on the whole of it the first one stays. All lines
-of a shared run lie in one of these: a line with ``min_words`` words from it to the run's end lies in
-the window onwards from it, and the others lie in the window back from the run's end. So the union of
-the repeated windows is what stands at any earlier place, whichever place that is, and no pairs of
-places are made.
+Positions of equal fingerprints are joined by hash: one that has no equal anywhere ends here, and so do
+documents without another. In the others a match is extended both ways over the line hashes, onwards and
+back, to each window that selected it; the extended run is hashed, and of the places that agree on the
+whole of it the first one stays. All lines of a shared run lie in one of these: a line with ``min_words``
+words from it to the run's end lies in the window onwards from it, and the others lie in the window back
+from the run's end. So the union of the repeated windows is what stands at any earlier place, whichever
+place that is, and no pairs of places are made.
 """
 
 from __future__ import annotations
@@ -26,27 +26,29 @@ MIN_WORDS = 50
 RUNS = "array<struct<from:int,to:int>>"
 
 
-def windows(rows: DataFrame, order: Column, text: Column, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for each line of ``rows`` (with _row) that has a full window: (row, order, on, back).
+def hashed_lines(rows: DataFrame, order: Column, text: Column) -> DataFrame:
+    """(row, order, at, n, h) of each line of ``rows`` (with _row) that has a word: its place, words and hash."""
+    norm = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09\\x0B-\\x0D]+", " "), "\n")
+    lines = rows.select(F.col("_row").alias("row"), order.alias("order"), F.posexplode(norm).alias("at", "line"))
+    return lines.select("row", "order", "at", F.regexp_count("line", F.lit(WORD)).cast("bigint").alias("n"), F.xxhash64(F.btrim("line")).alias("h")).where("n > 0")
+
+
+def windows_of(lines: DataFrame, min_words: int, extended: bool) -> DataFrame:
+    """A row for each of ``hashed_lines`` that has a full window: (row, order, on, back).
 
     on and back are the windows onwards from the line and back from it, null where there are too few
     words: structs of low (the hash of the line they select), at (its place), from and to (places of
-    the first and last line), first and last (the same among lines that have a word) and run (the hash
-    of all its lines).
+    the first and last line), first and last (the same among lines that have a word) and, if
+    ``extended``, run (the hash of all its lines).
     """
-    norm = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09\\x0B-\\x0D]+", " "), "\n")
-    lines = rows.select(F.col("_row").alias("row"), order.alias("order"), F.posexplode(norm).alias("at", "line"))
-    lines = lines.select("row", "order", "at", F.regexp_count("line", F.lit(WORD)).cast("bigint").alias("n"), F.xxhash64(F.btrim("line")).alias("h")).where("n > 0")
     of_doc = Window.partitionBy("row")
     so_far = of_doc.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("ends", F.sum("n").over(so_far)).withColumn("nth", F.count("*").over(so_far).cast("int")).withColumn("starts", F.col("ends") - F.col("n"))
 
     def window(own) -> Column:
         least, begin, end = F.min(F.struct("h", "at")).over(own), F.first(F.struct("at", "nth", "starts")).over(own), F.last(F.struct("at", "nth", "ends")).over(own)
-        found = F.struct(
-            least["h"].alias("low"), least["at"].alias("at"), begin["at"].alias("from"), end["at"].alias("to"), begin["nth"].alias("first"), end["nth"].alias("last"),
-            F.xxhash64(F.collect_list("h").over(own)).alias("run"),
-        )
+        run = [F.xxhash64(F.collect_list("h").over(own)).alias("run")] if extended else []
+        found = F.struct(least["h"].alias("low"), least["at"].alias("at"), begin["at"].alias("from"), end["at"].alias("to"), begin["nth"].alias("first"), end["nth"].alias("last"), *run)
         return F.when(end["ends"] - begin["starts"] >= min_words, found)
 
     # Frames by words: lines that begin under min_words words after the line, or end under as many before its end.
@@ -54,20 +56,30 @@ def windows(rows: DataFrame, order: Column, text: Column, min_words: int = MIN_W
     return lines.select("row", "order", window(onwards).alias("on"), window(back).alias("back")).where("on is not null or back is not null")
 
 
+def windows(rows: DataFrame, order: Column, text: Column, min_words: int = MIN_WORDS) -> DataFrame:
+    """``windows_of`` the lines of ``rows``, extended."""
+    return windows_of(hashed_lines(rows, order, text), min_words, True)
+
+
 def fingerprints(found: DataFrame) -> DataFrame:
     """(low, row, at): the lines that the windows select, once each."""
     return found.select("row", F.explode(F.array_compact(F.array("on", "back"))).alias("w")).select("w.low", "row", "w.at").distinct()
 
 
-def repeated_runs(found: DataFrame) -> DataFrame:
+def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(row, runs): the runs of each row that stand at an earlier place too, as sorted (from, to) line places.
 
-    ``found`` must be a written table of ``windows``. Earlier is by order (null first), row and place.
+    ``lines`` must be a written table of ``hashed_lines``. Earlier is by order (null first), row and place.
     """
-    matched = fingerprints(found).groupBy("low").agg(F.count("*").alias("n")).where("n > 1").select(F.col("low").alias("of"))
+    folder = scratch_dir(lines.sparkSession)
+    marks = materialize(fingerprints(windows_of(lines, min_words, False)), f"{folder}/marks")
+    shared = materialize(marks.groupBy("low").agg(F.count("*").alias("n")).where("n > 1").select(F.col("low").alias("of")), f"{folder}/shared")
+    meeting = marks.join(shared, F.col("low") == F.col("of"), "left_semi").select(F.col("row").alias("in_row")).distinct()
+    # Only documents in which a fingerprint meets another are gone over again, and only windows that selected one are kept.
+    found = windows_of(lines.join(materialize(meeting, f"{folder}/meeting"), F.col("row") == F.col("in_row"), "left_semi"), min_words, True)
     each = found.select("row", "order", F.explode(F.array_distinct(F.array_compact(F.array("on", "back")))).alias("w")).select("row", "order", "w.*")
-    runs = each.drop("at").join(matched, F.col("low") == F.col("of"), "left_semi")
-    runs = materialize(runs, f"{scratch_dir(found.sparkSession)}/matched")
+    runs = each.drop("at").join(shared, F.col("low") == F.col("of"), "left_semi")
+    runs = materialize(runs, f"{folder}/matched")
     place = F.struct("order", "row", "first")
     firsts = runs.groupBy("low", "run").agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).where("earliest <> latest").drop("latest")
     later = runs.join(firsts, ["low", "run"]).where((F.col("row") != F.col("earliest.row")) | (F.col("first") != F.col("earliest.first")))
@@ -93,8 +105,8 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id
     """
     folder = scratch_dir(docs.sparkSession)
     rows = numbered(boxed(docs), f"{folder}/rows", "_row")
-    found = materialize(windows(rows, inside(key), inside(text), min_words), f"{folder}/windows")
-    runs = repeated_runs(found).withColumnRenamed("row", "of")
+    lines = materialize(hashed_lines(rows, inside(key), inside(text)), f"{folder}/lines")
+    runs = repeated_runs(lines, min_words).withColumnRenamed("row", "of")
     out = rows.join(runs, F.col("_row") == F.col("of"), "left").withColumn("runs", F.coalesce("runs", F.array().cast(RUNS)))
     out = out.withColumn("lines", F.split(F.coalesce(inside(text), F.lit("")), "\n"))  # a column, so that lambdas don't split anew
     # What stays lies between one run's end and the next run's start.
