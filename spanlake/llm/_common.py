@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ WHITE_CHARS = " \t\n\x0b\x0c\r"
 #: Rows below which a side of a join is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 50_000
 _made: list[str] = []
+_run: ContextVar[str | None] = ContextVar("run", default=None)
 #: Bytes of an Arrow batch that a Python worker is given.
 BATCH_BYTES = 4 << 20
 
@@ -26,8 +28,10 @@ BATCH_BYTES = 4 << 20
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder that the driver and all executors share.
 
-    It lies under ``spark.checkpoint.dir``. Only a local master may run without that setting.
+    It lies under ``spark.checkpoint.dir``, inside a ``scratch_run`` under that. Only a local master may run without that setting.
     """
+    if _run.get():
+        return f"{_run.get()}/{uuid.uuid4().hex}"
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -37,6 +41,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return _made[-1]
 
 
+def forget(spark: SparkSession, folder: str) -> None:
+    """Delete a scratch folder. Frames that read it can't be used after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """The scratch folders that this thread makes inside lie in one of its own, which goes at the end, however it ends."""
+    parent = scratch_dir(spark)
+    token = _run.set(parent)
+    try:
+        yield parent
+    finally:
+        _run.reset(token)
+        forget(spark, parent)
+
+
 def n_scratch() -> int:
     """How many scratch folders this driver has made so far."""
     return len(_made)

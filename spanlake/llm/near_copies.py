@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from ._common import boxed, inside, materialize, scratch_dir, small_side, unboxed
+from ._common import boxed, forget, inside, materialize, scratch_dir, small_side, unboxed
 from .tokens import texts
 
 WIDTH, SEED = 5, 42
@@ -36,6 +36,8 @@ SAMPLE, SAMPLE_MIN, SAMPLE_KEPT = 10_000, 3, 200_000
 SHORT = 4
 #: Pairs a row that are compared without another hub.
 PAIRS_A_ROW = 50
+#: Sets that a task remembers as met.
+SEEN = 1_000_000
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -108,7 +110,9 @@ def sketched(rows: DataFrame) -> DataFrame:
                 if len(hashes):
                     at = np.minimum(np.searchsorted(hashes, hs), len(hashes) - 1)
                     rank = np.where(hashes[at] == hs, counts[at], 0)
-                # A set that the task has met before has given its first shingles.
+                # A set that the task has met before has given its first shingles; if it has been forgotten it gives them again.
+                if len(seen) >= SEEN:
+                    seen.clear()
                 first.append(hs[:0] if own[-1] in seen else hs[np.lexsort((hs, rank))[: len(hs) // 5 + 1]])
                 seen.add(own[-1])
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, own)]
@@ -184,23 +188,29 @@ def alike(pairs: DataFrame, classes: DataFrame, rows: DataFrame, folder: str) ->
     found = materialize(found, f"{folder}/sets")
     both = pairs.join(_sided(found, "a", "own", "hs"), F.col("a") == F.col("own_a")).join(_sided(found, "b", "own", "hs"), F.col("b") == F.col("own_b"))
     shared = F.size(F.array_intersect("hs_a", "hs_b")).cast("long")
-    return materialize(both.where(9 * shared >= 4 * (F.size("hs_a") + F.size("hs_b"))).select("a", "b"), f"{folder}/alike")
+    out = materialize(both.where(9 * shared >= 4 * (F.size("hs_a") + F.size("hs_b"))).select("a", "b"), f"{folder}/alike")
+    for done in ("sets", "wanted", "sketches-alike"):
+        forget(rows.sparkSession, f"{folder}/{done}")
+    return out
 
 
 def groups(known: DataFrame, rows: DataFrame, folder: str) -> DataFrame:
     """(node, label): the sets that are alike, or linked by such as are, and their group's least one.
 
-    ``known`` is a written ``sketched`` table of ``rows``.
+    ``known`` is a ``sketched`` table of ``rows``, written to ``folder``/sketched; it goes as soon as it isn't needed, and so does
+    what each round has written on its way.
     """
+    spark = known.sparkSession
     classes = known.groupBy("own").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.min(F.struct("t1", "t2")).alias("text"))
     classes = materialize(classes, f"{folder}/classes")
     post = known.select("own", "n", F.posexplode("prefix").alias("at", "h"))
     several = post.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("of"))
     met = materialize(post.join(small_side(materialize(several, f"{folder}/several")), F.col("h") == F.col("of"), "left_semi").distinct().withColumn("of", F.col("own")), f"{folder}/met")
+    forget(spark, f"{folder}/sketched")
     hubs = materialize(hubs_of(met), f"{folder}/hubs-0")
     tried = materialize(by_fingerprint(classes).union(by_hub(met, hubs)).distinct(), f"{folder}/pairs-0")
     found = alike(tried, classes, rows, f"{folder}/0")
-    k, new = 0, found
+    k, new, before = 0, found, f"{folder}/met"
     while True:
         k += 1
         labels = simhash.components(found)
@@ -209,6 +219,9 @@ def groups(known: DataFrame, rows: DataFrame, folder: str) -> DataFrame:
         rest = materialize(grouped.join(hubs.select("h", "own"), ["h", "own"], "left_anti").select(*MET), f"{folder}/rest-{k}")
         mixed = rest.groupBy("h").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("h")
         left = materialize(rest.join(small_side(materialize(mixed, f"{folder}/mixed-{k}")), "h", "left_semi"), f"{folder}/left-{k}")
+        forget(spark, before)
+        forget(spark, f"{folder}/rest-{k}")
+        before = f"{folder}/left-{k}"
         size = left.groupBy("h", "of").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("s"))
         total = size.agg(F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("s")) / 2).alias("pairs")).first()
         if not total.pairs:
@@ -234,10 +247,11 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text")
     body = F.coalesce(inside(text), F.lit(""))
     place = {"p0": inside(key).isNull(), "p1": inside(key), "t1": F.xxhash64(body), "t2": F.xxhash64(F.lit(1), body)}
     bodies = box.select(place["t1"].alias("t1"), place["t2"].alias("t2"), body.alias("text"))
-    known = materialize(sketched(bodies), f"{folder}/sketched")
-    labels = groups(known, bodies, folder)
+    sketches = materialize(sketched(bodies), f"{folder}/sketched")
+    known = materialize(sketches.select("t1", "t2", "own"), f"{folder}/known")
+    labels = groups(sketches, bodies, folder)
     # Each text's group, for the texts of groups with several rows; the rest of the table is never moved.
-    grouped = known.select("t1", "t2", "own").join(labels, F.col("own") == F.col("node"), "left").select("t1", "t2", F.coalesce("label", "own").alias("label"))
+    grouped = known.join(labels, F.col("own") == F.col("node"), "left").select("t1", "t2", F.coalesce("label", "own").alias("label"))
     many = grouped.groupBy("label").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("label").alias("of"))
     of_text = grouped.join(many, F.col("label") == F.col("of"), "left_semi").distinct()
     of_text = small_side(materialize(of_text.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "label"), f"{folder}/groups"))
