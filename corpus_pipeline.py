@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanlake.llm import line_dedup, mixing, near_copies, packing, quality
-from spanlake.llm._common import drop_scratch, materialize, n_scratch, scratch_dir
+from spanlake.llm._common import forget, materialize, scratch_dir, scratch_run
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +51,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; what each returns is written to the shared scratch folder."""
+    """All stages on ``documents``; what each returns is written to the shared scratch folder, and goes once the next one has read it.
+
+    A stage's own scratch tables go when it ends, whether it fails or not.
+    """
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch_dir(spark)
-    for k, (name, stage) in enumerate(STAGES):
-        before = n_scratch()
-        docs = materialize(stage(spark, docs, sf_dir), f"{folder}/{k}-{name}")
-        drop_scratch(spark, before)  # what the stage wrote on its way
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            with scratch_run(spark):
+                docs = materialize(stage(spark, docs, sf_dir), f"{folder}/{k}-{name}")
+            if k:
+                forget(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
+    except BaseException:
+        forget(spark, folder)
+        raise
     return docs
