@@ -1,15 +1,20 @@
 """The pipeline's stages one after another, against plain versions of each on what the one before kept."""
 
+import threading
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import corpus_pipeline
 import public_tokenizers
+import pytest
 from _brute import AWKWARD, clashing, frame, groups, without_repeated_runs
+from pyspark import InheritableThread
 from test_near_copies import _alike, _shingles
 from test_quality import _prose, _verdicts
 from tokenizers import Tokenizer
 
 from spanlake.llm import mixing
+from spanlake.llm._common import numbered, scratch_dir
 
 
 def _docs():
@@ -58,6 +63,40 @@ def test_stages_match_plain_versions(spark):
     assert max(ends.values()) <= 2048
 
 
+def test_runs_keep_to_their_own_scratch_folders(spark, tmp_path, monkeypatch):
+    base, docs = Path(scratch_dir(spark).removeprefix("file://")).parent, f"{tmp_path}/sf"
+    listed = lambda: {f"{a.name}/{b.name}" for a in base.glob("*") for b in a.iterdir()}
+    frame(spark, _docs()).write.parquet(f"{docs}/documents.parquet")
+    before = listed()
+    both = threading.Barrier(2)
+
+    def wait(s, d, _):
+        both.wait(300)
+        return d
+
+    stages = corpus_pipeline.STAGES
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stages[0], ("wait", wait), stages[1], stages[3]])
+    out = [None, None]
+    threads = [InheritableThread(target=lambda k=k: out.__setitem__(k, corpus_pipeline.run(spark, docs))) for k in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(900)
+    assert out[0].count() == out[1].count() > 0
+    new = listed() - before
+    assert len(new) == 2 and {Path(x).name for x in new} == {"3-mix_sources"}  # the last stage's rows alone are left
+
+    def fail(s, d, _):
+        numbered(d, f"{scratch_dir(s)}/x", "n")
+        raise RuntimeError("on its way")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stages[0], ("fail", fail)])
+    before = listed()
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, docs)
+    assert listed() == before
+
+
 def test_stages_on_an_empty_table(spark):
     docs = frame(spark, [])
     for name, stage in corpus_pipeline.STAGES:
