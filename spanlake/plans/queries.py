@@ -14,6 +14,7 @@ from ..functions import payload
 from ..functions.patterns import Rule
 from ..operators import intervals, rows
 from ..schema import DAY, SECOND, events, ns
+from ..scratch import scratch_folder
 from ..sources import buckets
 from . import reports
 
@@ -179,6 +180,15 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets.names(source(spark, sf_dir)).select("bucket", F.lit("window").alias("type"), F.lit("watcher").alias("client"), F.when(last == "0", "unknown").otherwise(F.concat(F.lit("host-"), last)).alias("hostname"), F.lit(None).cast("timestamp").alias("created"), F.when(last == "1", F.lit('{"x":1,"$aw.sync.origin":"elsewhere"}')).otherwise("{}").alias("data"))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets written as documents in parts, of which those whose names end with 8 are put together and read back."""
+    folder, catalog = f"{scratch_folder(spark)}/documents", _catalog(spark, sf_dir)
+    buckets.write_documents(source(spark, sf_dir), catalog, folder)
+    for r in catalog.where(F.right("bucket", F.lit(1)) == "8").select("bucket").collect():
+        buckets.join_document(spark, folder, r.bucket, f"{folder}/whole/{r.bucket}.json")
+    return buckets.read_document(spark.read.text(f"{folder}/whole", wholetext=True))[1]
+
+
 _HOST_SQL = "CASE WHEN right(bucket, 1) = '0' THEN '{unknown}' ELSE 'host-' || right(bucket, 1) END"
 
 
@@ -221,6 +231,17 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "sum_durations": (lambda s, d: rows.sum_durations(source(s, d), "bucket"), f"WITH {_ev()} SELECT bucket, CAST(sum(end_ns - start_ns) // 1000000 AS BIGINT) AS duration_ms FROM ev GROUP BY bucket"),
     "import_dedup": (lambda s, d: buckets.import_new(source(s, d).withColumn("end_ns", F.when(F.col("id") % 7 == 0, F.col("end_ns") + 1).otherwise(F.col("end_ns"))), source(s, d).where("id % 2 = 0")), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS end_ns, data FROM ev WHERE id % 2 <> 0 OR id % 7 = 0"),
     "upsert": (lambda s, d: buckets.upsert(source(s, d), source(s, d).where("id % 10 = 0").withColumn("data", F.lit("{}"))), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, CASE WHEN id % 10 = 0 THEN '{{}}' ELSE data END AS data FROM ev"),
+    "upsert_repeated": (
+        lambda s, d: buckets.upsert(source(s, d), source(s, d).where("id % 10 = 0").withColumn("data", F.lit("{}")).unionByName(source(s, d).where("id % 20 = 0").withColumns({"start_ns": F.col("start_ns") + 1, "end_ns": F.col("end_ns") + 1}))),
+        f"WITH {_ev()} SELECT bucket, id, start_ns + CASE WHEN id % 20 = 0 THEN 1 ELSE 0 END AS start_ns, end_ns + CASE WHEN id % 20 = 0 THEN 1 ELSE 0 END AS end_ns, CASE WHEN id % 20 = 10 THEN '{{}}' ELSE data END AS data FROM ev",
+    ),
+    "insert_ids": (
+        lambda s, d: buckets.insert(source(s, d).where("id % 2 = 0"), source(s, d).where("id % 2 = 1").withColumn("id", F.expr("CASE WHEN id % 4 = 3 THEN id END"))),
+        f"WITH {_ev()}, top AS (SELECT max(CASE WHEN id % 4 <> 1 THEN id END) AS m FROM ev) SELECT bucket, id, start_ns, end_ns, data FROM ev WHERE id % 4 <> 1 UNION ALL SELECT bucket, m + row_number() OVER (ORDER BY bucket, start_ns, end_ns, data), start_ns, end_ns, data FROM ev, top WHERE id % 4 = 1",
+    ),
+    "replace_events": (lambda s, d: buckets.replace(source(s, d), source(s, d).where("id % 10 = 3").withColumn("end_ns", F.col("end_ns") + 1)), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns + CASE WHEN id % 10 = 3 THEN 1 ELSE 0 END AS end_ns, data FROM ev"),
+    "export_document": (_documents, f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, data FROM ev WHERE right(bucket, 1) = '8'"),
+    "unknown_hosts": (lambda s, d: buckets.unknown_hosts(_catalog(s, d)), f"WITH {_ev()} SELECT count(DISTINCT bucket) AS n FROM ev WHERE right(bucket, 1) = '0'"),
     "delete_events": (lambda s, d: buckets.delete(source(s, d), source(s, d).where("id % 3 = 1")), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, data FROM ev WHERE id % 3 <> 1"),
     "privacy_rules": (lambda s, d: buckets.redact(source(s, d), _RULES), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, CASE WHEN app IN ('error', 'view') AND bucket LIKE 'user-12%' THEN replace(data, app, 'REDACTED') WHEN app IN ('error', 'view') AND bucket LIKE 'user-1%' THEN replace(data, app, 'hidden') ELSE data END AS data FROM ev WHERE app <> 'purchase'"),
     "export_import": (lambda s, d: buckets.read_export(buckets.export(source(s, d))), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, data FROM ev"),

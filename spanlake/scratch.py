@@ -6,17 +6,21 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once and read again, under ``spark.checkpoint.dir``; only a local master may do without that setting."""
-    spark = df.sparkSession
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``; only a local master may do without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "spanlake-scratch")
-    path = f"{base.rstrip('/')}/spanlake/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/spanlake/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once and read again, in a folder of its own; it runs when this is called."""
+    path = scratch_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

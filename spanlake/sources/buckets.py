@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import payload
 from ..functions.patterns import java
 from ..operators.intervals import heartbeat_merge
 from ..schema import EVENT, EVENT_DDL
+from ..scratch import written
 
 #: A catalog of buckets.
 CATALOG_DDL = "bucket string, type string, client string, hostname string, created timestamp, data string"
@@ -52,9 +53,12 @@ def scan(events: DataFrame, bucket: str, lo: int | None = None, hi: int | None =
     return df
 
 
-def event(events: DataFrame, bucket: str, id: int) -> DataFrame:  # noqa: A002
-    """The event of an id."""
-    return events.where((F.col("bucket") == bucket) & (F.col("id") == id))
+def event(events: DataFrame, bucket: str, id: int, required: bool = False) -> DataFrame:  # noqa: A002
+    """The event of an id; if it is ``required``, KeyError where there is none, which runs a job when called."""
+    found = events.where((F.col("bucket") == bucket) & (F.col("id") == id))
+    if required and not found.limit(1).count():
+        raise KeyError(id)
+    return found
 
 
 def count(events: DataFrame, bucket: str, lo: int, hi: int) -> DataFrame:
@@ -86,10 +90,40 @@ def import_new(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return incoming.withColumn("_data", payload.canonical()).join(have, same, "left_anti").select(*incoming.columns)
 
 
+#: What says which of several events is the last: the order of a bucket.
+LAST = ("start_ns", "end_ns", "data", "bucket")
+
+
+def last_of_each_id(incoming: DataFrame) -> DataFrame:
+    """The events, of those of one id the last by ``LAST``; those without id all stay."""
+    own = F.struct(*LAST)
+    last = incoming.where("id is not null").groupBy("id").agg(F.max(own).alias("e")).select("e.bucket", "id", "e.start_ns", "e.end_ns", "e.data")
+    return incoming.where("id is null").select(*EVENT).unionByName(last)
+
+
 def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The table after an insert: an incoming id replaces the event that has it."""
+    """The table after an insert: an incoming id replaces the event that has it, in whatever bucket; of incoming events of
+    one id the last counts."""
     kept = existing.join(incoming.where("id is not null").select("id").distinct(), "id", "left_anti")
-    return kept.select(*EVENT).unionByName(incoming.select(*EVENT))
+    return kept.select(*EVENT).unionByName(last_of_each_id(incoming))
+
+
+def insert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """As ``upsert``, but incoming events without id get one: consecutive numbers above all that the table and they have.
+
+    Runs a job for the highest id, and those of ``with_ids``, when called.
+    """
+    highest = existing.select("id").unionByName(incoming.select("id")).agg(F.max("id")).first()[0] or 0
+    return upsert(existing, incoming.where("id is not null")).unionByName(with_ids(incoming.where("id is null"), highest).select(*EVENT))
+
+
+def replace(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The table with the incoming events in the places of those of their ids; KeyError if a bucket has no such event, which
+    runs a job when called."""
+    missing = incoming.select("bucket", "id").join(existing.select("bucket", "id"), ["bucket", "id"], "left_anti").limit(1).collect()
+    if missing:
+        raise KeyError(missing[0].id)
+    return upsert(existing, incoming)
 
 
 def delete(events: DataFrame, ids: DataFrame) -> DataFrame:
@@ -155,10 +189,15 @@ def rename_bucket(df: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def migrate_hostname(buckets: DataFrame, new: str) -> DataFrame:
-    """Buckets of host ``unknown`` get the new host."""
+    """Buckets of host ``unknown`` get the new host; ``unknown_hosts`` says how many they are."""
     return buckets.withColumn("hostname", F.when(F.col("hostname").isin("unknown", "Unknown"), new).otherwise(F.col("hostname")))
 
 
+def unknown_hosts(buckets: DataFrame) -> DataFrame:
+    """``n``: how many buckets ``migrate_hostname`` changes."""
+    return buckets.where(F.col("hostname").isin("unknown", "Unknown")).agg(F.count("*").alias("n"))
+
+
 def stamp(nanoseconds: Column) -> Column:
     """A time in nanoseconds as RFC 3339 text in UTC with nine digits."""
     whole = F.floor(nanoseconds / F.lit(1_000_000_000))
@@ -193,6 +232,54 @@ def export(events: DataFrame, buckets: DataFrame | None = None) -> DataFrame:
     return buckets.select("bucket", meta.alias("meta")).join(out, "bucket", "left").select("bucket", "event", "meta")
 
 
+def _bucket_json() -> Column:
+    """A catalog row as the JSON object of a bucket, without its last brace."""
+    meta = F.to_json(F.struct(F.col("bucket").alias("id"), "type", "client", "hostname", F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("created"), F.try_parse_json("data").alias("data")))
+    return F.regexp_replace(meta, "[}]$", "")
+
+
+def write_documents(events: DataFrame, buckets: DataFrame, folder: str, parts: int | None = None) -> None:
+    """Write each bucket's export document ``{"buckets": {name: bucket with events}}`` in parts, which ``join_document`` puts together.
+
+    A head has the catalog row and the first event; the other events, in order of (start_ns, id), are spread over as many parts
+    as there are ranges of them (``parts`` over all buckets, or as Spark chooses), each with the comma before it; so no task holds a bucket. A bucket without events has a head alone, and events
+    of buckets that aren't in the catalog aren't written.
+    """
+    rows = written(events.join(buckets.select("bucket"), "bucket", "left_semi").withColumn("_at", F.monotonically_increasing_id()))
+    first = rows.groupBy("bucket").agg(F.min(F.struct("start_ns", "id", "_at"))["_at"].alias("_first"))
+    firsts = rows.join(first.select("_first"), F.col("_at") == F.col("_first"), "left_semi").select("bucket", _event_json().alias("event"))
+    name = F.to_json(F.struct(F.array("bucket").alias("x")))
+    head = F.concat(F.lit('{"buckets":{'), F.regexp_extract(name, "^.*?\\[(.*)\\][}]$", 1), F.lit(":"), _bucket_json(), F.lit(',"events":['), F.coalesce("event", F.lit("")))
+    heads = buckets.join(firsts, "bucket", "left").select("bucket", head.alias("value"))
+    heads.write.partitionBy("bucket").text(f"{folder}/heads")
+    rest = rows.join(first.select("_first"), F.col("_at") == F.col("_first"), "left_anti")
+    ordered = rest.repartitionByRange(*([parts] if parts else []), "bucket", "start_ns", "id", "_at").sortWithinPartitions("bucket", "start_ns", "id", "_at")
+    ordered.select("bucket", F.concat(F.lit(","), _event_json()).alias("value")).write.partitionBy("bucket").text(f"{folder}/parts")
+
+
+def join_document(spark: SparkSession, folder: str, bucket: str, target: str) -> None:
+    """Put the parts of a bucket's document together in one file, as a stream of bytes; KeyError if there is no such bucket."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(bucket)
+    fs = hadoop.Path(folder).getFileSystem(conf)
+    files = []
+    for kind in ("heads", "parts"):
+        at = hadoop.Path(f"{folder}/{kind}/bucket={escape}")
+        files += sorted(str(f.getPath()) for f in fs.listStatus(at) if f.getPath().getName().startswith("part-")) if fs.exists(at) else []
+    if not files:
+        raise KeyError(bucket)
+    end = hadoop.Path(target)
+    out = end.getFileSystem(conf).create(end, True)
+    try:
+        for f in files:
+            source = fs.open(hadoop.Path(f))
+            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            source.close()
+        out.write(bytearray(b"]}}}"))
+    finally:
+        out.close()
+
+
 def read_export(lines: DataFrame, bucket: str = "bucket", event: str = "event", kept: str | None = None) -> DataFrame:
     """Events of JSON documents.
 
@@ -301,6 +388,19 @@ def compact_synced(dest: DataFrame) -> DataFrame:
 
 
 def with_ids(events: DataFrame, above: int = 0) -> DataFrame:
-    """Give ids, increasing with start within a bucket, to a table of new events."""
-    at = F.row_number().over(Window.partitionBy("bucket").orderBy("start_ns", "end_ns", "data"))
-    return events.withColumn("id", at + above)
+    """Consecutive ids above a number, in order of bucket, start, end and data, for a table of new events.
+
+    Rows are sorted by ranges and numbered within each, and a range begins after the rows of those before it (a count a
+    range); no bucket is gathered. The events are written when this is called.
+    """
+    order = ("bucket", "start_ns", "end_ns", "data")
+    place = F.monotonically_increasing_id()
+    rows = written(events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", place))
+    part, nth = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = {r.part: r.n for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # a row a range
+    base, total = [], above + 1
+    for k in sorted(counts):
+        base.append((k, total))
+        total += counts[k]
+    bases = rows.sparkSession.createDataFrame(base, "_part long, _base long")
+    return rows.join(F.broadcast(bases), part == F.col("_part")).withColumn("id", F.col("_base") + nth).select(*events.columns)

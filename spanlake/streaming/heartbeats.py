@@ -1,50 +1,154 @@
-"""Heartbeat merging on Structured Streaming."""
+"""Heartbeat merging on Structured Streaming: a stateful operator, and a sink whose replays change nothing.
+
+A bucket's last event is its state. It may come from a stored table, so that a stream without a checkpoint
+goes on with the last event that an earlier one has stored.
+"""
 
 from __future__ import annotations
 
+import heapq
+import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import payload
 from ..sources.buckets import redact
 
 OUT = "bucket string, seq long, start_ns long, end_ns long, data string"
-STATE = "seq long, start_ns long, end_ns long, data string"
+#: The number that the next event gets, and the last event.
+STATE = "next long, seq long, start_ns long, end_ns long, data string"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def merge_stream(beats: DataFrame, pulse_ns: int, rules: list[dict] | None = None) -> DataFrame:
-    """Merge a stream of (bucket, at, start_ns, end_ns, data) as it arrives; ``at`` orders arrival.
+def in_order(frames: Iterator) -> Iterator[tuple]:
+    """(start, end, data, reset) of the rows of pandas frames in order of arrival; each frame is sorted by itself, and none are joined."""
 
-    A bucket's last event is its state. A heartbeat with equal data (as JSON objects) that starts within it or
-    up to ``pulse_ns`` after its end extends it; any other becomes the last event, even if it is older. Each
-    batch gives the events that are new or longer, keyed by (bucket, seq): upsert them on that key.
-    Privacy ``rules`` are applied to heartbeats before they merge. With a column ``reset`` a row for which it is true
-    isn't a heartbeat: it says that events were inserted otherwise, and has the bucket's newest
-    event, which becomes the state; it is given out only once a heartbeat extends it.
-    A bucket's heartbeats are one sequence and so one group, but only a batch of them at a time.
-    """
+    def rows(frame):
+        frame = frame.sort_values(["at", "start_ns"], kind="stable")
+        return zip(*(frame[c].tolist() for c in ("at", "start_ns", "end_ns", "data", "reset")), strict=True)
+
+    return (row[1:] for row in heapq.merge(*map(rows, frames), key=lambda r: r[:2]))
+
+
+class LastEvent(StatefulProcessor):
+    """The fold of ``merge_stream`` for one bucket."""
+
+    def __init__(self, pulse_ns: int):
+        self.pulse_ns = pulse_ns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", STATE)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        row = initialState.iloc[0]
+        self.last.update((int(row["next"]), int(row["seq"]), int(row["start_ns"]), int(row["end_ns"]), row["data"]))
 
-    def fold(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N802, N803
         import pandas as pd
 
-        last = list(state.get) if state.exists else None
+        last = list(self.last.get()) if self.last.exists() else None
         changed: dict[int, list] = {}
-        rows = pd.concat(list(frames)).sort_values(["at", "start_ns"], kind="stable")
-        for start, end, data, reset in zip(rows["start_ns"].tolist(), rows["end_ns"].tolist(), rows["data"].tolist(), rows["reset"].tolist(), strict=True):
-            if not reset and last and last[3] == data and last[1] <= start <= last[2] + pulse_ns:
-                last[2] = max(last[2], end)
+        for start, end, data, reset in in_order(rows):
+            if not reset and last and last[4] == data and last[2] <= start <= last[3] + self.pulse_ns:
+                last[3] = max(last[3], end)
             else:
-                last = [last[0] + 1 if last else 0, start, end, data]
+                n = last[0] if last else 0
+                last = [n + 1, n, start, end, data]
             if not reset:
-                changed[last[0]] = [key[0], *last]
+                changed[last[1]] = [key[0], *last[1:]]
         if last:
-            state.update(tuple(last))
+            self.last.update(tuple(last))
         yield pd.DataFrame(list(changed.values()), columns=["bucket", "seq", "start_ns", "end_ns", "data"])
 
+    def close(self) -> None:
+        pass
+
+
+def merge_stream(beats: DataFrame, pulse_ns: int, rules: list[dict] | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """Merge a stream of (bucket, at, start_ns, end_ns, data) as it arrives; ``at`` orders arrival.
+
+    A heartbeat with equal data (as JSON objects) as its bucket's last event that starts within it or up to
+    ``pulse_ns`` after its end extends it; any other becomes the last event, even if it is older. Each
+    batch gives the events that are new or longer, keyed by (bucket, seq): upsert them on that key, see ``store``.
+    Privacy ``rules`` are applied to heartbeats before they merge. With a column ``reset`` a row for which it is true
+    isn't a heartbeat: it says that events were inserted otherwise, and has the bucket's newest
+    event, which becomes the state; it is given out only once a heartbeat extends it.
+
+    ``stored`` is a table of (bucket, seq, start_ns, end_ns, data) to begin with, where there is no checkpoint: of each
+    bucket the event that starts last is its last event, and numbers go on after its highest.
+    A bucket's heartbeats are one sequence and so one group, but only a batch of them at a time. Building the plan sets the
+    session's state store to RocksDB, which the operator needs when its query starts.
+    """
     reset = F.coalesce("reset", F.lit(False)) if "reset" in beats.columns else F.lit(False)
     beats = beats.select("bucket", "at", "start_ns", "end_ns", "data", reset.alias("reset"))
     beats = redact(beats, rules or []).withColumn("data", payload.canonical())
-    return beats.groupBy("bucket").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    beats.sparkSession.conf.set(PROVIDER, ROCKS)
+    known = None if stored is None else last_events(stored).groupBy("bucket")
+    return beats.groupBy("bucket").transformWithStateInPandas(LastEvent(pulse_ns), OUT, "Update", "None", known)
+
+
+def last_events(stored: DataFrame) -> DataFrame:
+    """(bucket, next, seq, start_ns, end_ns, data): of each bucket of a table of events the one that starts last, the highest number of equals, and the number after all."""
+    newest = stored.groupBy("bucket").agg(F.max(F.struct("start_ns", "seq", "end_ns", "data")).alias("e"), (F.max("seq") + 1).alias("next"))
+    return newest.select("bucket", "next", "e.seq", "e.start_ns", "e.end_ns", payload.canonical(F.col("e.data")).alias("data"))
+
+
+# Stored events --------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """The events (bucket, seq, start_ns, end_ns, data) that ``store`` keeps under a path; none if there is nothing yet.
+
+    An event only ever gets longer, so of the rows of one number the longest is it, whatever batches they came with.
+    """
+    at, fs = _folder(spark, path)
+    if not fs.exists(at):
+        return spark.createDataFrame([], OUT)
+    rows = spark.read.schema(OUT).option("recursiveFileLookup", "true").parquet(path)
+    return rows.groupBy("bucket", "seq").agg(F.max(F.struct("end_ns", "start_ns", "data")).alias("e")).select("bucket", "seq", "e.start_ns", "e.end_ns", "e.data")
+
+
+def store(path: str):
+    """A ``foreachBatch`` function that keeps the events of ``merge_stream`` under a path.
+
+    Each batch has a folder of its own, named by its query and number. A batch that runs again replaces its folder, so
+    replays change nothing; nor do rows that several queries have stored.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        batch.write.mode("overwrite").parquet(f"{path}/{query}-{number:012d}")
+
+    return put
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Put the events under a path together in one folder, and delete those it has been made from. No query may store there meanwhile.
+
+    If it is stopped on its way nothing is lost: rows that stand twice count once.
+    """
+    at, fs = _folder(spark, path)
+    old = [f.getPath() for f in fs.listStatus(at)]
+    read_stored(spark, path).repartition("bucket").sortWithinPartitions("bucket", "start_ns").write.parquet(f"{path}/compact-{uuid.uuid4().hex}")
+    for folder in old:
+        fs.delete(folder, True)
+
+
+def start(beats: DataFrame, path: str, checkpoint: str, pulse_ns: int, rules: list[dict] | None = None, **trigger) -> StreamingQuery:
+    """Merge a stream of heartbeats into the events stored under a path, and begin with those that are there.
+
+    With a checkpoint the query goes on from that, else from what is stored. ``trigger`` is as for ``DataStreamWriter.trigger``.
+    """
+    spark = beats.sparkSession
+    merged = merge_stream(beats, pulse_ns, rules, read_stored(spark, path))
+    return merged.writeStream.foreachBatch(store(path)).outputMode("update").option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "15 seconds"})).start()
