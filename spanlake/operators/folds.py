@@ -169,6 +169,15 @@ def cut_points(rows: DataFrame, most: int) -> dict[str | None, np.ndarray]:
     return out
 
 
+def no_cuts(*frames: DataFrame, most: int | None = None) -> int | None:
+    """The ``span`` for operators on these frames and on what is made of them: 0 if no bucket has more than ``most`` rows in them
+    together, so that nothing need be counted again, else None. Runs a job when called."""
+    names = frames[0].select("bucket")
+    for f in frames[1:]:
+        names = names.unionAll(f.select("bucket"))
+    return 0 if (names.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0) <= (most or PART_ROWS) else None
+
+
 def spans(rows: DataFrame, span: int) -> dict[str | None, np.ndarray]:
     """Cut points every ``span`` nanoseconds, for each bucket."""
     reach = rows.groupBy("bucket").agg(F.min("start_ns").alias("lo"), F.max("start_ns").alias("hi")).collect()

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions import payload
 from ..schema import EVENT
+from ..scratch import written
 from . import sweep
-from .folds import Fold, fold_events
+from .folds import Fold, fold_events, no_cuts
 
 
 def merge_same(events: DataFrame, pulse_ns: int, touching: bool, span: int | None = None, share: bool = False) -> DataFrame:
@@ -61,7 +62,7 @@ def furthest(events: DataFrame, span: int | None = None) -> DataFrame:
     return fold_events(events, None, Fold(limit=None, by_key=False, label=True), span).drop("island")
 
 
-def overlaps(left: DataFrame, right: DataFrame, by: str = "bucket", width: int | None = None) -> DataFrame:
+def overlaps(left: DataFrame, right: DataFrame, by: str = "bucket", width: int | None = None, small: bool = False) -> DataFrame:
     """Pairs of rows whose intervals share more than a point, as left's columns and right's with ``r_``.
 
     Pairs are found by sorted starts, see ``sweep``. With ``width`` both sides are cut into bins of so many nanoseconds
@@ -70,7 +71,7 @@ def overlaps(left: DataFrame, right: DataFrame, by: str = "bucket", width: int |
     """
     right = right.where("end_ns > start_ns")
     if width is None:
-        return sweep.join(left, right, by)
+        return sweep.join(left, right, by, small=small)
     bins = lambda: F.explode(F.sequence(F.floor(F.col("start_ns") / F.lit(width)), F.floor((F.col("end_ns") - 1) / F.lit(width)))).alias("_bin")
     a = left.where("end_ns > start_ns").select("*", bins())
     b = right.select("*", bins())
@@ -86,9 +87,12 @@ def period_intersect(events: DataFrame, periods: DataFrame, width: int | None =
     Periods of a bucket are united first, unless they are ``united`` already. Zero-length events and
     periods give nothing, nor do touching ones.
     """
+    if span is None and width is None:
+        periods = written(periods.select(*EVENT))  # fewer than the events, as a rule
+        span = no_cuts(events, periods)
     if not united:
         periods = period_union(periods.where("end_ns > start_ns"), span=span)
-    pairs = overlaps(events.select(*EVENT), periods.select("bucket", "start_ns", "end_ns"), width=width)
+    pairs = overlaps(events.select(*EVENT), periods.select("bucket", "start_ns", "end_ns"), width=width, small=span == 0)
     return pairs.select("bucket", "id", F.greatest("start_ns", "r_start_ns").alias("start_ns"), F.least("end_ns", "r_end_ns").alias("end_ns"), "data")
 
 

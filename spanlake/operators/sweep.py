@@ -61,19 +61,22 @@ def matches(group: np.ndarray, left: np.ndarray, start: np.ndarray, end: np.ndar
         yield a[places[keep]], b[rows[keep]]
 
 
-def join(left: DataFrame, right: DataFrame, by: str = "bucket", most: int | None = None) -> DataFrame:
+def join(left: DataFrame, right: DataFrame, by: str = "bucket", most: int | None = None, small: bool = False) -> DataFrame:
     """Pairs of rows whose intervals share more than a point, as left's columns and right's with ``r_``.
 
     A right row without length meets the left rows that it lies in or at the start of; left rows without length meet none.
-    Both sides are written, and their rows a bucket counted, when this is called.
+    Both sides are written, and their rows a bucket counted, when this is called, unless they are said to be ``small``.
     """
     sides = []
     for df, name, other in ((left.where("end_ns > start_ns"), "l", right), (right, "r", left)):
         box, none = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(name), F.lit(None).cast(other.select(F.struct(*(F.col(f"`{c}`") for c in other.columns))).schema[0].dataType)
         own = [F.col(by).cast("string").alias("bucket"), "start_ns", "end_ns", F.lit(name == "l").alias("left")]
         sides.append(df.select(*own, *([box, none.alias("r")] if name == "l" else [none.alias("l"), box])))
-    both = written(sides[0].unionByName(sides[1]))
-    cuts = folds.cut_points(both, most or folds.PART_ROWS)
+    both = sides[0].unionByName(sides[1])
+    cuts = {}
+    if not small:
+        both = written(both)
+        cuts = folds.cut_points(both, most or folds.PART_ROWS)
     both = folds.with_part(both, cuts, whole=True) if cuts else both.withColumns({"part": F.lit(-1).cast("long"), "own": F.lit(True)})
 
     def run(batches):

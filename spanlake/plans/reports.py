@@ -8,36 +8,37 @@ from pyspark.sql import functions as F
 from ..functions import payload
 from ..functions.patterns import BROWSERS, DEFAULT_CATEGORIES, Rule
 from ..operators import intervals, rows
+from ..operators.folds import no_cuts
 from ..scratch import written
 
 #: Rows of a report's lists.
 TOP = 100
 
 
-def active_periods(afk: DataFrame, window: DataFrame | None = None, always_active: str | None = None, audible: DataFrame | None = None) -> DataFrame:
+def active_periods(afk: DataFrame, window: DataFrame | None = None, always_active: str | None = None, audible: DataFrame | None = None, span: int | None = None) -> DataFrame:
     """When the user was at work: status not-afk, or an always-active app or title, or an audible tab."""
-    active = rows.filter_keyvals(intervals.flood(afk), "status", ["not-afk"])
+    active = rows.filter_keyvals(intervals.flood(afk, span=span), "status", ["not-afk"])
     parts = [active]
     if always_active and window is not None:
         parts += [rows.filter_regex(window, key, always_active) for key in ("app", "title")]
     if audible is not None:
         parts.append(rows.filter_keyvals(audible, "audible", [True]))
-    return intervals.period_union(*parts)
+    return intervals.period_union(*parts, span=span)
 
 
-def browser_events(window: DataFrame, browsers: dict[str, DataFrame]) -> DataFrame | None:
+def browser_events(window: DataFrame, browsers: dict[str, DataFrame], span: int | None = None) -> DataFrame | None:
     """Tab events of each browser while one of its windows was in front, with the URL's parts as columns."""
     out = None
     for name, tabs in browsers.items():
         front = rows.filter_keyvals(window, "app", BROWSERS[name])
-        own = intervals.period_intersect(written(intervals.flood(tabs)), front)
+        own = intervals.period_intersect(intervals.flood(tabs, span=span), front, span=span)
         out = own if out is None else out.unionByName(own)
     return None if out is None else rows.split_url(out, payload.text(out, "url"))
 
 
-def canonical_events(window: DataFrame, active: DataFrame | None = None, classes: list[tuple[list[str], Rule]] = DEFAULT_CATEGORIES, only: list[list[str]] | None = None) -> DataFrame:
+def canonical_events(window: DataFrame, active: DataFrame | None = None, classes: list[tuple[list[str], Rule]] = DEFAULT_CATEGORIES, only: list[list[str]] | None = None, span: int | None = None) -> DataFrame:
     """Flooded window events, cut to the active periods (united ones), categorised, and of the categories ``only`` if given."""
-    out = window if active is None else intervals.period_intersect(window, active, united=True)
+    out = window if active is None else intervals.period_intersect(window, active, united=True, span=span)
     out = rows.categorize(out, classes)
     return out.where(F.to_json("category").isin([payload.literal(c) for c in only])) if only else out
 
@@ -48,11 +49,13 @@ def desktop_report(window: DataFrame, afk: DataFrame | None = None, browsers: di
     All frames must carry the same bucket name, which stands for the user or device. Window events are flooded
     once, and what several rollups read is written once.
     """
-    flooded = written(intervals.flood(window))
-    tabs = browser_events(flooded, browsers) if browsers else None
+    # What is made of the frames has hardly more rows a bucket than they have together.
+    span = no_cuts(window, *([] if afk is None else [afk]), *(browsers or {}).values())
+    flooded = written(intervals.flood(window, span=span))
+    tabs = browser_events(flooded, browsers, span) if browsers else None
     tabs = None if tabs is None else written(tabs)
-    active = None if afk is None else written(active_periods(afk, flooded, always_active, tabs))
-    events = canonical_events(flooded, active, classes, only)
+    active = None if afk is None else written(active_periods(afk, flooded, always_active, tabs, span))
+    events = canonical_events(flooded, active, classes, only, span)
     out = {
         "events": events,
         "title_events": rows.longest(rows.merge_by_keys(events, ["app", "title"]), top),
