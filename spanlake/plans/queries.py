@@ -15,7 +15,7 @@ from ..functions.patterns import Rule
 from ..operators import intervals, rows
 from ..schema import DAY, SECOND, events, ns
 from ..scratch import scratch_folder
-from ..sources import buckets
+from ..sources import buckets, documents
 from . import reports
 
 CLASSES = [(["Shop"], Rule("purchase|signup", keys=("app",))), (["Shop", "Buy"], Rule("^PUR", True)), (["Web"], Rule("click$")), (["Fault"], Rule("error|purchase"))]
@@ -180,13 +180,17 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets.names(source(spark, sf_dir)).select("bucket", F.lit("window").alias("type"), F.lit("watcher").alias("client"), F.when(last == "0", "unknown").otherwise(F.concat(F.lit("host-"), last)).alias("hostname"), F.lit(None).cast("timestamp").alias("created"), F.when(last == "1", F.lit('{"x":1,"$aw.sync.origin":"elsewhere"}')).otherwise("{}").alias("data"))
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _whole(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return buckets.read_document(spark.read.text(path, wholetext=True))
+
+
+def _documents(spark: SparkSession, sf_dir: str, read: Callable[[SparkSession, str], tuple[DataFrame, DataFrame]] = _whole) -> DataFrame:
     """Buckets written as documents in parts, of which those whose names end with 8 are put together and read back."""
     folder, catalog = f"{scratch_folder(spark)}/documents", _catalog(spark, sf_dir)
     buckets.write_documents(source(spark, sf_dir), catalog, folder)
     for r in catalog.where(F.right("bucket", F.lit(1)) == "8").select("bucket").collect():
         buckets.join_document(spark, folder, r.bucket, f"{folder}/whole/{r.bucket}.json")
-    return buckets.read_document(spark.read.text(f"{folder}/whole", wholetext=True))[1]
+    return read(spark, f"{folder}/whole")[1]
 
 
 _HOST_SQL = "CASE WHEN right(bucket, 1) = '0' THEN '{unknown}' ELSE 'host-' || right(bucket, 1) END"
@@ -241,6 +245,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     ),
     "replace_events": (lambda s, d: buckets.replace(source(s, d), source(s, d).where("id % 10 = 3").withColumn("end_ns", F.col("end_ns") + 1)), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns + CASE WHEN id % 10 = 3 THEN 1 ELSE 0 END AS end_ns, data FROM ev"),
     "export_document": (_documents, f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, data FROM ev WHERE right(bucket, 1) = '8'"),
+    "import_document": (lambda s, d: _documents(s, d, documents.read_documents), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, data FROM ev WHERE right(bucket, 1) = '8'"),
     "unknown_hosts": (lambda s, d: buckets.unknown_hosts(_catalog(s, d)), f"WITH {_ev()} SELECT count(DISTINCT bucket) AS n FROM ev WHERE right(bucket, 1) = '0'"),
     "delete_events": (lambda s, d: buckets.delete(source(s, d), source(s, d).where("id % 3 = 1")), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, data FROM ev WHERE id % 3 <> 1"),
     "privacy_rules": (lambda s, d: buckets.redact(source(s, d), _RULES), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, CASE WHEN app IN ('error', 'view') AND bucket LIKE 'user-12%' THEN replace(data, app, 'REDACTED') WHEN app IN ('error', 'view') AND bucket LIKE 'user-1%' THEN replace(data, app, 'hidden') ELSE data END AS data FROM ev WHERE app <> 'purchase'"),

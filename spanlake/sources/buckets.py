@@ -198,6 +198,47 @@ def unknown_hosts(buckets: DataFrame) -> DataFrame:
     return buckets.where(F.col("hostname").isin("unknown", "Unknown")).agg(F.count("*").alias("n"))
 
 
+def _stored(spark: SparkSession, path: str, bucket: str):
+    """The folder of a bucket in a table that ``write`` has written, and its file system."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={escape(bucket)}")
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete_stored(spark: SparkSession, path: str, name: str) -> None:
+    """Delete a bucket of a stored table; KeyError if there is none. Files of other buckets aren't touched."""
+    at, fs = _stored(spark, path, name)
+    if not fs.exists(at):
+        raise KeyError(name)
+    fs.delete(at, True)
+
+
+def rename_stored(spark: SparkSession, path: str, old: str, new: str) -> None:
+    """Give a bucket of a stored table another name, by its folder; KeyError if there is none, ValueError if the name is taken."""
+    (a, fs), (b, _) = _stored(spark, path, old), _stored(spark, path, new)
+    if not fs.exists(a):
+        raise KeyError(old)
+    if fs.exists(b):
+        raise ValueError(f"bucket {new} exists")
+    fs.rename(a, b)
+
+
+def migrate_stored(spark: SparkSession, path: str, old: str, new: str) -> int:
+    """``new`` for the prefix ``old`` of the names of a stored table's buckets; one whose new name is taken keeps its own. Returns how many moved."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    folders = [f.getPath().getName() for f in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)]
+    moved = 0
+    for name in sorted(unescape(f.removeprefix("bucket=")) for f in folders if f.startswith("bucket=")):
+        if name.startswith(old):
+            try:
+                rename_stored(spark, path, name, new + name[len(old) :])
+                moved += 1
+            except ValueError:
+                continue
+    return moved
+
+
 def stamp(nanoseconds: Column) -> Column:
     """A time in nanoseconds as RFC 3339 text in UTC with nine digits."""
     whole = F.floor(nanoseconds / F.lit(1_000_000_000))

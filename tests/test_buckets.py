@@ -1,12 +1,13 @@
 """Ids, replacements and whole documents."""
 
 import json
+import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanlake.schema import EVENT_DDL
-from spanlake.sources import buckets
+from spanlake.sources import buckets, legacy
 
 
 def frame(spark, rows):
@@ -58,3 +59,47 @@ def test_documents_in_parts(spark, tmp_path):
     found, back = buckets.read_document(spark.read.text(f"{tmp_path}/whole", wholetext=True))
     assert sorted(r.bucket for r in found.collect()) == ['a "quoted"/name', "b", "empty"]
     assert got(back) == got(events.where(F.col("bucket") != "not in the catalog"))
+
+
+def test_stored_buckets_leave_others_untouched(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    buckets.write(frame(spark, [(b, 1, 0, 1, b) for b in ("user-1", "user-2", "person-2", "odd/name", "else")]), path)
+    files = lambda: {(str(f.relative_to(path)), f.stat().st_mtime_ns) for f in (tmp_path / "t").rglob("part-*")}
+    before = files()
+    buckets.delete_stored(spark, path, "odd/name")
+    left = files()
+    assert left < before and len(left) == 4
+    buckets.rename_stored(spark, path, "else", "new/name")
+    assert len(files() & left) == 3 and sorted(r[0] for r in got(buckets.read(spark, path))) == ["new/name", "person-2", "user-1", "user-2"]
+    assert buckets.migrate_stored(spark, path, "user-", "person-") == 1
+    assert sorted(r[0] for r in got(buckets.read(spark, path))) == ["new/name", "person-1", "person-2", "user-2"]
+    with pytest.raises(KeyError):
+        buckets.delete_stored(spark, path, "none")
+    with pytest.raises(KeyError):
+        buckets.rename_stored(spark, path, "none", "x")
+    with pytest.raises(ValueError):
+        buckets.rename_stored(spark, path, "user-2", "person-2")
+
+
+def test_legacy_files(spark, tmp_path):
+    path = f"{tmp_path}/old.db"
+    with sqlite3.connect(path) as con:
+        con.execute("CREATE TABLE bucketmodel (key INTEGER PRIMARY KEY, id TEXT, type TEXT, client TEXT, hostname TEXT, created TEXT)")
+        con.execute("CREATE TABLE eventmodel (id INTEGER PRIMARY KEY, bucket_id INTEGER, timestamp TEXT, duration REAL, datastr TEXT)")
+        con.executemany("INSERT INTO bucketmodel VALUES (?, ?, 't', 'c', 'h', '2020-01-01 00:00:00.5+00:00')", [(1, "a"), (2, "b"), (3, "empty")])
+        rows = [(1, f"2000-01-01 00:00:{k:02d}.123456+01:00", k + 0.5, json.dumps({"n": k})) for k in range(50)]
+        rows += [(2, "2000-01-01 00:00:00+00:00", 0.0, bad) for bad in ("no json", "[1]", "{")] + [(2, "2000-01-01 00:00:00+00:00", 1.25, '{ "b":1, "a":2 }')]
+        con.executemany("INSERT INTO eventmodel (bucket_id, timestamp, duration, datastr) VALUES (?, ?, ?, ?)", rows)
+    catalog, events = legacy.read_legacy(spark, path, rows=7)
+    assert sorted(r.bucket for r in catalog.collect()) == ["a", "b", "empty"] and catalog.first().created is not None
+    s = 1_000_000_000
+    start = (946684800 - 3600) * s + 123456000
+    want = [("a", None, start + k * s, start + k * s + k * s + s // 2, f'{{"n":{k}}}') for k in range(50)] + [("b", None, 946684800 * s, 946684800 * s + 5 * s // 4, '{"a":2,"b":1}')]
+    assert got(events) == sorted(want, key=str)
+    one = legacy.read_legacy(spark, path, "b", rows=7)[1]
+    assert got(one) == want[-1:]
+    with pytest.raises(KeyError):
+        legacy.read_legacy(spark, path, "none")
+    reader = legacy.Reader(path, 7)
+    assert list(reader.pushFilters([legacy.EqualTo(("bucket_key",), 2)])) == [] and len(reader.partitions()) == 8
+    assert sum(len(list(reader.read(p))) for p in reader.partitions()) == 4
