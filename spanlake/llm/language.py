@@ -122,7 +122,11 @@ def fit(x: np.ndarray, y: list[str], steps: int = 150, penalty: float = 1e-5) ->
 
 
 def sample(docs: DataFrame, labelled: Column, key: str, text: str, lang: str, per_lang: int = SAMPLE, in_all: int = SAMPLE_ALL) -> tuple[np.ndarray, list[str]]:
-    """Features and languages of the rows to fit on: those of lowest key hash, which thins each language to the bound."""
+    """Features and languages of the rows to fit on: those of lowest key hash, which thins each language to the bound.
+
+    At most 2 * ``in_all`` rows leave Spark, whatever keys are repeated. Null texts count as empty, rows without a
+    language aren't asked; no rows give no features.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -138,7 +142,8 @@ def sample(docs: DataFrame, labelled: Column, key: str, text: str, lang: str, pe
         return np.zeros((0, BUCKETS), np.float32), []
     each = min(per_lang, in_all // len(counts) or 1)
     limit = F.element_at(F.create_map(*(F.lit(v) for lang_n in counts.items() for v in (lang_n[0], int(2**30 * min(1.0, each / lang_n[1]))))), F.col("lang"))
-    got = rows.where(F.col("order") <= limit).select("lang", "text").mapInArrow(run, "lang string, kind string, x binary").collect()
+    some = rows.where(F.col("order") <= limit).orderBy("order", F.xxhash64("text")).limit(2 * in_all).repartition(16)
+    got = some.select("lang", "text").mapInArrow(run, "lang string, kind string, x binary").collect()
     got = sorted(sorted(got, key=lambda r: (zlib.crc32(r.x), r.x))[: 2 * in_all], key=lambda r: (r.lang, r.x))  # no language goes as a whole
     return np.array([np.frombuffer(zlib.decompress(r.x), r.kind).astype(np.float32) for r in got]).reshape(-1, BUCKETS), [r.lang for r in got]
 

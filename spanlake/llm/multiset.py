@@ -147,7 +147,8 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """Each row with the fingerprint of its edited text and of the next row's: see the query's contract.
 
     Of a part's rows only the one before is held. Rows of one key and one text are next to one another.
-    A row alone in its table is followed by itself.
+    A row alone in its table is followed by itself. Null texts count as empty, null keys come first, ties are in order of
+    their texts' hashes, repeated rows come out as often, an empty table gives no rows; other columns are ignored, whatever their names.
     """
     sent = with_next(docs, key, text)
     kind = sent.schema["key"].dataType.simpleString()

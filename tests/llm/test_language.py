@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
-from _brute import AWKWARD, frame
+from _brute import AWKWARD, clashing, frame
 from pyspark.sql import functions as F
 
 from spanlake.llm import language
@@ -50,3 +50,11 @@ def test_awkward_rows_and_few_languages(spark, labels):
     for r, (_, t, _) in zip(sorted(out, key=lambda r: (r.doc_id is None, r.doc_id)), rows):
         assert (r.lang_pred == "und") == (not labels or not any(c.isalpha() for c in t or ""))
     assert language.predict(frame(spark, []), language.fit(language.unit(x), y)).count() == 0
+
+
+def test_samples_are_bounded_and_columns_may_clash(spark):
+    docs = spark.range(3000).selectExpr("7 as doc_id", "concat('the same key ', id) as text", "'en' as lang")
+    x, y = language.sample(docs, F.lit(True), "doc_id", "text", "lang", per_lang=5000, in_all=50)
+    assert len(y) <= 100 and x.shape[0] == len(y)
+    odd = clashing(frame(spark, [(1, "the end", "s")]), ["key", "lang_pred", "score", "ambiguous", "order"])
+    assert language.predict(odd, language.fit(x, y)).columns == ["doc_id", "lang_pred", "score", "ambiguous"]

@@ -68,6 +68,41 @@ def test_token_files_round_trip(spark, tmp_path):
     assert token_files.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_packing_of_clashing_columns_and_few_rows(spark):
+    odd = clashing(frame(spark, [(1, "one two", "s"), (None, None, None), (1, "one two", "s")]), ["key", "ids", "length", "piece", "start", "offset", "sequence_id", "n", "rank"])
+    out = packing.pack_documents(odd).collect()
+    # Three, one and three ids fit in one sequence.
+    assert sorted(r.length for r in out) == [1, 3, 3] and {r.sequence_id for r in out} == {out[0].sequence_id} and sorted(r.offset for r in out)[0] == 0
+
+
+def test_packing_is_as_good_as_any_on_small_counts():
+    """Against the least number of sequences, found by trying all."""
+    from functools import lru_cache
+
+    rng = np.random.default_rng(3)
+
+    @lru_cache(None)
+    def least(lengths):
+        """The fewest sequences of ten for sorted lengths: the longest goes with every choice of others that fits."""
+        if not lengths:
+            return 0
+        best = len(lengths)
+        rest = lengths[1:]
+        for mask in range(1 << len(rest)):
+            some = [rest[k] for k in range(len(rest)) if mask >> k & 1]
+            if lengths[0] + sum(some) <= 10:
+                best = min(best, 1 + least(tuple(x for k, x in enumerate(rest) if not mask >> k & 1)))
+        return best
+
+    worse = 0
+    for _ in range(40):
+        lengths = tuple(sorted(rng.integers(1, 11, rng.integers(1, 9)).tolist(), reverse=True))
+        n = sum(times for _, times in packing.plan(Counter(lengths), 10).patterns)
+        worse += n - least(lengths)
+        assert least(lengths) <= n <= least(lengths) + 1
+    assert worse <= 2
+
+
 def test_token_files_name_the_attempts_that_count(spark, tmp_path):
     folder = str(tmp_path / "t")
     for text in ("one", "two three"):  # the second manifest replaces the first, what the first wrote is left unread

@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import numpy as np
-from _brute import AWKWARD, frame
+from _brute import AWKWARD, clashing, frame
 
 from spanlake.llm import multiset
 
@@ -53,3 +53,8 @@ def test_small_tables_nulls_and_ties(spark):
     out = multiset.edited(frame(spark, [(7, "same", None)] * 3 + [(None, "none", None)] * 2 + [(8, None, None)])).collect()
     assert sorted(r.n_chars for r in out) == [0, 4, 4, 4, 4, 4] and sum(r.near_next == 1 for r in out) >= 3
     assert len(multiset.fingerprints(frame(spark, [(1, None, None)])).collect()) == 1
+
+
+def test_columns_may_clash(spark):
+    odd = clashing(frame(spark, [(1, "a b", "s"), (2, "c d", "s")]), ["key", "part", "copy", "tie", "bucket", "as_double", "fingerprint", "of", "to", "place"])
+    assert sorted(r.doc_id for r in multiset.edited(odd).collect()) == [1, 2] and multiset.fingerprints(odd).columns == ["doc_id", "fingerprint"]
