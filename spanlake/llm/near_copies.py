@@ -125,11 +125,11 @@ def _sided(df: DataFrame, side: str, *columns: str) -> DataFrame:
     return df.select(*(F.col(c).alias(f"{c}_{side}") for c in columns))
 
 
-#: Of sets of n_a and n_b shingles: neither is too small for the other; and what they share from the
-#: places of a shared first shingle on, which is no more than what is left of either, may be enough.
+#: Of sets of n_a and n_b shingles: neither is too small for the other; and if a shingle is the first that they share, what is
+#: left of either from its place on may be enough. So a pair is made at the first one, and at few others.
 SIZES = "5L * n_a >= 4L * n_b AND 5L * n_b >= 4L * n_a"
 MET = ("h", "own", "at", "n", "of")
-ENOUGH = "9L * (least(at_a, at_b) + least(n_a - at_a, n_b - at_b)) >= 4L * (n_a + n_b)"
+ENOUGH = "9L * least(n_a - at_a, n_b - at_b) >= 4L * (n_a + n_b)"
 
 
 def by_fingerprint(classes: DataFrame) -> DataFrame:
