@@ -11,19 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import payload
-from ..functions.patterns import Rule
+from ..functions.patterns import Rule, read_classes, write_classes
 from ..operators import intervals, rows
 from ..schema import DAY, SECOND, events, ns
 from ..scratch import scratch_folder
 from ..sources import buckets, documents
+from ..streaming import heartbeats
 from . import reports
 
 CLASSES = [(["Shop"], Rule("purchase|signup", keys=("app",))), (["Shop", "Buy"], Rule("^PUR", True)), (["Web"], Rule("click$")), (["Fault"], Rule("error|purchase"))]
 TAGS = [("trade", Rule("purchase")), ("new", Rule("sign(?=up)")), ("all", Rule(".")), ("all", Rule("view"))]
 
 
-def source(spark: SparkSession, sf_dir: str, single: bool = False) -> DataFrame:
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+def source(spark: SparkSession, sf_dir: str, single: bool = False, raw: DataFrame | None = None) -> DataFrame:
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet") if raw is None else raw
     bucket = F.lit("stream") if single else F.concat(F.lit("user-"), F.col("user_id"))
     data = F.concat(F.lit('{"app":"'), F.col("event_type"), F.lit('","k":'), F.get_json_object("props", "$.k"), F.lit(',"status":"'), F.when(F.get_json_object("props", "$.k").cast("int") < 60, "not-afk").otherwise("afk"), F.lit('"}'))
     return events(raw, bucket, F.col("event_id"), ns(F.col("ts")), F.round(F.col("value") * 1000).cast("long") * 1_000_000, data)
@@ -193,6 +194,30 @@ def _documents(spark: SparkSession, sf_dir: str, read: Callable[[SparkSession, s
     return read(spark, f"{folder}/whole")[1]
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written and read again, from a time on."""
+    folder = scratch_folder(spark)
+    buckets.write(source(spark, sf_dir), folder)
+    return buckets.read(spark, folder).where(F.col("start_ns") >= _HI)
+
+
+def _remotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of devices, one for each last digit of a bucket, of which 8 is the own one."""
+    folder = scratch_folder(spark)
+    source(spark, sf_dir).withColumn("device", F.right("bucket", F.lit(1))).write.partitionBy("device").parquet(folder)
+    return spark.createDataFrame([(d,) for d in buckets.remotes(spark, folder, "8")], "device string")
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of heartbeats without purchases, merged and stored."""
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    beats = source(spark, sf_dir, raw=spark.readStream.schema(raw.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet"))
+    beats = _with_data(beats, '{ "app": "', _app(), '" }').withColumn("at", F.col("start_ns"))
+    folder = scratch_folder(spark)
+    heartbeats.start(beats, f"{folder}/events", f"{folder}/checkpoint", 3600 * SECOND, [{"pattern": "purchase", "action": "drop", "field": "app"}], availableNow=True).awaitTermination()
+    return heartbeats.read_stored(spark, f"{folder}/events").drop("seq")
+
+
 _HOST_SQL = "CASE WHEN right(bucket, 1) = '0' THEN '{unknown}' ELSE 'host-' || right(bucket, 1) END"
 
 
@@ -246,6 +271,11 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "replace_events": (lambda s, d: buckets.replace(source(s, d), source(s, d).where("id % 10 = 3").withColumn("end_ns", F.col("end_ns") + 1)), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns + CASE WHEN id % 10 = 3 THEN 1 ELSE 0 END AS end_ns, data FROM ev"),
     "export_document": (_documents, f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, data FROM ev WHERE right(bucket, 1) = '8'"),
     "import_document": (lambda s, d: _documents(s, d, documents.read_documents), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, data FROM ev WHERE right(bucket, 1) = '8'"),
+    "stored_events": (_stored, f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, data FROM ev WHERE start_ns >= {_HI}"),
+    "remotes": (_remotes, f"WITH {_ev()} SELECT DISTINCT right(bucket, 1) AS device FROM ev WHERE right(bucket, 1) <> '8'"),
+    "heartbeat_stream": (_streamed, f"""WITH {_ev(name="raw")}, ev AS (SELECT bucket, id, start_ns, end_ns, '{{"app":"' || app || '"}}' AS data FROM raw WHERE app <> 'purchase'), {_merge_sql("ev", "h", f"> {3600 * SECOND}")} SELECT bucket, start_ns, end_ns, data FROM h"""),
+    "get_bucket": (lambda s, d: buckets.bucket(_catalog(s, d), "user-8").select("bucket", "type", "client", "hostname", "data"), f"WITH {_ev()} SELECT DISTINCT bucket, 'window' AS type, 'watcher' AS client, 'host-8' AS hostname, '{{}}' AS data FROM ev WHERE bucket = 'user-8'"),
+    "categorize_by_text": (lambda s, d: rows.categorize(source(s, d), read_classes(write_classes(CLASSES))).select("bucket", "id", F.array_join("category", ">").alias("category")), f"WITH {_ev()} SELECT bucket, id, {_CLASS_SQL.format(app='app')} AS category FROM ev"),
     "unknown_hosts": (lambda s, d: buckets.unknown_hosts(_catalog(s, d)), f"WITH {_ev()} SELECT count(DISTINCT bucket) AS n FROM ev WHERE right(bucket, 1) = '0'"),
     "delete_events": (lambda s, d: buckets.delete(source(s, d), source(s, d).where("id % 3 = 1")), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, data FROM ev WHERE id % 3 <> 1"),
     "privacy_rules": (lambda s, d: buckets.redact(source(s, d), _RULES), f"WITH {_ev()} SELECT bucket, id, start_ns, end_ns, CASE WHEN app IN ('error', 'view') AND bucket LIKE 'user-12%' THEN replace(data, app, 'REDACTED') WHEN app IN ('error', 'view') AND bucket LIKE 'user-1%' THEN replace(data, app, 'hidden') ELSE data END AS data FROM ev WHERE app <> 'purchase'"),
