@@ -404,6 +404,16 @@ def remotes(spark: SparkSession, folder: str, own: str) -> list[str]:
     return [r.device for r in listed.select(device.alias("device")).where((F.col("device") != "") & (F.col("device") != own)).distinct().orderBy("device").collect()]  # a row a device
 
 
+def largest_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """(host, table, bytes): of the tables under ``folder``, laid out as <folder>/<host>/<table>/..., the largest of each host, the first by name of equals."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder).select("path", "length")
+    # The path below the folder, whatever scheme Spark puts before it.
+    below = F.split(F.substring_index("path", f"{folder.rstrip('/').split(':')[-1].lstrip('/')}/", -1), "/")
+    sized = listed.where(F.size(below) > 2).groupBy(below[0].alias("host"), below[1].alias("table")).agg(F.sum("length").alias("bytes"))
+    best = sized.groupBy("host").agg(F.min(F.struct((-F.col("bytes")).alias("order"), "table")).alias("b"))
+    return best.select("host", "b.table", (-F.col("b.order")).alias("bytes"))
+
+
 def sync(source: DataFrame, dest: DataFrame, origin: str, since: int = 0) -> DataFrame:
     """The events to append to ``dest``, named ``<bucket>-synced-from-<origin>``, without ids.
 

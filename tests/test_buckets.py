@@ -103,3 +103,11 @@ def test_legacy_files(spark, tmp_path):
     reader = legacy.Reader(path, 7)
     assert list(reader.pushFilters([legacy.EqualTo(("bucket_key",), 2)])) == [] and len(reader.partitions()) == 8
     assert sum(len(list(reader.read(p))) for p in reader.partitions()) == 4
+
+
+def test_largest_table_of_each_host(spark, tmp_path):
+    for host, table, n in (("one", "a", 1), ("one", "b", 5000), ("two", "c", 10)):
+        buckets.write(frame(spark, [("x", i, i, i * i, f'{{"n":{i}}}') for i in range(n)]), f"{tmp_path}/{host}/{table}")
+    found = {r.host: (r.table, r.bytes) for r in buckets.largest_tables(spark, str(tmp_path)).collect()}
+    size = lambda *at: sum(f.stat().st_size for f in tmp_path.joinpath(*at).rglob("*.parquet"))
+    assert found == {"one": ("b", size("one", "b")), "two": ("c", size("two", "c"))}

@@ -37,7 +37,7 @@ def test_parts_of_any_size_read_as_the_whole(spark, tmp_path, seed):
     (tmp_path / "d").mkdir()
     for k in range(2):
         (tmp_path / "d" / f"{k}.json").write_text(document(seed + 10 * k if k else seed, 40), encoding="utf-8")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
     try:
         assert spark.read.option("lineSep", "}").text(f"{tmp_path}/d").rdd.getNumPartitions() > 20

@@ -145,8 +145,6 @@ def test_three_million_rows_in_a_bucket(spark, monkeypatch):
     parted = by(intervals.flood(df))
     took = time.perf_counter() - began
     assert parted == by(intervals.flood(df, span=0)) and took < 300
-    # Every stretch of 1500 s is covered from its first event on.
-    assert intervals.period_union(df).count() == 1
 
 
 def test_dense_and_sparse_buckets(spark):
