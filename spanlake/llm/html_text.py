@@ -75,7 +75,7 @@ MOST_TEXT = 0.5
 
 class Suspect:
     """An element that may not belong to the main text, and what it holds: characters, those in links, headings and
-    articles. ``kind`` is "remarks", "noise", "doubtful" or "soft"; ``path`` a hash of where it stands.
+    articles. ``kind`` is "remarks", "noise", "form", "doubtful" or "soft"; ``path`` a hash of where it stands.
     """
 
     __slots__ = ("above", "articles", "chars", "heads", "inside", "kind", "linked", "path", "said")
@@ -123,7 +123,7 @@ class Page:
         if REMARKS.search(said):
             return "remarks"
         if tag in ASIDE or ADVERTS.search(said) or tag == "header" and not in_article:
-            return "noise"
+            return "form" if tag == "form" else "noise"
         if SOFT.search(said):
             return "soft"
         return "doubtful" if DOUBTFUL.search(said) and not (in_article and "header" in said.lower()) else None
@@ -258,10 +258,11 @@ class Page:
                 above.chars, above.linked, above.heads, above.articles = above.chars + s.chars, above.linked + s.linked, above.heads + s.heads, above.articles + s.articles
         noise = []
         for s, (heads, articles) in zip(suspects, outside, strict=True):
-            alone = not heads and not articles and (s.kind != "remarks" or s.articles > 0)
+            # A form may be round a page; what is said in a footer, an advert or a remark is no main text for want of another.
+            alone = not heads and not articles and (s.kind in ("form", "doubtful", "soft") or s.articles > 0)
             if s.chars - s.linked >= MOST_TEXT * running and s.chars > s.linked and (s.heads > 0 or alone):
                 bad = False  # a wrapper
-            elif s.kind in ("remarks", "noise"):
+            elif s.kind in ("remarks", "noise", "form"):
                 bad = True
             else:
                 bad = s.chars < LONG or s.linked > LINKED * s.chars or s.kind == "soft" and not s.inside and s.path not in varied

@@ -121,6 +121,13 @@ def test_wrappers_keep_the_article():
     assert _text(_page(f'<div class="main-sidebar"><p>{PROSE}</p></div>')) == PROSE.strip()  # no heading anywhere
 
 
+def test_long_noise_is_no_main_text_for_want_of_another():
+    short = "<p>Short and sweet.</p>"
+    for noise in (f"<footer><p>{PROSE}</p></footer>", f'<div class="cookie notice"><p>{PROSE}</p></div>', f'<div id="comments"><p>{PROSE}</p></div>', f'<aside><p>{PROSE}</p></aside>', f'<div class="ad"><p>{PROSE}</p></div>'):
+        assert _text(_page(f"<div>{short}</div>{noise}")) == "Short and sweet.", noise[:30]
+    assert _text(_page(f'<form id="aspnet">{short}</form>')) == "Short and sweet."
+
+
 def test_parts_of_articles_are_weighed():
     part = lambda attrs: f"<article><h1>T</h1><p>{PROSE}</p><section {attrs}><p>{PROSE}</p></section></article>"
     both, one = f"T\n\n{PROSE.strip()}\n\n{PROSE.strip()}", f"T\n\n{PROSE.strip()}"
