@@ -46,15 +46,24 @@ def forget(spark: SparkSession, folder: str) -> None:
 
 
 @contextmanager
-def scratch_run(spark: SparkSession) -> Iterator[str]:
-    """The scratch folders that this thread makes inside lie in one of its own, which goes at the end, however it ends."""
+def scratch_inside(spark: SparkSession) -> Iterator[str]:
+    """The scratch folders that this thread makes inside lie in one of its own, which stays."""
     parent = scratch_dir(spark)
     token = _run.set(parent)
     try:
         yield parent
     finally:
         _run.reset(token)
-        forget(spark, parent)
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """The scratch folders that this thread makes inside lie in one of its own, which goes at the end, however it ends."""
+    with scratch_inside(spark) as parent:
+        try:
+            yield parent
+        finally:
+            forget(spark, parent)
 
 
 @contextmanager
