@@ -7,32 +7,60 @@ of ``documents``.
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from spanlake.llm import line_dedup, mixing, near_copies, packing, quality
-from spanlake.llm._common import forget, materialize, scratch_dir, scratch_run
+from spanlake.llm._common import forget, materialize, scratch_dir, scratch_inside, scratch_run
+
+_last = threading.local()
+
+
+def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage, which begins with deleting the scratch tables of the one that its thread has called before.
+
+    What a stage returns is read from its scratch tables, so it must be written before the next stage is called, as the
+    pipeline does.
+    """
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if folder := getattr(_last, "folder", None):
+            forget(spark, folder)
+        with scratch_inside(spark) as _last.folder:
+            return function(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that fail the base rules or lose most words to lines frequent on their host; the lines go too."""
     return quality.filter_documents(docs)
 
 
+@_stage
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes runs of lines that stand earlier in the corpus, and documents of which nothing is left."""
     return line_dedup.dedup_documents(docs)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, by 5-word shingles at a similarity of 0.8, one document stays."""
     return near_copies.one_of_each_group(docs)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.mixed_rows(docs)
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 ids."""
     return packing.pack_documents(docs)
