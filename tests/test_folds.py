@@ -136,6 +136,19 @@ def test_parts_of_any_size(spark, span):
     assert got(intervals.chunk_by_key(keyed, "k", span)) == got(intervals.chunk_by_key(keyed, "k", 0))
 
 
+def test_parts_are_never_held_whole(spark, monkeypatch):
+    """A part goes through Python batch by batch."""
+    monkeypatch.setattr(folds, "PART_ROWS", 400)
+    monkeypatch.setattr(folds, "CUT_ROWS", 100)
+    n = 1000
+    df = spark.range(n).select(F.lit("b").alias("bucket"), "id", (F.col("id") * 3).alias("start_ns"), (F.col("id") * 3 + 1).alias("end_ns"), F.concat(F.lit('{"a":'), F.floor(F.col("id") / 7) % 3, F.lit("}")).alias("data"))
+    out = intervals.flood(df, 5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+    assert got(out) == got(intervals.flood(df, 5, span=0))
+    assert 8 <= len(folds.cut_points(df, folds.PART_ROWS, folds.CUT_ROWS)["b"]) + 1 <= 12
+
+
 def test_three_million_rows_in_a_bucket(spark, monkeypatch):
     n = 3_000_000
     df = spark.range(n).select(F.lit("b").alias("bucket"), "id", (F.col("id") * SECOND).alias("start_ns"), (F.col("id") * SECOND + F.when(F.col("id") % 1000 == 0, 1500 * SECOND).otherwise(SECOND // 2)).alias("end_ns"), F.concat(F.lit('{"a":'), F.floor(F.col("id") / 7) % 3, F.lit("}")).alias("data"))
