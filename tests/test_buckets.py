@@ -81,6 +81,28 @@ def test_stored_buckets_leave_others_untouched(spark, tmp_path):
         buckets.rename_stored(spark, path, "user-2", "person-2")
 
 
+def test_many_buckets_share_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(buckets, "FOLDERS", 2)
+    path = f"{tmp_path}/a table"
+    rows = [(f"user-{k}", i, i, i + 1, "x") for k in range(40) for i in range(3 if k > 1 else 9)] + [(None, 1, 0, 1, "n")]
+    for some in (rows[::2], rows[1::2]):
+        buckets.write(frame(spark, some), path)
+    assert len(list((tmp_path / "a table").glob("bucket=*"))) <= 5 and len(list((tmp_path / "a table").rglob("part-*.parquet"))) < 20
+    assert got(buckets.read(spark, path)) == sorted(rows, key=str)
+    assert got(buckets.read(spark, path).where("bucket = 'user-7' and start_ns >= 1")) == [("user-7", 1, 1, 2, "x"), ("user-7", 2, 2, 3, "x")]
+    buckets.delete_stored(spark, path, "user-7")
+    buckets.delete_stored(spark, path, "user-0")
+    buckets.rename_stored(spark, path, "user-8", "person-9")
+    for call in (lambda: buckets.delete_stored(spark, path, "user-7"), lambda: buckets.rename_stored(spark, path, "user-8", "x")):
+        with pytest.raises(KeyError):
+            call()
+    with pytest.raises(ValueError):
+        buckets.rename_stored(spark, path, "user-10", "user-11")
+    assert buckets.migrate_stored(spark, path, "user-", "person-") == 36
+    new = {"user-8": "person-9", "user-9": "user-9", None: None}
+    assert got(buckets.read(spark, path)) == sorted(((new.get(b, b and b.replace("user", "person")), *r) for b, *r in rows if b not in ("user-7", "user-0")), key=str)
+
+
 def test_legacy_files(spark, tmp_path):
     path = f"{tmp_path}/old.db"
     with sqlite3.connect(path) as con:
