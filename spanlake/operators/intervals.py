@@ -11,14 +11,15 @@ from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import payload
 from ..schema import EVENT
 from ..scratch import written
 from . import sweep
-from .folds import Fold, fold_events, no_cuts
+from .folds import CUT_ROWS, PART_ROWS, Fold, cut_points, fold_events, in_parts, no_cuts, spans, with_part
 
 
 def merge_same(events: DataFrame, pulse_ns: int, touching: bool, span: int | None = None, share: bool = False) -> DataFrame:
@@ -117,17 +118,20 @@ def period_intersect_consumed(events: DataFrame, periods: DataFrame, span: int |
     return pairs.select("bucket", "id", F.greatest("begins", "r_start_ns").alias("start_ns"), F.least("end_ns", "r_end_ns").alias("end_ns"), "data")
 
 
-def _merged(rows):
-    """(id, start, end, data) of two lists' union: rows of (first, id, start, end, data), each list in its order, both by start.
+class _Union:
+    """One walk along two lists: rows of (first, id, start, end, data) go in, each list in its order, both by start; (id, start, end,
+    data) of their union come out.
 
     The heads of the lists are compared. Where they meet, the second's is given out up to the first's start, the
     first's is whole, and what the second's has left beyond it is the head that is compared next. Only
     rows that may still meet one another are held.
     """
-    lists = deque(), deque()
-    one, two = lists
 
-    def heads(now):
+    def __init__(self):
+        self.lists = deque(), deque()
+
+    def heads(self, now):
+        one, two = self.lists
         while one and two:
             a, b = one[0], two[0]
             meet = max(a[1], b[1]) < min(a[2], b[2])
@@ -148,42 +152,120 @@ def _merged(rows):
         while two and (now is None or two[0][1] < now and two[0][2] <= now):
             yield two.popleft()
 
-    for first, *row in rows:
-        lists[not first].append(tuple(row))
-        yield from heads(row[1])
-    yield from heads(None)
+    def put(self, first, *row):
+        self.lists[not first].append(row)
+        yield from self.heads(row[1])
 
 
-def union_no_overlap(first: DataFrame, second: DataFrame, strict: bool = True, span: int | None = None) -> DataFrame:
-    """All of ``first``, and of ``second`` what ``first`` leaves free; pieces of split events have no id.
+#: Rows of a walk: of a part, or held at its end (then ``nth`` says in which place); ``out`` are rows of the union.
+WALK = "part long, nth long, out boolean, first boolean, bucket string, id long, start_ns long, end_ns long, data string"
 
-    With ``strict`` the heads of both lists are compared, in order of (start_ns, id), and each is used up in turn: an
-    event of ``first`` is taken only from the one event of ``second`` that it meets first, and overlaps within a side
-    stay. Without, it is taken from all. Stretches of time in which nothing overlaps anything of the other side are
-    left as they are; each of the others is gone through in one task, row by row, holding only rows that may still meet.
+
+def _walked(rows: DataFrame, last: frozenset, out: bool) -> DataFrame:
+    """What walks along the parts of ``rows`` (WALK, sorted) give: with ``out`` their unions, and what they hold when they end.
+
+    A part's walk begins with the rows that have a number, in that order. In the ``last`` part of a bucket nothing is held.
     """
-    a, b = first.select(*EVENT), second.select(*EVENT)
-    if not strict:
-        return a.unionByName(_left_free(a, b, span))
-    both = a.withColumn("_first", F.lit(True)).unionByName(b.withColumn("_first", F.lit(False)))
-    # Which side a row is of goes along in the place of its data.
-    tagged = both.withColumn("data", F.concat(F.when(F.col("_first"), "1").otherwise("2"), F.coalesce("data", F.lit(""))))
-    labelled = fold_events(tagged, None, Fold(limit=0, by_key=False, label=True), span)
-    rows = labelled.select("bucket", "island", F.startswith("data", F.lit("1")).alias("first"), "id", "start_ns", "end_ns", F.substring("data", 2, 1 << 30).alias("data"))
 
     def run(batches):
         from itertools import groupby, islice
 
         import pyarrow as pa
 
-        columns = ("bucket", "island", "first", "id", "start_ns", "end_ns", "data")
+        columns = ("part", "bucket", "first", "id", "start_ns", "end_ns", "data", "nth")
         rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
-        out = ((key[0], *x) for key, own in groupby(rows, key=lambda r: r[:2]) for x in _merged(r[2:] for r in own))
-        while some := list(islice(out, 10_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["bucket", "id", "start_ns", "end_ns", "data"])
 
-    ordered = rows.repartition("bucket", "island").sortWithinPartitions("bucket", "island", "start_ns", "id", "data")
-    return ordered.mapInArrow(run, "bucket string, id long, start_ns long, end_ns long, data string")
+        def walked():
+            for (part, bucket), own in groupby(rows, key=lambda r: r[:2]):
+                walk = _Union()
+                for r in own:
+                    if r[7] is not None:
+                        walk.lists[not r[2]].append(r[3:7])
+                        continue
+                    for x in walk.put(*r[2:7]):
+                        if out:
+                            yield part, None, True, None, bucket, *x
+                if part < 0 or part in last:
+                    if out:
+                        yield from ((part, None, True, None, bucket, *x) for x in walk.heads(None))
+                else:
+                    held = [(first, *x) for first, some in ((True, walk.lists[0]), (False, walk.lists[1])) for x in some]
+                    yield from ((part, k, False, x[0], bucket, *x[1:]) for k, x in enumerate(held))
+
+        types = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+        schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in WALK.split(", ")])
+        given = walked()
+        while some := list(islice(given, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), schema.types, strict=True)], schema=schema)
+
+    return rows.mapInArrow(run, WALK)
+
+
+def _walk_parts(rows: DataFrame, cuts: dict) -> DataFrame:
+    """The union's rows of parts of cut buckets (WALK), from a written table.
+
+    What a walk holds where a part ends hardly ever depends on what it held where the part began. So all parts are walked along
+    at once, each from what the one before it held at its end in the round before, until no part holds anything else than it did
+    then: by then each part has been walked along from what the one before it really holds. The first round begins with nothing, and two
+    rounds are enough as a rule; there are never more than parts and one.
+    """
+    ends = [int(e) - 1 for e in np.cumsum([len(c) + 1 for c in cuts.values()])]
+    last = frozenset(ends)
+    held, known = rows.limit(0), None
+    while True:
+        begun = rows.unionByName(held.withColumn("part", F.col("part") + 1))
+        walked = written(_walked(in_parts(begun, cuts, "bucket", F.col("nth").asc_nulls_last(), "start_ns", "id", "data"), last, known is not None))
+        held = walked.where("not out")
+        found = {r.part: (r.n, r.h) for r in held.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.xxhash64("nth", "first", "id", "start_ns", "end_ns", "data").cast("decimal(38,0)")).alias("h")).collect()}  # a row a part
+        if known is not None and found == known:
+            return walked.where("out")
+        known = found
+
+
+def union_no_overlap(first: DataFrame, second: DataFrame, strict: bool = True, span: int | None = None) -> DataFrame:
+    """All of ``first``, and of ``second`` what ``first`` leaves free; pieces of split events have no id.
+
+    With ``strict`` the heads of both lists are compared, in order of (start_ns, id), and each is used up in turn: an
+    event of ``first`` is taken only from the one event of ``second`` that it meets first, and overlaps within a side
+    stay. Without, it is taken from all. A bucket is gone through row by row, holding only rows that may still meet; a large one
+    in parts, each in a task. Both sides are written when this is called.
+    """
+    a, b = first.select(*EVENT), second.select(*EVENT)
+    if not strict:
+        return a.unionByName(_left_free(a, b, span))
+    both = a.withColumn("first", F.lit(True)).unionByName(b.withColumn("first", F.lit(False)))
+    cuts = {}
+    if span != 0:
+        both = written(both)
+        cuts = spans(both, span) if span else cut_points(both, PART_ROWS, CUT_ROWS)
+    parted = with_part(both, cuts) if cuts else both.withColumn("part", F.lit(-1).cast("long"))
+    rows = parted.select("part", F.lit(None).cast("long").alias("nth"), F.lit(False).alias("out"), "first", *EVENT)
+    small = rows.where("part < 0").repartition("bucket").sortWithinPartitions("bucket", "start_ns", "id", "data")
+    out = _walked(small, frozenset(), True)
+    return (out.unionByName(_walk_parts(rows.where("part >= 0"), cuts)) if cuts else out).select(*EVENT)
+
+
+def without_overlaps(events: DataFrame, span: int | None = None) -> DataFrame:
+    """Events up to the next one's start at most, those that are left with some length. A large bucket is cut into parts; a part's
+    last event ends where the next part begins."""
+    df = events.select(*EVENT)
+    cuts = {}
+    if span != 0:
+        df = written(df)
+        cuts = spans(df, span) if span else cut_points(df, PART_ROWS, CUT_ROWS)
+    after = F.lead("start_ns").over(Window.partitionBy("bucket", "part").orderBy("start_ns", "id"))
+    if not cuts:
+        parted = df.withColumns({"part": F.lit(-1).cast("long"), "_next": F.lit(None).cast("long")})
+    else:
+        parted = with_part(df, cuts).drop("own")
+        begins, next_ = {r.part: (r.bucket, r.start) for r in parted.where("part >= 0").groupBy("part", "bucket").agg(F.min("start_ns").alias("start")).collect()}, []  # a row a part
+        for part, following in zip(sorted(begins), sorted(begins)[1:], strict=False):
+            if begins[part][0] == begins[following][0]:
+                next_.append((part, begins[following][1]))
+        known = df.sparkSession.createDataFrame(next_, "_of long, _next long")
+        parted = parted.join(F.broadcast(known), F.col("part") == F.col("_of"), "left").drop("_of")
+    ends = parted.withColumn("_after", F.coalesce(after, "_next"))
+    return ends.withColumn("end_ns", F.least("end_ns", F.coalesce("_after", "end_ns"))).where("end_ns > start_ns").select(*EVENT)
 
 
 def _left_free(first: DataFrame, second: DataFrame, span: int | None) -> DataFrame:

@@ -98,6 +98,22 @@ def test_unions_of_overlapping_sides(spark, seed, span):
     assert got(out) == flat({b: united(one[b], two[b]) for b in one})
 
 
+def test_unions_of_dense_sides_in_parts(spark):
+    """Nothing is apart from anything, so that the bucket would be one stretch; and a head that is held over many parts."""
+    one = {"a": [(i, 10 * i, 10 * i + 10, "x") for i in range(100)], "b": [(1, 5, 900, "x"), (2, 880, 890, "x")]}
+    two = {"a": [(i, 7 * i + 3, 7 * i + 10, "y") for i in range(140)], "b": [(1, 0, 2000, "y")] + [(i, 6 * i, 6 * i + 9, "y") for i in range(2, 150)]}
+    out = intervals.union_no_overlap(table(spark, one), table(spark, two), span=150)
+    assert got(out) == flat({b: united(one[b], two[b]) for b in one})
+    assert "island" not in out._jdf.queryExecution().toString()
+
+
+def test_events_cut_at_the_next_start_in_parts(spark):
+    ev = lists(50, 60, 300, [0, 1, 9, 120])
+    want = {b: [(i, s, min(e, n), d) for (i, s, e, d), n in zip(rows, [*(r[1] for r in rows[1:]), 1 << 62], strict=True) if min(e, n) > s] for b, rows in ev.items()}
+    for span in (None, 40):
+        assert got(intervals.without_overlaps(table(spark, ev), span)) == flat(want)
+
+
 @pytest.mark.parametrize("span", [None, 40])
 def test_unions_that_take_from_all(spark, span):
     one, two = lists(5, 30, 300, [0, 4, 20]), lists(6, 40, 300, [0, 3, 50])
