@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlake.schema import EVENT_DDL
-from spanlake.sources import buckets, legacy
+from spanlake.sources import buckets, documents, legacy
 
 
 def frame(spark, rows):
@@ -81,6 +81,26 @@ def test_stored_buckets_leave_others_untouched(spark, tmp_path):
         buckets.rename_stored(spark, path, "user-2", "person-2")
 
 
+def test_documents_of_many_buckets_share_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(buckets, "FOLDERS", 2)
+    monkeypatch.setattr(buckets, "SHARED_ROWS", 12)
+    rows = [(f"user-{k}", i, i, i + k, f'{{"t":"}}],\\n{i}"}}') for k in range(40) for i in range(30 if k in (8, 9, 11, 18) else k % 10)]
+    events = frame(spark, rows).repartition(5)
+    catalog = spark.range(40).select(F.concat(F.lit("user-"), "id").alias("bucket"), F.lit("t").alias("type"), F.lit("c").alias("client"), F.lit("h\n").alias("hostname"), F.lit(None).cast("timestamp").alias("created"), F.lit("{}").alias("data"))
+    buckets.write_documents(events, catalog, f"{tmp_path}/d", parts=5)
+    assert sorted(f.name for f in (tmp_path / "d" / "heads").glob("bucket=*")) == ["bucket=user-11", "bucket=user-18", "bucket=user-8", "bucket=user-9"]
+    asked = catalog.where("bucket like '%8' or bucket = 'user-30'")
+    buckets.join_documents(spark, f"{tmp_path}/d", asked, f"{tmp_path}/whole")
+    files = [f for f in (tmp_path / "whole").iterdir() if f.suffix in (".txt", ".json")]
+    assert len([f for f in files if f.suffix == ".json"]) == 2 and all(json.loads(line)["buckets"] for f in files for line in f.read_text().splitlines())
+    want = [r for r in rows if r[0].endswith("8")]
+    for catalog_, back in (buckets.read_document(spark.read.text(f"{tmp_path}/whole")), documents.read_documents(spark, f"{tmp_path}/whole")):
+        assert sorted(r.bucket for r in catalog_.collect()) == ["user-18", "user-28", "user-30", "user-38", "user-8"]
+        assert got(back) == sorted(want, key=str)
+    buckets.join_document(spark, f"{tmp_path}/d", "user-28", f"{tmp_path}/one.json")
+    assert [e["id"] for e in json.loads((tmp_path / "one.json").read_text())["buckets"]["user-28"]["events"]] == list(range(8))
+
+
 def test_many_buckets_share_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(buckets, "FOLDERS", 2)
     path = f"{tmp_path}/a table"
