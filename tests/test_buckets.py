@@ -123,6 +123,12 @@ def test_many_buckets_share_files(spark, tmp_path, monkeypatch):
     assert got(buckets.read(spark, path)) == sorted(((new.get(b, b and b.replace("user", "person")), *r) for b, *r in rows if b not in ("user-7", "user-0")), key=str)
 
 
+def test_an_event_is_parsed_once_for_export(spark):
+    out = buckets.export(frame(spark, [("a", 1, 0, 1, '{ "b":1}'), ("a", 2, 0, 1, "no json"), ("a", 3, 0, 1, "null"), ("a", 4, 0, 1, None)]))
+    assert out._jdf.queryExecution().analyzed().toString().count("parse_json(") == 1
+    assert {json.loads(r.event)["id"]: json.loads(r.event)["data"] for r in out.collect()} == {1: {"b": 1}, 2: {}, 3: None, 4: {}}
+
+
 def test_legacy_files(spark, tmp_path):
     path = f"{tmp_path}/old.db"
     with sqlite3.connect(path) as con:
