@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,13 +38,28 @@ def is_any(df: DataFrame, key: str, values: list, data: str = "data") -> Column:
     return F.when(own.isNotNull(), F.coalesce(number.isin([float(v) for v in plain]), F.lit(False)) | F.to_json(own).isin(others))
 
 
-def path_text(field: str, data: str = "data") -> Column:
-    """The string at a dotted path of keys, null if there is none."""
+def parsed_once(of: Callable[[Column], Column], data: str = "data") -> Column:
+    """What ``of`` makes of the parsed data; they are parsed once, however often it uses them."""
+    return F.get(F.transform(F.array(F.try_parse_json(data)), of), F.lit(0))
+
+
+def is_object(v: Column) -> Column:
+    """Whether a parsed value is a JSON object; false for what doesn't parse."""
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
+def text_at(v: Column, field: str) -> Column:
+    """The string at a dotted path of keys of a parsed value, null if there is none."""
     path = "$" + "".join("['" + k.replace("\\", "\\\\").replace("'", "\\'") + "']" for k in field.split("."))
-    own = F.try_variant_get(F.try_parse_json(data), path, "variant")
+    own = F.try_variant_get(v, path, "variant")
     return F.when(F.schema_of_variant(own) == "STRING", F.try_variant_get(own, "$", "string"))
 
 
+def path_text(field: str, data: str = "data") -> Column:
+    """The string at a dotted path of keys, null if there is none."""
+    return parsed_once(lambda v: text_at(v, field), data)
+
+
 def with_path(object_text: Column, field: str, new: str) -> Column:
     """The JSON object with the string ``new`` at a dotted path, as canonical text; the path's objects must be there."""
     key, _, rest = field.partition(".")
