@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ from ..scratch import written
 
 #: Rows of a report's lists.
 TOP = 100
+#: What a desktop report is made of: what needs the events, the user's activity and the tabs.
+OF_EVENTS = ("events", "title_events", "app_events", "cat_events", "duration")
+OF_ACTIVITY = ("active_events",)
+OF_TABS = ("browser_urls", "browser_domains", "browser_duration")
 
 
 def active_periods(afk: DataFrame, window: DataFrame | None = None, always_active: str | None = None, audible: DataFrame | None = None, span: int | None = None) -> DataFrame:
@@ -31,7 +37,9 @@ def browser_events(window: DataFrame, browsers: dict[str, DataFrame], span: int
     out = None
     for name, tabs in browsers.items():
         front = rows.filter_keyvals(window, "app", BROWSERS[name])
-        own = intervals.period_intersect(intervals.flood(tabs, span=span), front, span=span)
+        flooded = intervals.flood(tabs, span=span)
+        # Rows of large buckets are counted and joined: two jobs, but one fold.
+        own = intervals.period_intersect(flooded if span == 0 else written(flooded), front, span=span)
         out = own if out is None else out.unionByName(own)
     return None if out is None else rows.split_url(out, payload.text(out, "url"))
 
@@ -43,31 +51,39 @@ def canonical_events(window: DataFrame, active: DataFrame | None = None, classes
     return out.where(F.to_json("category").isin([payload.literal(c) for c in only])) if only else out
 
 
-def desktop_report(window: DataFrame, afk: DataFrame | None = None, browsers: dict[str, DataFrame] | None = None, classes: list[tuple[list[str], Rule]] = DEFAULT_CATEGORIES, always_active: str | None = None, only: list[list[str]] | None = None, top: int = TOP) -> dict[str, DataFrame]:
+def desktop_report(window: DataFrame, afk: DataFrame | None = None, browsers: dict[str, DataFrame] | None = None, classes: list[tuple[list[str], Rule]] = DEFAULT_CATEGORIES, always_active: str | None = None, only: list[list[str]] | None = None, top: int = TOP, names: Collection[str] | None = None) -> dict[str, DataFrame]:
     """Rollups by title, app, category, URL and domain, and durations, of one bucket a side.
 
     All frames must carry the same bucket name, which stands for the user or device. Window events are flooded
-    once, and what several rollups read is written once.
+    once, and what several rollups read is written once. With ``names`` only these are given, and no job runs for others.
     """
+    unknown = set(names or ()) - {*OF_EVENTS, *OF_ACTIVITY, *OF_TABS}
+    if unknown:
+        raise ValueError(f"no parts of a report: {sorted(unknown)}")
+    asks = lambda of: names is None or any(n in names for n in of)
+    afk = afk if asks(OF_EVENTS + OF_ACTIVITY) else None
+    browsers = browsers if afk is not None or asks(OF_TABS) else None
     # What is made of the frames has hardly more rows a bucket than they have together.
     span = no_cuts(window, *([] if afk is None else [afk]), *(browsers or {}).values())
     flooded = written(intervals.flood(window, span=span))
     tabs = browser_events(flooded, browsers, span) if browsers else None
     tabs = None if tabs is None else written(tabs)
     active = None if afk is None else written(active_periods(afk, flooded, always_active, tabs, span))
-    events = canonical_events(flooded, active, classes, only, span)
-    out = {
-        "events": events,
-        "title_events": rows.longest(rows.merge_by_keys(events, ["app", "title"]), top),
-        "app_events": rows.longest(rows.merge_by_keys(events, ["app"]), top),
-        "cat_events": rows.longest(rows.merge_by_keys(events, ["category"]), top),
-        "duration": rows.sum_durations(events),
-    }
+    out = {}
+    if asks(OF_EVENTS):
+        events = canonical_events(flooded, active, classes, only, span)
+        out = {
+            "events": events,
+            "title_events": rows.longest(rows.merge_by_keys(events, ["app", "title"]), top),
+            "app_events": rows.longest(rows.merge_by_keys(events, ["app"]), top),
+            "cat_events": rows.longest(rows.merge_by_keys(events, ["category"]), top),
+            "duration": rows.sum_durations(events),
+        }
     if active is not None:
         out["active_events"] = active
     if tabs is not None:
         out |= {"browser_urls": rows.longest(rows.merge_by_keys(tabs, ["url"]), top), "browser_domains": rows.longest(rows.merge_by_keys(tabs, ["domain"]), top), "browser_duration": rows.sum_durations(tabs)}
-    return out
+    return {name: df for name, df in out.items() if names is None or name in names}
 
 
 def mobile_report(apps: DataFrame, classes: list[tuple[list[str], Rule]] = DEFAULT_CATEGORIES, top: int = TOP) -> dict[str, DataFrame]:

@@ -3,11 +3,13 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanlake.functions.patterns import DEFAULT_CATEGORIES, Rule, read_classes, write_classes
 from spanlake.functions.patterns import rule as read_rule
 from spanlake.operators import intervals, prefix, rows
-from spanlake.schema import EVENT_DDL
+from spanlake.plans import reports
+from spanlake.schema import EVENT_DDL, SECOND
 from spanlake.sources import buckets
 
 
@@ -234,3 +236,13 @@ def test_stream_of_heartbeats(spark, tmp_path):
     query = merge_stream(stream, 10).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert seen == {("a", 0): (0, 40, "x"), ("a", 1): (50, 60, "y"), ("a", 2): (70, 80, "x"), ("b", 0): (5, 6, "x")}
+
+
+def test_a_report_runs_what_is_asked_for_only(spark):
+    row = lambda data: spark.createDataFrame([("b", 1, 0, 10 * SECOND, data)], "bucket string, id long, start_ns long, end_ns long, data string")
+    window, tabs = row('{"app":"Firefox","title":"x"}'), row('{"url":"https://a.org/"}')
+    fails = row("{}").withColumn("data", F.raise_error(F.lit("not to be run")).cast("string"))
+    out = reports.desktop_report(window, fails, {"firefox": tabs}, names=["browser_duration"])
+    assert list(out) == ["browser_duration"] and out["browser_duration"].first()[0] == 10_000
+    with pytest.raises(ValueError):
+        reports.desktop_report(window, names=["browser_time"])
